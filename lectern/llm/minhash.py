@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, settled
+from .shared import discard, filter_bit, id_bitmap, in_bitmap, settled
 from .textbytes import U64, mixed, pieces, shingle_sets
 
 CIRCLE_BITS = 22
@@ -75,9 +75,12 @@ def _sign(bands: int, rows: int, width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bitmap: np.ndarray):
+    """Sets of the rows whose bit is set in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(batch.column(2).to_numpy(), bitmap)))
             for first, end, data, offsets in pieces(batch.column(1)):
                 found = [s.view(np.int64) for s in shingle_sets(data, offsets, width)]
                 yield pa.record_batch([batch.column(0)[first:end], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
@@ -166,8 +169,10 @@ def near_duplicates(
     # First round: each against the smallest of its key.
     stars = settled(held.where("doc_id <> hub").select("hub", "doc_id").distinct(), "stars")
     wanted = stars.select("doc_id").union(stars.select("hub")).distinct()
-    texts = base.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = settled(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    # The bitmap keeps all but a few texts without candidates from the shuffle; the join drops those.
+    texts = base.where("doc_id IS NOT NULL").withColumn("bit", filter_bit("doc_id"))
+    sets = texts.mapInArrow(_sets(width, id_bitmap(wanted, "doc_id")), "doc_id long, shingles array<long>").where(F.size("shingles") > 0)
+    sets = settled(sets.join(wanted, "doc_id", "left_semi"), "sets")
     left, right = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("x")), sets.withColumnRenamed("shingles", "y")
     both = F.size(F.array_intersect("x", "y"))
     links = settled(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,28 @@ def bounded_labels(labels: DataFrame, bound: int, keep=None) -> DataFrame:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
         rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return rows
+
+
+FILTER_BITS = 25
+
+
+def filter_bit(col: str):
+    """The bit of an id in the bitmap of ``id_bitmap``."""
+    return F.xxhash64(col).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+
+def id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of hashed ids: 4 MB, whatever the number of ids, of which at most 2**19 words reach the driver.
+
+    It lets a scan skip nearly all rows that a later join would drop; that join stays exact. With
+    more ids than bits it no longer helps, and does no harm.
+    """
+    words = ids.select(filter_bit(col).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found["word"].to_numpy()] = found["mask"].to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return (bitmap[bits >> 6] >> (bits & 63)) & 1 == 1

@@ -19,7 +19,7 @@ _BASE, _PLACE = 0x9E3779B97F4A7C15, _RNG.integers(1, 1 << 63, 64, dtype=U64) | U
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
-def _powers(which: str, n: int) -> np.ndarray:
+def powers(which: str, n: int) -> np.ndarray:
     """The powers of an odd base, or of its inverse, modulo 2**64."""
     have = _POWERS[which]
     if len(have) < n:
@@ -80,8 +80,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[cuts - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _powers("up", len(data)), out=total[1:])
-    found = (total[ends] - total[starts]) * _powers("down", len(data))[starts]
+    np.cumsum(_BYTE[data] * powers("up", len(data)), out=total[1:])
+    found = (total[ends] - total[starts]) * powers("down", len(data))[starts]
     found = mixed(found + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
     return found, np.searchsorted(starts, offsets, "left")
 
