@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbytes import U64, mixed, powers
 
@@ -148,8 +149,8 @@ class Pieces:
         ids = [x for i, j in reversed(cuts) for x in self._ids(s, i, j)]
         return np.array(ids, np.int32).tobytes(), best[-1], best[-1] - second[-1]
 
-    def _slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces by hash: a table of slots, and the pieces' hashes and scores, by place."""
+    def _slots(self) -> tuple[np.ndarray, ...]:
+        """Pieces by hash: two tables of slots, and the pieces' hashes and scores, by place."""
         if self.table is None:
             words = list(self.pieces)
             codes, starts, ends = _codes(words)
@@ -158,14 +159,17 @@ class Pieces:
             order = np.arange(len(words), dtype=np.int32)
             slot = (h >> U64(42)).astype(np.int64)
             table[slot[::-1]] = order[::-1]
-            # A piece whose slot is taken goes to the plain look-up.
-            self.table = (table, h, np.array([self.pieces[w][1] for w in words]), np.array([self.pieces[w][0] for w in words], np.int32))
-            self.crowded = {words[k] for k in np.flatnonzero(table[slot] != order)}
+            # The few pieces whose slot is taken have one in a second table, by other bits.
+            rest, more = order[table[slot] != order], np.full(1 << 16, -1, np.int32)
+            slot = (h[rest] & U64(0xFFFF)).astype(np.int64)
+            more[slot[::-1]] = rest[::-1]
+            self.table = (table, more, h, np.array([self.pieces[w][1] for w in words]), np.array([self.pieces[w][0] for w in words], np.int32))
+            self.crowded = {words[k] for k in rest[more[slot] != rest]}
         return self.table
 
     def learn(self, words: list[str]) -> None:
         """Find and remember the best segmentation of many links at once: the forward search, a node of all of them at a time."""
-        table, hashes, scores, piece_ids = self._slots()
+        table, more, hashes, scores, piece_ids = self._slots()
         short = []
         for w in words:
             if len(w) > LONG or self.crowded and any(c in w for c in self.crowded):
@@ -189,6 +193,7 @@ class Pieces:
                 at = starts[:m] + (j - k)
                 h = _finish((end - total[at]) * down[at], k)
                 found = table[h >> U64(42)]
+                found = np.where((found >= 0) & (hashes[found] == h), found, more[h & U64(0xFFFF)])
                 found = np.where((found >= 0) & (hashes[found] == h), found, -1)
                 score = np.where(found >= 0, scores[found], self.unknown if k == 1 else -np.inf)
                 x, y = best[j - k, :m] + score, second[j - k, :m] + score
@@ -344,8 +349,10 @@ def encode_n_best(docs: DataFrame, n: int = 4, model: str = MODEL, text_col: str
                 )
                 yield pa.record_batch([*part.columns[:at], ids, scores, changes, pa.array(back, pa.bool_())], names=[*kept, *new])
 
-    schema = type(source.schema)(source.schema.fields[:at]).add("ids", "array<int>").add("scores", "array<double>")
-    schema = schema.add("changes", "array<array<struct<at:int,gone:int,ids:array<int>>>>").add("round_trip", "boolean")
+    ints = T.ArrayType(T.IntegerType())
+    change_type = T.StructType().add("at", "int").add("gone", "int").add("ids", ints)
+    schema = T.StructType(source.schema.fields[:at]).add("ids", ints).add("scores", T.ArrayType(T.DoubleType()))
+    schema = schema.add("changes", T.ArrayType(T.ArrayType(change_type))).add("round_trip", "boolean")
     return source.mapInArrow(run, schema)
 
 
@@ -361,4 +368,4 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Dat
             yield pa.record_batch([*batch.columns, pa.array(made, pa.string())], names=[*kept, "decoded"])
 
     source = rows.select(*kept)
-    return source.mapInArrow(run, type(source.schema)([*source.schema.fields]).add("decoded", "string"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields]).add("decoded", "string"))

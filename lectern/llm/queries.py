@@ -5,17 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .extraction import extract_text
 from .minhash import near_duplicates
+from .pieces import encode_n_best
 from .shared import table
+from .tokencount import token_length_table
+from .toxicity import held_out, score_toxicity
+from .urlfilter import judge_urls
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_length_table(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), with_text=False)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode_n_best(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
+    return made.select(
+        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "scores",
+        F.xxhash64(F.to_json("changes")).alias("changes_hash"), "round_trip",
+    )
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "host", "path", "rule", "verdict", "host_words", "block_odds"
+    )
+
+
+OPERATORS = (
+    op3_html_extraction,
+    op4_token_counts,
+    op5_toxicity,
+    op6_minhash_near_dedup,
+    op7_sentencepiece,
+    op8_url_filter,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup,)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

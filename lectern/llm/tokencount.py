@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of this vocabulary (a fixed value).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
 _MADE: dict[tuple[str, str], tiktoken.Encoding] = {}

@@ -170,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
     return inputs, FactorizationMachine.fit([x for _, x, _ in got], base, len(inputs))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """All rows of ``docs`` with their columns, and ``toxicity``, a score from 0 to 1 (higher: more likely toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = True, **options) -> DataFrame:
+    """All rows of ``docs`` with their columns (without the text on request), and ``toxicity``, a score from 0 to 1 (higher: more likely toxic).
 
     The model sees the text alone. Rows repeat as they come; a null or empty text has no terms and
     gets the score of the constant, near the share of toxic rows; without labels of both kinds every
@@ -179,15 +179,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     named toxicity is replaced; other columns may have any name.
     """
     inputs, model = fit(docs, labels, **options)
-    docs = docs.drop("toxicity")
-    fields = docs.schema
-    at = docs.columns.index("text")
+    kept = [c for c in docs.columns if c != "toxicity" and (with_text or c != "text")]
+    source = docs.select(*kept, F.col("text").alias("__text"))
+    at = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(inputs)
         for batch in batches:
             found = model.scores([terms(text.as_py()) for text in batch.column(at)])
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.record_batch([*batch.columns[:at], pa.array(found, pa.float64())], names=[*kept, "toxicity"])
 
-    schema = type(fields)([*fields.fields]).add("toxicity", "double")
-    return docs.mapInArrow(run, schema)
+    return source.mapInArrow(run, type(source.schema)(source.schema.fields[:at]).add("toxicity", "double"))

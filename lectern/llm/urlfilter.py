@@ -174,7 +174,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: st
     prior, odds = learn(rows.where("verdict IS NOT NULL").select("host_words", "path", "verdict"))
 
     source = rows.select(*kept, "host", "path", "rule", "verdict", "host_words")
-    n = len(kept)
+    n, names = len(kept), [*source.columns, "block_odds"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +182,6 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: st
             score = [None if s else prior + float(odds[_tokens(w or [], p)].sum()) for p, s, w in zip(path, said, words, strict=True)]
             verdict = [s or ("block" if x > 0 else "allow") for s, x in zip(said, score, strict=True)]
             columns = [*batch.columns[: n + 3], pa.array(verdict, pa.string()), batch.column(n + 4), pa.array(score, pa.float64())]
-            yield pa.record_batch(columns, names=[*source.columns, "block_odds"])
+            yield pa.record_batch(columns, names=names)
 
     return source.mapInArrow(run, type(source.schema)([*source.schema.fields]).add("block_odds", "double"))
