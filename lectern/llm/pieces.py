@@ -350,7 +350,7 @@ def encode_n_best(docs: DataFrame, n: int = 4, model: str = MODEL, text_col: str
                 yield pa.record_batch([*part.columns[:at], ids, scores, changes, pa.array(back, pa.bool_())], names=[*kept, *new])
 
     ints = T.ArrayType(T.IntegerType())
-    change_type = T.StructType().add("at", "int").add("gone", "int").add("ids", ints)
+    change_type = T.StructType().add("at", "integer").add("gone", "integer").add("ids", ints)
     schema = T.StructType(source.schema.fields[:at]).add("ids", ints).add("scores", T.ArrayType(T.DoubleType()))
     schema = schema.add("changes", T.ArrayType(T.ArrayType(change_type))).add("round_trip", "boolean")
     return source.mapInArrow(run, schema)

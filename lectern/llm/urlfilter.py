@@ -24,9 +24,9 @@ from .shared import settled
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST_WORD = 24
 BUCKETS = 1 << 16
-#: Words that speak for blocking before any page is seen, and how many occurrences each counts for.
-SEEDS = "adult bet bets casino cheap clickbait crack escort farm gambling jackpot keygen loan loans malware pills poker porn replica sex spam torrent viagra warez xxx".split()
-SEED_COUNT = 20
+#: Words that speak for blocking before any page is seen, and the least log odds of each.
+SEEDS = "ads adult bet bets casino cheap clickbait crack escort farm gambling jackpot keygen loan loans malware pills poker porn replica sex spam torrent viagra warez xxx".split()
+SEED_ODDS = 8.0
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -142,12 +142,13 @@ def learn(decided: DataFrame, seeds=SEEDS) -> tuple[float, np.ndarray]:
             pages[:] = allow, block
         else:
             counts[:, b] = allow, block
-    for word in seeds:
-        for kind in "hp":
-            counts[1, zlib.crc32(f"{kind} {word}".encode()) % BUCKETS] += SEED_COUNT
     size = max(1, int((counts.sum(0) > 0).sum()))
     odds = np.log((counts[1] + 1) / (counts[1].sum() + size)) - np.log((counts[0] + 1) / (counts[0].sum() + size))
     odds[counts.sum(0) == 0] = 0.0
+    for word in seeds:
+        for kind in "hp":
+            b = zlib.crc32(f"{kind} {word}".encode()) % BUCKETS
+            odds[b] = max(odds[b], SEED_ODDS)
     return float(np.log((pages[1] + 1) / (pages[0] + 1))), odds
 
 
