@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extraction import extract_text
+from .linededup import ORACLE as LINE_DEDUP_SQL
+from .linededup import dedup_lines
 from .minhash import near_duplicates
 from .pieces import encode_n_best
 from .shared import table
@@ -47,6 +49,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OPERATORS = (
     op3_html_extraction,
     op4_token_counts,
@@ -54,6 +60,7 @@ OPERATORS = (
     op6_minhash_near_dedup,
     op7_sentencepiece,
     op8_url_filter,
+    op9_line_dedup,
 )
 
 
@@ -62,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": LINE_DEDUP_SQL}

@@ -77,14 +77,19 @@ def filter_bit(col: str):
     return F.xxhash64(col).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
 
 
-def id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of hashed ids: 4 MB, whatever the number of ids, of which at most 2**19 words reach the driver.
+def bitmap_table(ids: DataFrame, col: str) -> DataFrame:
+    """(word, mask) of a bitmap of hashed ids: at most 2**19 rows, whatever the number of ids.
 
     It lets a scan skip nearly all rows that a later join would drop; that join stays exact. With
     more ids than bits it no longer helps, and does no harm.
     """
     words = ids.select(filter_bit(col).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
-    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toPandas()
+    return words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+
+
+def id_bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """``bitmap_table`` as an array of 4 MB."""
+    found = bitmap_table(ids, col).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[found["word"].to_numpy()] = found["mask"].to_numpy()
     return out
