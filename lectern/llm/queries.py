@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .extraction import extract_text
 from .linededup import ORACLE as LINE_DEDUP_SQL
 from .linededup import dedup_lines
 from .minhash import near_duplicates
+from .mixing import mixing_rates
 from .pieces import encode_n_best
 from .shared import table
 from .tokencount import token_length_table
@@ -18,6 +20,10 @@ from .toxicity import held_out, score_toxicity
 from .urlfilter import judge_urls
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -53,7 +59,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 OPERATORS = (
+    op2_mixing,
     op3_html_extraction,
     op4_token_counts,
     op5_toxicity,
@@ -61,6 +72,7 @@ OPERATORS = (
     op7_sentencepiece,
     op8_url_filter,
     op9_line_dedup,
+    op10_approximate_neighbours,
 )
 
 
