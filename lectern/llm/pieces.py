@@ -73,7 +73,8 @@ class Pieces:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], size: int):
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces), default=1)
-        self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10.0
+        # Pieces that the model never makes by itself have scores far below all others.
+        self.unknown = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - 10.0
         self.text_of = [""] * size
         for p, (i, _) in pieces.items():
             self.text_of[i] = p.replace(SPACE, " ")

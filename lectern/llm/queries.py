@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .chroma import align, fingerprints, sung
 from .extraction import extract_text
 from .linededup import ORACLE as LINE_DEDUP_SQL
 from .linededup import dedup_lines
@@ -20,6 +21,12 @@ from .toxicity import held_out, score_toxicity
 from .urlfilter import judge_urls
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are the turns of ``conversations``, sung: the given tables have no audio."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return align(fingerprints(sung(turns)), ["conv_id", "turn"], F.col("conv_id") % 20 == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +71,7 @@ def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
+    op1_chroma_fingerprints,
     op2_mixing,
     op3_html_extraction,
     op4_token_counts,
