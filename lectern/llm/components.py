@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge, where component is the smallest node that it reaches.
+    """(node, component) for every node that reaches a smaller one; component is the smallest node that it reaches.
 
     Each step shuffles edges by node and keeps one minimum a node, so that a node with many edges
     is summed before the shuffle and its join is one that Spark can split. Each step's edges are
