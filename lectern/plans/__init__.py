@@ -1 +1,6 @@
+"""Registered queries, by theme."""
 
+from . import searching
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "searching"]
