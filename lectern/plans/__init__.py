@@ -1,6 +1,6 @@
 """Registered queries, by theme."""
 
-from . import searching
+from . import analysis, searching
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "searching"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "searching"]
