@@ -129,7 +129,7 @@ def iso_date(text: Column) -> Column:
 
 def month_year(text: Column) -> Column:
     """Like ``Mar 2024``; null where the text is no date."""
-    return F.date_format(F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")), "MMM yyyy")
+    return F.date_format(F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"), "MMM yyyy")
 
 
 def percent_shifted(text: Column, shift: int = 37) -> Column:

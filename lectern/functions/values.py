@@ -18,7 +18,7 @@ def finite(x: Column) -> Column:
 
 
 def finite_rounded(x: Column, digits: int = 4) -> Column:
-    return finite(rounded(x, digits))
+    return rounded(finite(x), digits)
 
 
 def rounded(x: Column, digits: int = 6) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries, by theme."""
 
-from . import analysis, searching
+from . import analysis, scoring, searching, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "searching"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "scoring", "searching", "texts"]
