@@ -63,21 +63,27 @@ def corpus_lookup(citations: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.withColumn("record_url", F.coalesce("exact_url", "plain_url")).drop("exact_url", "plain_url", "key")
 
 
-def exact_passages(passages: DataFrame, docs: DataFrame, width: int = 24) -> DataFrame:
-    """(passage_id, doc_id) of documents that hold a passage word for word.
+def exact_passages(passages: DataFrame, docs: DataFrame, longest: int = 5) -> DataFrame:
+    """(passage_id, doc_id) of documents that hold a passage, character for character.
 
-    Passages and documents meet on a hash of the passage's rarest kind of run: its first ``width``
-    characters at word starts; a substring test confirms. Passages of fewer characters use all they have.
+    If they do, the passage's words but the first and the last, which may be cut, are whole words of
+    the document. A hash of up to five of these is what both sides are joined on; a substring test
+    confirms. Passages of one or two words have no such words and must be whole words of the document.
+    Documents are hashed where they are read: one number a word is compared, texts only meet in hits.
     """
-    heads = passages.where(F.length("passage") > 0).select("passage_id", "passage", F.substring("passage", 1, width).alias("head"))
-    sizes = [r[0] for r in heads.select(F.length("head").alias("n")).distinct().collect()]  # at most ``width`` numbers
+    words = F.filter(F.split("passage", r"\s+"), lambda w: w != "")
+    asked = passages.select("passage_id", "passage", words.alias("w")).where(F.size("w") > 0)
+    inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(longest)))).otherwise(F.col("w"))
+    asked = asked.select("passage_id", "passage", F.size(inner).alias("k"), F.xxhash64(F.array_join(inner, " ")).alias("key"))
+    own = docs.select("doc_id", "text", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
     out = None
-    for n in sizes:
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-        keys = docs.select("doc_id", "text", F.explode(F.array_distinct(starts)).alias("head"))
-        hit = keys.join(heads.where(F.length("head") == n), "head").where(F.col("text").contains(F.col("passage"))).select("passage_id", "doc_id").distinct()
+    for k in range(1, longest + 1):
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))
+        keys = own.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+        hit = keys.join(asked.where(F.col("k") == k).select("passage_id", "key"), "key").select("passage_id", "doc_id").distinct()
         out = hit if out is None else out.union(hit)
-    return out if out is not None else passages.sparkSession.createDataFrame([], "passage_id long, doc_id long")
+    both = out.join(passages.select("passage_id", "passage"), "passage_id").join(docs.select("doc_id", "text"), "doc_id")
+    return both.where(F.col("text").contains(F.col("passage"))).select("passage_id", "doc_id")
 
 
 def doc_window(text: Column, snippet: Column, most: int) -> Column:
