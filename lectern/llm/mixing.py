@@ -8,7 +8,7 @@ alone: each step sums those over all documents, and a document's rate follows fr
 steps so far. Nothing but sums by domain, and their squares' matrix, reaches the driver.
 
 Steps are scaled by the inverse of that matrix (and by one over a document's tokens), which makes
-one the largest safe step length and lets a few steps do.
+one a safe step length and lets a few steps do.
 """
 
 from __future__ import annotations
@@ -75,19 +75,21 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], evidence:
     return sums.select("doc_id", "version", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """A document's rate after the steps so far: from 1, each takes off its posterior times the step, down to 0."""
+def _rate(steps: list[np.ndarray], most: float) -> Column:
+    """A document's rate after the steps so far: from 1, each takes off its posterior times the step, within 0 and ``most``."""
     if not steps:
         return F.lit(1.0)
     made = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(made, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    return F.aggregate(made, F.lit(1.0), lambda r, g: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(g))))
 
 
-def fit_rates(members: DataFrame, targets: list[float], budget: float = 1.25, most_steps: int = 40, near: float = 1e-6) -> tuple[Column, list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], budget: float = 1.25, most_rate: float = 8.0, most_steps: int = 40, near: float = 1e-6) -> tuple[Column, list[float]]:
     """(the rate as a column over ``members``, expected token totals) by projected gradient least squares.
 
-    Targets are shares of ``budget`` times all tokens. It ends when no residual changes by more than
+    Targets are shares of ``budget`` times all tokens. Rates stay within 0 and ``most_rate``, the most
+    copies of a document that a mix may have; and a small ridge holds back domains with next to no
+    tokens, whose targets nothing can meet, so that they don't drive all rates up. It ends when no residual changes by more than
     ``near`` of all tokens, or after ``most_steps`` passes over ``members``.
     """
     k = range(len(targets))
@@ -99,15 +101,15 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float = 1.25, mo
     if not every:
         return F.lit(1.0), [0.0 for _ in k]
     matrix = np.array(first[1:]).reshape(len(targets), -1)
-    inverse = np.linalg.inv(matrix + np.eye(len(targets)) * 1e-9 * every)
+    inverse = np.linalg.inv(matrix + np.eye(len(targets)) * 2e-3 * every)
     wanted = np.array(targets) / sum(targets) * every * budget
     steps: list[np.ndarray] = []
     before = None
     while True:
-        sums = members.withColumn("r", _rate(steps)).agg(*[F.sum(F.col("r") * F.col("tokens") * p[i]) for i in k]).first()
+        sums = members.withColumn("r", _rate(steps, most_rate)).agg(*[F.sum(F.col("r") * F.col("tokens") * p[i]) for i in k]).first()
         rest = np.array(sums, float) - wanted
         if len(steps) == most_steps or np.abs(rest).max() < near * every or before is not None and np.abs(rest - before).max() < near * every:
-            return _rate(steps), [float(x) for x in sums]
+            return _rate(steps, most_rate), [float(x) for x in sums]
         before = rest
         steps.append(inverse @ rest)
 
