@@ -40,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def pieces(batch_col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch_col: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Parts (first row, end row, bytes, offsets) of a text column, of about ``most`` bytes each.
 
     A longer text makes a part of its own. Nulls count as empty texts.
