@@ -15,6 +15,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settled
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of this vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,7 +82,8 @@ def token_length_table(docs: DataFrame, text_col: str = "text", ranks: str = RAN
     Null and empty texts count as length 0; repeated rows count each; an empty table gives no rows;
     other columns are ignored. Texts are encoded whole.
     """
-    return suffix_sums(histogram(encoded_lengths(docs, text_col, ranks)))
+    # The sums read the histogram twice: it is written, so that documents are encoded once.
+    return suffix_sums(settled(histogram(encoded_lengths(docs, text_col, ranks)), "lengths"))
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
