@@ -76,12 +76,13 @@ def exact_passages(passages: DataFrame, docs: DataFrame, longest: int = 5) -> Da
     inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(longest)))).otherwise(F.col("w"))
     asked = asked.select("passage_id", "passage", F.size(inner).alias("k"), F.xxhash64(F.array_join(inner, " ")).alias("key"))
     own = docs.select("doc_id", "text", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    out = None
-    for k in range(1, longest + 1):
+    out = asked.select("passage_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).limit(0)
+    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most ``longest`` numbers, and as many passes over the documents
+    for k in sizes:
         runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))
         keys = own.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
         hit = keys.join(asked.where(F.col("k") == k).select("passage_id", "key"), "key").select("passage_id", "doc_id").distinct()
-        out = hit if out is None else out.union(hit)
+        out = out.union(hit)
     both = out.join(passages.select("passage_id", "passage"), "passage_id").join(docs.select("doc_id", "text"), "doc_id")
     return both.where(F.col("text").contains(F.col("passage"))).select("passage_id", "doc_id")
 
