@@ -3,8 +3,11 @@
 The word model is counted over the visible words of all pages. Each distinct run of letters in a
 host is cut into the words of greatest joint probability: Spark joins the run's substrings with the
 counted words, so that a run meets only words that it holds, and the best path is found a run at a
-time. Pages that a rule decides teach a multinomial naive Bayes model over hashed tokens of the
-segmented host and of the path, along with a short list of seed words; it decides the other pages.
+time. No page has a
+label, so a short list of seed words gives them: a page whose host holds such a word is an example
+for blocking, any other for allowing. They teach a multinomial naive Bayes model over hashed tokens of
+the segmented host and of the path, which decides the pages that no rule fits. Rules teach nothing: a
+site's rule on a path says little about other sites' paths.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ from .shared import settled
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST_WORD = 24
 BUCKETS = 1 << 16
-#: Words that speak for blocking before any page is seen, and the least log odds of each.
+#: Words that speak for blocking, the least log odds of each (in hosts: on top of the prior), and its least share of all words in the word model.
 SEEDS = "ads adult bet bets casino cheap clickbait crack escort farm gambling jackpot keygen loan loans malware pills poker porn replica sex spam torrent viagra warez xxx".split()
 SEED_ODDS = 8.0
+SEED_SHARE = 1e-5
+#: The weight of all pages' token shares in those of either side, in tokens.
+SMOOTHING = 100.0
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -85,8 +91,14 @@ def best_split(run: str, found: list[tuple[int, int, int]], total: int) -> list[
     return out[::-1]
 
 
-def segment_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, words) for distinct letter runs (column run), by the counts in ``words``.
+def seeds_in(run: str, total: int, seeds=SEEDS) -> list[tuple[int, int, float]]:
+    """(start, length, least count) of the seed words in a run, which the pages' prose may never use."""
+    least = max(1.0, SEED_SHARE * total)
+    return [(m.start(), len(w), least) for w in seeds for m in re.finditer(f"(?={w})", run)] if total else []
+
+
+def segment_runs(runs: DataFrame, words: DataFrame, seeds=SEEDS) -> DataFrame:
+    """(run, words) for distinct letter runs (column run), by the counts in ``words`` and the seed words.
 
     A run of L letters makes at most 24 L substrings, whatever the number of words.
     """
@@ -101,7 +113,7 @@ def segment_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            made = [best_split(t, [tuple(x.values()) for x in f or []], total) for t, f in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            made = [best_split(t, [tuple(x.values()) for x in f or []] + seeds_in(t, total, seeds), total) for t, f in zip(texts, batch.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.list_(pa.string()))], names=["run", "words"])
 
     return every.mapInArrow(run, "run string, words array<string>")
@@ -133,33 +145,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def learn(decided: DataFrame, seeds=SEEDS) -> tuple[float, np.ndarray]:
-    """(prior log odds, log odds by bucket) for blocking, from (words, path, verdict); at most 65,537 counts reach the driver."""
-    rows = decided.mapInArrow(_count, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow"), F.sum("block")).collect()
+def learn(labelled: DataFrame, seeds=SEEDS) -> tuple[float, np.ndarray]:
+    """(prior log odds, log odds by bucket) for blocking, from (words, path, verdict); at most 65,537 counts reach the driver.
+
+    Either side's shares of tokens are smoothed towards the shares in all pages, so that a side with
+    few pages lends rare tokens no odds of its own.
+    """
+    rows = labelled.mapInArrow(_count, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow"), F.sum("block")).collect()
     counts, pages = np.zeros((2, BUCKETS)), np.zeros(2)
     for b, allow, block in rows:
         if b < 0:
             pages[:] = allow, block
         else:
             counts[:, b] = allow, block
-    size = max(1, int((counts.sum(0) > 0).sum()))
-    odds = np.log((counts[1] + 1) / (counts[1].sum() + size)) - np.log((counts[0] + 1) / (counts[0].sum() + size))
-    odds[counts.sum(0) == 0] = 0.0
+    prior = float(np.log((pages[1] + 1) / (pages[0] + 1)))
+    seen = counts.sum(0) > 0
+    share = SMOOTHING * counts.sum(0)[seen] / max(1.0, counts.sum())
+    block, allow = ((counts[side, seen] + share) / (counts[side].sum() + SMOOTHING) for side in (1, 0))
+    odds = np.zeros(BUCKETS)
+    odds[seen] = np.log(block / allow)
     for word in seeds:
-        for kind in "hp":
+        for kind, least in (("h", SEED_ODDS - min(0.0, prior)), ("p", SEED_ODDS)):
             b = zlib.crc32(f"{kind} {word}".encode()) % BUCKETS
-            odds[b] = max(odds[b], SEED_ODDS)
-    return float(np.log((pages[1] + 1) / (pages[0] + 1))), odds
+            odds[b] = max(odds[b], least)
+    return prior, odds
 
 
-def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` but the html, with host, path, rule, verdict, host_words and block_odds.
 
     The verdict is that of the longest rule that fits, else ``block`` where the model's log odds for
     blocking are above 0 and ``allow`` elsewhere; block_odds is null where a rule decides. A null url,
     or one without ``://``, has an empty host and path and gets the model's prior. Null html has no
-    words. Without any page the result is empty; without pages that rules decide the prior is even
-    and the seed words alone count. Repeated rows are judged alike; columns that have the new names
+    words. Without any page the result is empty; without hosts that hold a seed word no token speaks
+    for blocking but the seed words. Repeated rows are judged alike; columns that have the new names
     are replaced.
     """
     kept = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict", "host_words", "block_odds")]
@@ -168,11 +187,12 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: st
     parted = parted.select("*", rule.alias("rule"), verdict.alias("verdict"))
     hosts = parted.select("host").distinct().select("host", F.regexp_extract_all("host", F.lit("[a-z]+"), 0).alias("runs"))
     placed = hosts.select("host", F.posexplode("runs").alias("at", "run"))
-    split = segment_runs(placed.select("run").distinct(), word_counts(pages, html_col))
+    split = segment_runs(placed.select("run").distinct(), word_counts(pages, html_col), seeds)
     by_host = placed.join(split, "run").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
     by_host = by_host.select("host", F.flatten("w.words").alias("host_words"))
     rows = settled(parted.join(by_host, "host", "left"), "urls")
-    prior, odds = learn(rows.where("verdict IS NOT NULL").select("host_words", "path", "verdict"))
+    said = F.when(F.coalesce(F.arrays_overlap("host_words", F.array(*map(F.lit, seeds))), F.lit(False)), "block").otherwise("allow")
+    prior, odds = learn(rows.select("host_words", "path", said.alias("verdict")), seeds)
 
     source = rows.select(*kept, "host", "path", "rule", "verdict", "host_words")
     n, names = len(kept), [*source.columns, "block_odds"]

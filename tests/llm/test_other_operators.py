@@ -94,6 +94,18 @@ def test_urls_are_judged_by_words_of_their_hosts(spark):
     assert urlfilter.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_urls_learn_from_seeds_and_leave_other_pages_alone(spark):
+    """Words that stand beside seed words speak for blocking; paths that a rule blocks on one site don't, on others."""
+    text = "<p>" + "garden winner river stone and the old " * 30 + "</p>"
+    rows = [(i, f"http://casinowinner{'' if i % 2 else 's'}.net/en/{i}", text) for i in range(20)] + [(100 + i, f"http://example.org/es/{i}", text) for i in range(60)]
+    rows += [(200 + i, f"http://www.{h}.net/{lang}/{i}", text) for i, (h, lang) in enumerate((h, lang) for h in ("garden", "riverstone", "oldgarden", "qzxv") for lang in ("en", "es", "fr"))]
+    rows += [(300, "https://winner.net/en/5", text), (301, "https://essexgarden.net/es/1", text)]
+    got = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1].host_words == ["casino", "winner", "net"] and all(got[i].verdict == "block" for i in range(20))
+    assert all(got[i].verdict == "block" and got[i].rule == "example.org/es/" for i in range(100, 160))
+    assert {i: r.verdict for i, r in got.items() if 200 <= i < 300 and r.verdict != "allow"} == {} and got[301].verdict == "allow"
+
+
 # Lengths
 
 
