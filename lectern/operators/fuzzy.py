@@ -1,4 +1,4 @@
-"""Passages that a document holds nearly: candidates by shared word runs, then the best window's similarity."""
+"""Passages that a document holds nearly: a filter that misses none, then the best window's similarity."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), and passages of a block.
+WORD, LANE, STATE, BLOCK = 64, 1024, 16_384, 64
 
 def _common(masks: dict[str, int], width: int, text: str) -> int:
     """Length of the longest common subsequence, a bit a character of the shorter string."""
@@ -55,30 +57,124 @@ def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
     return found
 
 
-def candidates(passages: DataFrame, docs: DataFrame, width: int = 5) -> DataFrame:
-    """(passage_id, doc_id) with a common run of ``width`` words, in lower case; shorter passages have their whole run."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    hashed = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(k)), " ")))
-    left = passages.select("passage_id", words("passage").alias("w")).where(F.size("w") >= width).select("passage_id", F.explode(F.array_distinct(hashed("w", width))).alias("key"))
-    right = docs.select("doc_id", words("text").alias("w")).where(F.size("w") >= width).select("doc_id", F.explode(F.array_distinct(hashed("w", width))).alias("key"))
-    return left.join(right, "key").select("passage_id", "doc_id").distinct()
+def _pieces(text: str, budget: int) -> list[tuple[str, int]]:
+    """``text`` in even pieces of at most a machine word, with each one's share of the edits."""
+    m = len(text)
+    count = -(-m // WORD)
+    cuts = [m * i // count for i in range(count + 1)]
+    return [(text[a:b], budget * (b - a) // m) for a, b in zip(cuts, cuts[1:])]
+
+
+def may_hold(patterns: list[str], texts: list[str], threshold: float) -> np.ndarray:
+    """Whether a text may have a window at least ``threshold`` like a pattern (a row a pattern, a column a text); none that has is missed.
+
+    A window no longer than the pattern that is like enough is made of it by at most (1 - threshold) *
+    2 * (length) insertions and deletions. Of the pattern's pieces, one then has no more than its
+    share, so that its edit distance to some part of the text, which Myers' bit vectors give for all
+    pieces and many texts at once, is within that share.
+    """
+    out = np.zeros((len(patterns), len(texts)), bool)
+    cut = [_pieces(p, int((1 - threshold) * 2 * len(p) + 1e-6)) for p in patterns]
+    pieces = [x for c in cut for x in c]
+    if not pieces or not texts:
+        return out
+    signs = np.unique(np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32))
+    # Pieces end at the highest bit; the bits below them match any character, which lets a match start anywhere. The last row is for characters of no piece.
+    masks = np.zeros((len(signs) + 1, len(pieces)), np.uint64)
+    rows = np.zeros(len(pieces), np.uint64)
+    at = {int(c): i for i, c in enumerate(signs)}
+    for k, (piece, _) in enumerate(pieces):
+        low = WORD - len(piece)
+        rows[k] = ((1 << WORD) - 1) >> low << low
+        masks[:, k] = (1 << low) - 1
+        for i, c in enumerate(piece):
+            masks[at[ord(c)], k] |= np.uint64(1 << (low + i))
+    sizes = np.array([len(p) for p, _ in pieces], np.int8)
+    limits = np.array([min(e, n) for (_, e), n in zip(pieces, sizes.tolist())], np.int8)
+    firsts = np.cumsum([0] + [len(c) for c in cut[:-1]])
+    lanes: list[tuple[int, np.ndarray]] = []
+    for t, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = np.minimum(np.searchsorted(signs, codes), len(signs) - 1)
+        found = np.where(signs[found] == codes, found, len(signs))
+        # A part that is within its share of edits of a piece has under two words' characters.
+        lanes += [(t, found[i : i + LANE]) for i in range(0, max(1, len(found) - 2 * WORD), LANE - 2 * WORD)]
+    lanes.sort(key=lambda x: -len(x[1]))
+    width = max(1, STATE // len(pieces))
+    one = np.uint64(1)
+    for i in range(0, len(lanes), width):
+        group = lanes[i : i + width]
+        shape = (len(group), len(pieces))
+        codes = np.full((len(group[0][1]), len(group)), len(signs))
+        for j, (_, c) in enumerate(group):
+            codes[: len(c), j] = c
+        up, down = np.broadcast_to(rows, shape).copy(), np.zeros(shape, np.uint64)
+        eq, same, plus, minus = (np.empty(shape, np.uint64) for _ in range(4))
+        score = np.broadcast_to(sizes, shape).copy()
+        best, sign = score.copy(), np.empty(shape, bool)
+        for step in codes:
+            np.take(masks, step, axis=0, out=eq, mode="clip")
+            np.bitwise_and(eq, up, out=same)
+            same += up
+            same ^= up
+            same |= eq
+            same |= down
+            np.bitwise_or(same, up, out=plus)
+            np.invert(plus, out=plus)
+            plus |= down
+            np.bitwise_and(same, up, out=minus)
+            np.less(plus.view(np.int64), 0, out=sign)
+            score += sign.view(np.int8)
+            np.less(minus.view(np.int64), 0, out=sign)
+            score -= sign.view(np.int8)
+            np.minimum(best, score, out=best)
+            np.left_shift(plus, one, out=plus)
+            np.left_shift(minus, one, out=minus)
+            np.bitwise_or(same, plus, out=up)
+            np.invert(up, out=up)
+            up |= minus
+            np.bitwise_and(plus, same, out=down)
+        hit = np.logical_or.reduceat(best <= limits, firsts, axis=1)
+        for j, (t, _) in enumerate(group):
+            out[:, t] |= hit[j]
+    return out
+
+
+def _matches(passages: list[str], texts: list[str], threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(passage's place, text's place, score) of all pairs that are at least ``threshold`` alike."""
+    by_size = sorted((i for i, p in enumerate(passages) if p), key=lambda i: len(passages[i]))
+    for i in range(0, len(by_size), BLOCK):
+        block = by_size[i : i + BLOCK]
+        own = [passages[k] for k in block]
+        # Of a pair, the shorter string is the pattern: texts between the block's shortest and longest passage are tried both ways.
+        long = [t for t, x in enumerate(texts) if len(x) >= len(own[0])]
+        short = [t for t, x in enumerate(texts) if 0 < len(x) < len(own[-1])]
+        ways = [(a, b) for a, b in np.argwhere(may_hold(own, [texts[t] for t in long], threshold)) if len(own[a]) <= len(texts[long[b]])]
+        pairs = [(block[a], long[b]) for a, b in ways]
+        ways = [(a, b) for b, a in np.argwhere(may_hold([texts[t] for t in short], own, threshold)) if len(own[a]) > len(texts[short[b]])]
+        pairs += [(block[a], short[b]) for a, b in ways]
+        for p, t in pairs:
+            score = partial_ratio(passages[p], texts[t], threshold)
+            if score >= threshold:
+                yield p, t, score
 
 
 def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(passage_id, doc_id, score) of documents whose best window is at least ``threshold`` like the passage.
+    """(passage_id, doc_id, score) of documents whose best window is at least ``threshold`` like the passage, of whatever length either is.
 
-    Pairs must share a run of five words. Pairs where the passage is in the text score 1 without an alignment.
+    The passages are a set of questions that the driver holds: each is compared with all documents,
+    in blocks where the documents are read, so that the work is passages times documents.
     """
-    pairs = candidates(passages, docs).join(passages.select("passage_id", "passage"), "passage_id").join(docs.select("doc_id", "text"), "doc_id")
-    exact = F.col("text").contains(F.trim("passage"))
+    asked = [(r["passage_id"], p) for r in passages.select("passage_id", "passage").collect() if (p := (r["passage"] or "").strip())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [partial_ratio(p.strip(), t, threshold) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["passage_id", "doc_id", "score"])
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            got = [(asked[p][0], ids[t], score) for p, t, score in _matches([p for _, p in asked], texts, threshold)]
+            columns = zip(*got) if got else ([], [], [])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["passage_id", "doc_id", "score"])
 
-    near = pairs.where(~exact).select("passage_id", "doc_id", "passage", "text").mapInArrow(run, "passage_id long, doc_id long, score double")
-    return pairs.where(exact).select("passage_id", "doc_id", F.lit(1.0).alias("score")).union(near.where(F.col("score") >= threshold))
+    return docs.select("doc_id", "text").mapInArrow(run, "passage_id long, doc_id long, score double")
 
 
 def best_records(scored: DataFrame) -> DataFrame:

@@ -89,6 +89,29 @@ def test_partial_ratio_is_the_best_window(a, b):
     assert fuzzy.partial_ratio(a, b) == pytest.approx(want)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abc d", max_size=90), max_size=4), st.lists(st.text("abcd e", max_size=200), max_size=4), st.sampled_from([0.65, 0.8, 0.85]))
+def test_fuzzy_filter_misses_nothing(passages, texts, threshold):
+    passages += [t[3:80] for t in texts[:2]]
+    want = {(p, t): s for p, a in enumerate(passages) for t, b in enumerate(texts) if (s := fuzzy.partial_ratio(a, b)) >= threshold}
+    assert {(p, t): s for p, t, s in fuzzy._matches(passages, texts, threshold)} == pytest.approx(want)
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 500))) for _ in range(12)] + ["", "one", "short text"]
+    worn = [w if i % 4 else w[:-1] + "z" for i, w in enumerate(texts[0].split()[:40])]
+    passages = [" ".join(worn), texts[1][10:30], "short", " ".join(texts[2].split()[:3]), "a one of many", texts[3][-50:] + " and more", " ", "zzzz yyyy xxxx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = fuzzy.fuzzy_passages(spark.createDataFrame(list(enumerate(passages)), "passage_id long, passage string"), docs).collect()
+    want = {(p, d): s for p, a in enumerate(passages) for d, t in enumerate(texts) if a.strip() and (s := fuzzy.partial_ratio(a.strip(), t)) >= 0.85}
+    assert (0, 0) in want and (2, 14) in want and (4, 13) in want
+    assert {(r.passage_id, r.doc_id): r.score for r in got} == pytest.approx(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.text("ab \n", min_size=1, max_size=900), st.sampled_from(["# One", "## Two", "### Three", "**Abstract.** x", "#### Four"])), max_size=14))
 def test_chunks_keep_all_paragraphs(paragraphs):
