@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .citations import corpus_lookup
+
 #: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), and passages of a block.
 WORD, LANE, STATE, BLOCK = 64, 1024, 16_384, 64
 
@@ -174,7 +176,33 @@ def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85
             columns = zip(*got) if got else ([], [], [])
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["passage_id", "doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "passage_id long, doc_id long, score double")
+    # A text is work for seconds where there are many passages, so that texts are dealt evenly.
+    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    return docs.select("doc_id", "text").repartition(parts).mapInArrow(run, "passage_id long, doc_id long, score double")
+
+
+def verify_passages(items: DataFrame, records: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """(item_id, record_url, score, verified, reason) of items (item_id, url, passage), each against its cited record (url, text) alone.
+
+    Verified are those whose record has a window at least ``threshold`` like the passage; their score
+    is the best window's. The others have no score and the reason. Items without a url or a passage
+    are not checked and give no row. Of records that repeat a url the best counts.
+    """
+    asked = corpus_lookup(items.where(F.col("url").isNotNull() & F.col("passage").isNotNull()), records)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [partial_ratio((p or "").strip(), t or "", threshold) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.record_batch([batch.column(0), pa.array(score, pa.float64())], names=["item_id", "score"])
+
+    pairs = asked.select("item_id", "passage", "record_url").join(records.select(F.col("url").alias("record_url"), "text"), "record_url")
+    kind = items.schema["item_id"].dataType.simpleString()
+    scored = pairs.select("item_id", "passage", "text").mapInArrow(run, f"item_id {kind}, score double")
+    best = scored.where((F.col("score") >= threshold) & (F.col("score") > 0)).groupBy("item_id").agg(F.max("score").alias("score"))
+    reason = F.when(F.col("record_url").isNull(), F.concat(F.lit("URL not in corpus: "), "url")).when(
+        F.col("score").isNull(), F.concat(F.lit("source_passage not found in "), "url", F.lit(" (below threshold)"))
+    )
+    return asked.join(best, "item_id", "left").select("item_id", "record_url", "score", F.col("score").isNotNull().alias("verified"), reason.alias("reason"))
 
 
 def best_records(scored: DataFrame) -> DataFrame:

@@ -112,6 +112,26 @@ def test_fuzzy_passages_against_brute_force(spark):
     assert {(r.passage_id, r.doc_id): r.score for r in got} == pytest.approx(want)
 
 
+def test_passages_in_cited_records(spark):
+    pages = {"https://a.b/1": "the whole text of the first record, at some length", "https://a.b/2": "quite another text"}
+    items = [
+        (1, "https://a.b/1", "text of the first record"), (2, "https://a.b/1#x", "text of tha first  record"), (3, "https://a.b/2", "text of the first record"),
+        (4, "https://no.where/", "quite another text"), (5, "https://a.b/2/", " "), (6, None, "quite"), (7, "https://a.b/2", None), (8, "https://a.b/1/", "txt f th frst rcrd"),
+    ]
+    records = spark.createDataFrame(list(pages.items()), "url string, text string")
+    asked = spark.createDataFrame(items, "item_id long, url string, passage string")
+    for threshold in (0.65, 0.8, 0.9):
+        got = {r.item_id: r for r in fuzzy.verify_passages(asked, records, threshold).collect()}
+        assert set(got) == {1, 2, 3, 4, 5, 8}
+        for i, url, passage in items:
+            if i in got:
+                score = fuzzy.partial_ratio(passage.strip(), pages.get(url.split("#")[0].rstrip("/"), ""))
+                assert got[i].verified == (score >= threshold) and got[i].score == (pytest.approx(score) if score >= threshold else None)
+        assert got[1].score == 1 and got[1].reason is None and got[4].reason == "URL not in corpus: https://no.where/"
+        assert got[3].reason == "source_passage not found in https://a.b/2 (below threshold)"
+        assert got[2].verified and got[8].verified == (threshold == 0.65)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.text("ab \n", min_size=1, max_size=900), st.sampled_from(["# One", "## Two", "### Three", "**Abstract.** x", "#### Four"])), max_size=14))
 def test_chunks_keep_all_paragraphs(paragraphs):
