@@ -3,9 +3,11 @@
 The terms of a text are its distinct words (lower case) and their beginnings of four, five and six
 characters, so that one stem counts under all its endings; each is hashed to a bucket. Spark counts,
 over all training rows of the sample, in how many toxic and in how many other documents each bucket
-occurs; the buckets whose counts depend on the label (a likelihood-ratio test) make the model's
-inputs. The machine learns a weight for each, and a vector whose inner products are the weights of
-pairs, such as an insult with the mention of a group, which no sum of single weights can express.
+occurs. All buckets of the sample are the model's inputs; those whose counts depend on the label (a
+likelihood-ratio test) are learnt at the full scale, the others, which may count in pairs only, at a
+small one, so that the penalty keeps their noise down. The machine learns a weight for each, and a
+vector whose inner products are the weights of pairs, such as an insult with the mention of a group,
+which no sum of single weights can express.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ BUCKETS = 1 << 20
 STEMS = (4, 5, 6)
 #: Words whose buckets a worker remembers; beyond that it starts afresh.
 REMEMBERED = 200_000
+#: The scale of inputs that have no link with the label of their own, and the entries (inputs of rows) that are summed together.
+WEAK = 0.05
+ENTRIES = 500_000
 
 
 def _buckets(word: str) -> tuple[int, ...]:
@@ -37,7 +42,7 @@ def _buckets(word: str) -> tuple[int, ...]:
 class _Terms:
     """The distinct buckets of a text, or the model's inputs among them."""
 
-    def __init__(self, inputs: dict[int, int] | None = None):
+    def __init__(self, inputs: np.ndarray | None = None):
         self.inputs, self.known = inputs, {}
 
     def __call__(self, text: str | None) -> set[int]:
@@ -50,7 +55,7 @@ class _Terms:
                     known.clear()
                 got = _buckets(word)
                 if inputs is not None:
-                    got = tuple(inputs[b] for b in got if b in inputs)
+                    got = tuple(i for b in got if (i := int(inputs[b])))
                 known[word] = got
             if got:
                 out.update(got)
@@ -71,14 +76,12 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(part), pa.array(toxic[part]), pa.array(docs[part])], names=["bucket", "toxic", "docs"])
 
 
-def _find_inputs(inputs: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(inputs)
-        for batch in batches:
-            found = [sorted(terms(text.as_py())) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "inputs", "toxic"])
-
-    return run
+def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, buckets as 32-bit numbers in order, toxic)."""
+    terms = _Terms()
+    for batch in batches:
+        found = [np.array(sorted(terms(text.as_py())), np.int32).tobytes() for text in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "buckets", "toxic"])
 
 
 class FactorizationMachine:
@@ -97,6 +100,24 @@ class FactorizationMachine:
         flat[held] = np.fromiter((x for r in rows for x in r), np.int64, int(held.sum()))
         return flat, starts, np.repeat(np.arange(len(rows)), sizes)
 
+    @staticmethod
+    def _parts(sizes: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of rows with about ``ENTRIES`` entries each."""
+        part = (np.cumsum(sizes) - sizes) // ENTRIES
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]))
+
+    @classmethod
+    def _sums(cls, values: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of ``values`` over runs of the places ``at``; no run is empty."""
+        values = np.ascontiguousarray(values, np.float32)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        out = np.empty(len(sizes))
+        for i, j in cls._parts(sizes):
+            out[i:j] = np.add.reduceat(values[at[starts[i] : ends[j - 1]]], starts[i:j] - starts[i])
+        return out
+
     def _logits(self, flat, starts):
         v = self.factors[flat]
         sums = np.add.reduceat(v, starts, axis=0)
@@ -105,34 +126,62 @@ class FactorizationMachine:
     def scores(self, rows: list) -> np.ndarray:
         if not rows:
             return np.zeros(0)
-        flat, starts, _ = self._flat(rows)
-        return 1 / (1 + np.exp(-np.clip(self._logits(flat, starts)[0], -40, 40)))
+        out = []
+        for i, j in self._parts(np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))):
+            flat, starts, _ = self._flat(rows[i:j])
+            out.append(1 / (1 + np.exp(-np.clip(self._logits(flat, starts)[0], -40, 40))))
+        return np.concatenate(out)
 
     @classmethod
-    def fit(cls, rows: list, labels: np.ndarray, n_inputs: int, rank: int = 4, steps: int = 150, rate: float = 0.1, decay: float = 2e-5):
-        """Full-batch Adam on the mean log loss with an L2 penalty; the same rows give the same model."""
+    def fit(cls, rows: list, labels: np.ndarray, n_inputs: int, rank: int = 4, steps: int = 150, rate: float = 0.1, decay: float = 2e-5, scale: np.ndarray | None = None):
+        """Full-batch Adam on the mean log loss with an L2 penalty; the same rows give the same model.
+
+        ``scale`` (of input 0 and the others; 1 by default) multiplies what is learnt for an input, which
+        slows it and makes it cost more by the penalty.
+        """
         rng = np.random.default_rng(11)
-        model = cls(np.zeros(n_inputs + 1), rng.normal(0, 0.05, (n_inputs + 1, rank)))
+        scale = np.ones(n_inputs + 1) if scale is None else np.asarray(scale, float)
+        model = cls(np.zeros(n_inputs + 1), rng.normal(0, 0.05, (n_inputs + 1, rank)) * scale[:, None])
         model.factors[0] = 0
         base = np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 1 - 1e-4)
         model.weights[0] = np.log(base / (1 - base))
         if not n_inputs or not len(rows):
             return model
-        flat, starts, row = cls._flat(rows)
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (model.weights, model.factors)]
+        # The constant is input 0 of every row; its vector is zero.
+        sizes = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        held = np.ones(len(flat), bool)
+        held[np.cumsum(sizes) - sizes] = False
+        flat[held] = np.concatenate([np.asarray(r, np.int32) for r in rows])
+        order = np.argsort(flat, kind="stable")
+        members = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        counts = np.bincount(flat, minlength=n_inputs + 1)
+        seen = np.flatnonzero(counts)
+        counts = counts[seen]
+        del held, order
+        params = [model.weights, model.factors / scale[:, None]]
+        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+        gw, gv = np.zeros_like(params[0]), np.zeros_like(params[1])
         for step in range(1, steps + 1):
-            z, sums = model._logits(flat, starts)
+            weights, factors = params[0] * scale, params[1] * scale[:, None]
+            sums = np.stack([cls._sums(factors[:, f], flat, sizes) for f in range(rank)], 1)
+            z = cls._sums(weights - 0.5 * (factors**2).sum(1), flat, sizes) + 0.5 * (sums**2).sum(1)
             error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(labels)
-            each = error[row]
-            gw = np.bincount(flat, each, n_inputs + 1)
-            gv = np.stack([np.bincount(flat, each * sums[row, f], n_inputs + 1) for f in range(rank)], 1) - model.factors * gw[:, None]
-            gw[1:] += decay * model.weights[1:]
-            gv += decay * model.factors
+            plain = cls._sums(error, members, counts)
+            gw[seen] = plain
+            gv[seen] = np.stack([cls._sums(error * sums[:, f], members, counts) for f in range(rank)], 1) - factors[seen] * plain[:, None]
+            gw *= scale
+            gv *= scale[:, None]
+            gw[1:] += decay * params[0][1:]
+            gv += decay * params[1]
             gv[0] = 0
-            for p, g, m in ((model.weights, gw, moments[0]), (model.factors, gv, moments[1])):
+            for p, g, m in ((params[0], gw, moments[0]), (params[1], gv, moments[1])):
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.999 * m[1] + 0.001 * g * g
                 p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+            gw[:] = 0
+            gv[:] = 0
+        model.weights, model.factors = params[0] * scale, params[1] * scale[:, None]
         return model
 
 
@@ -142,17 +191,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4096, least_g2: float = 15.0):
-    """(inputs by bucket, model) from labelled rows that are not held out.
+    """(input by bucket, 0 for none; model) from labelled rows that are not held out.
 
     At most ``max_rows`` labelled rows train the model, picked by a hash of their ids (all, where
-    there are fewer); that bounds the join's broadcast side and what reaches the driver. At most
-    ``max_terms`` buckets, those with the highest likelihood ratio of at least ``least_g2``, are inputs.
+    there are fewer); that bounds the join's broadcast side and what reaches the driver. All their
+    buckets are inputs; at most ``max_terms``, those with the highest likelihood ratio of at least
+    ``least_g2``, have the full scale, the others ``WEAK``.
     """
     rows = bounded_labels(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), max_rows, F.col("toxic").isin(0, 1) & ~held_out())
     train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = totals["n"] or 0, totals["t"] or 0
-    inputs: dict[int, int] = {}
+    strong: list[int] = []
+    found = None
     if 0 < t < n:
         # Counts over the sample; a row's share of the toxic ones against the share of all.
         counts = train.select("text", F.col("toxic").cast("long")).mapInArrow(_count_buckets, "bucket long, toxic long, docs long")
@@ -163,11 +214,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: i
             part(x, y) for x, y in ((a, d * t / n), (d - a, d * (n - t) / n), (t - a, (n - d) * t / n), (n - t - d + a, (n - d) * (n - t) / n))
         )
         best = counts.select("bucket", g2.alias("g2")).where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "bucket").limit(max_terms)
-        inputs = {r["bucket"]: i + 1 for i, r in enumerate(best.collect())}
-    found = train.select("doc_id", "text", "toxic").mapInArrow(_find_inputs(inputs), "doc_id long, inputs array<int>, toxic int") if inputs else None
-    got = sorted((r["doc_id"], r["inputs"], r["toxic"]) for r in found.collect()) if found is not None else []
+        strong = [r["bucket"] for r in best.collect()]
+        found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, buckets binary, toxic int").toArrow()
+    got = sorted(zip(*(found.column(k).to_pylist() for k in range(3)))) if found is not None else []
     base = np.array([y for *_, y in got], float) if got else np.array([1.0] * t + [0.0] * (n - t))
-    return inputs, FactorizationMachine.fit([x for _, x, _ in got], base, len(inputs))
+    inputs = np.zeros(BUCKETS, np.int32)
+    for _, x, _ in got:
+        inputs[np.frombuffer(x, np.int32)] = 1
+    used = np.flatnonzero(inputs)
+    inputs[used] = np.arange(1, len(used) + 1)
+    scale = np.full(len(used) + 1, WEAK)
+    scale[[0, *inputs[strong].tolist()]] = 1
+    own = [inputs[np.frombuffer(x, np.int32)] for _, x, _ in got]
+    del found, got
+    model = FactorizationMachine.fit(own, base, len(used), scale=scale)
+    return inputs, FactorizationMachine(model.weights.astype(np.float32), model.factors.astype(np.float32))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = True, **options) -> DataFrame:

@@ -307,6 +307,23 @@ def test_toxicity_without_labels_or_rows(spark):
     assert score_toxicity(docs_of(spark, rows).limit(0), spark.createDataFrame(labels, kind)).collect() == []
 
 
+def test_toxicity_of_a_pair_without_single_effects(spark):
+    rng = random.Random(8)
+    calm = [sentence(rng, 1) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(1500):
+        # Either word has the label's share of all documents, alone; the pair decides.
+        words = [rng.choice(calm) for _ in range(rng.randrange(10, 40))]
+        a, b = i // 2 % 2, i // 4 % 2
+        words += ["zorgle"] * a + ["quibber"] * b
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(a != b)))
+    scored = score_toxicity(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).withColumn("out", held_out()).toPandas()
+    truth = {i: y for i, _, y in labels}
+    out = scored[scored.out]
+    assert len(out) > 400 and np.mean([(r.toxicity >= 0.5) != truth[int(r.doc_id)] for r in out.itertuples()]) < 0.05
+
+
 def test_machine_needs_pairs():
     rows = [[1, 2], [1], [2], []] * 50
     labels = np.array([0.0, 1.0, 1.0, 0.0] * 50)
