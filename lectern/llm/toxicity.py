@@ -1,13 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its distinct words (lower case) and their beginnings of four, five and six
-characters, so that one stem counts under all its endings; each is hashed to a bucket. Spark counts,
-over all training rows of the sample, in how many toxic and in how many other documents each bucket
-occurs. All buckets of the sample are the model's inputs; those whose counts depend on the label (a
-likelihood-ratio test) are learnt at the full scale, the others, which may count in pairs only, at a
-small one, so that the penalty keeps their noise down. The machine learns a weight for each, and a
-vector whose inner products are the weights of pairs, such as an insult with the mention of a group,
-which no sum of single weights can express.
+characters, so that one stem counts under all its endings; each is hashed to a bucket. All buckets
+of the labelled sample are the model's inputs. Those whose counts depend on the label are learnt at
+the full scale, the others, which may count in pairs only, at a smaller one that grows with their
+frequency, so that the penalty keeps rare ones' noise down. The machine learns a weight for each, and
+a vector whose inner products are the weights of pairs, such as an insult with the mention of a
+group, which no sum of single weights can express. Scoring sends only the texts to Python workers.
 """
 
 from __future__ import annotations
@@ -27,10 +26,10 @@ WORD = re.compile(r"\w+")
 BUCKETS = 1 << 20
 STEMS = (4, 5, 6)
 #: Words whose buckets a worker remembers; beyond that it starts afresh.
-REMEMBERED = 200_000
-#: The scale of inputs that have no link with the label of their own, and the entries (inputs of rows) that are summed together.
-WEAK = 0.05
-ENTRIES = 500_000
+REMEMBERED = 100_000
+#: The least scale of an input; entries (inputs of rows) that are summed together; and rows whose terms a worker holds at a time.
+WEAK, ENTRIES, PART = 0.02, 500_000, 128
+ZERO = np.zeros(1, np.int32)
 
 
 def _buckets(word: str) -> tuple[int, ...]:
@@ -62,20 +61,6 @@ class _Terms:
         return out
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, toxic documents, documents) of a partition, summed; bounded by the number of buckets."""
-    terms, toxic, docs = _Terms(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            at = np.fromiter(terms(text.as_py()), np.int64)
-            docs[at] += 1
-            toxic[at] += label
-    at = np.flatnonzero(docs)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        yield pa.record_batch([pa.array(part), pa.array(toxic[part]), pa.array(docs[part])], names=["bucket", "toxic", "docs"])
-
-
 def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, buckets as 32-bit numbers in order, toxic)."""
     terms = _Terms()
@@ -85,104 +70,75 @@ def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class FactorizationMachine:
-    """Logistic second-order factorization machine over sets of inputs numbered from 1; input 0 is the constant."""
+    """Logistic second-order factorization machine over sets of inputs numbered from 1; input 0 is the constant.
+
+    Rows are given flat: the inputs of all rows one after another, and the number of each row's.
+    """
 
     def __init__(self, weights: np.ndarray, factors: np.ndarray):
         self.weights, self.factors = weights, factors
 
-    @staticmethod
-    def _flat(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.zeros(int(sizes.sum()), np.int64)
-        held = np.ones(len(flat), bool)
-        held[starts] = False
-        flat[held] = np.fromiter((x for r in rows for x in r), np.int64, int(held.sum()))
-        return flat, starts, np.repeat(np.arange(len(rows)), sizes)
-
-    @staticmethod
-    def _parts(sizes: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of rows with about ``ENTRIES`` entries each."""
-        part = (np.cumsum(sizes) - sizes) // ENTRIES
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]))
-
-    @classmethod
-    def _sums(cls, values: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sums of ``values`` over runs of the places ``at``; no run is empty."""
-        values = np.ascontiguousarray(values, np.float32)
+    def scores(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of all rows, ``ENTRIES`` inputs at a time."""
+        out = np.zeros(len(sizes))
         ends = np.cumsum(sizes)
-        starts = ends - sizes
-        out = np.empty(len(sizes))
-        for i, j in cls._parts(sizes):
-            out[i:j] = np.add.reduceat(values[at[starts[i] : ends[j - 1]]], starts[i:j] - starts[i])
+        low = 0
+        while low < len(sizes):
+            begin = ends[low] - sizes[low]
+            high = max(low + 1, int(np.searchsorted(ends, begin + ENTRIES, "right")))
+            at, size = flat[begin : ends[high - 1]], sizes[low:high]
+            some = np.flatnonzero(size)
+            z = np.full(high - low, float(self.weights[0]))
+            if len(some):
+                starts = (np.cumsum(size) - size)[some]
+                v = self.factors[at]
+                sums = np.add.reduceat(v, starts, axis=0)
+                z[some] += np.add.reduceat(self.weights[at], starts) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
+            out[low:high] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            low = high
         return out
 
-    def _logits(self, flat, starts):
-        v = self.factors[flat]
-        sums = np.add.reduceat(v, starts, axis=0)
-        return np.add.reduceat(self.weights[flat], starts) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((v**2).sum(1), starts)), sums
-
-    def scores(self, rows: list) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
-        out = []
-        for i, j in self._parts(np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))):
-            flat, starts, _ = self._flat(rows[i:j])
-            out.append(1 / (1 + np.exp(-np.clip(self._logits(flat, starts)[0], -40, 40))))
-        return np.concatenate(out)
-
     @classmethod
-    def fit(cls, rows: list, labels: np.ndarray, n_inputs: int, rank: int = 4, steps: int = 150, rate: float = 0.1, decay: float = 2e-5, scale: np.ndarray | None = None):
-        """Full-batch Adam on the mean log loss with an L2 penalty; the same rows give the same model.
+    def fit(cls, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, scale: np.ndarray, rank: int = 4, passes: int = 10, batch: int = 64, rate: float = 0.1, decay: float = 1e-4):
+        """AdaGrad over shuffled batches on the mean log loss with an L2 penalty; the same rows give the same model.
 
-        ``scale`` (of input 0 and the others; 1 by default) multiplies what is learnt for an input, which
-        slows it and makes it cost more by the penalty.
+        ``scale`` (of input 0 and all others) multiplies what is learnt for an input, which slows it and
+        makes it cost more by the penalty.
         """
         rng = np.random.default_rng(11)
-        scale = np.ones(n_inputs + 1) if scale is None else np.asarray(scale, float)
-        model = cls(np.zeros(n_inputs + 1), rng.normal(0, 0.05, (n_inputs + 1, rank)) * scale[:, None])
-        model.factors[0] = 0
+        scale = scale.astype(np.float32)
+        weights = np.zeros(len(scale), np.float32)
+        factors = rng.normal(0, 0.05, (rank, len(scale))).astype(np.float32)
+        factors[:, 0] = 0
         base = np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 1 - 1e-4)
-        model.weights[0] = np.log(base / (1 - base))
-        if not n_inputs or not len(rows):
-            return model
-        # The constant is input 0 of every row; its vector is zero.
-        sizes = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
-        flat = np.zeros(int(sizes.sum()), np.int32)
-        held = np.ones(len(flat), bool)
-        held[np.cumsum(sizes) - sizes] = False
-        flat[held] = np.concatenate([np.asarray(r, np.int32) for r in rows])
-        order = np.argsort(flat, kind="stable")
-        members = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
-        counts = np.bincount(flat, minlength=n_inputs + 1)
-        seen = np.flatnonzero(counts)
-        counts = counts[seen]
-        del held, order
-        params = [model.weights, model.factors / scale[:, None]]
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-        gw, gv = np.zeros_like(params[0]), np.zeros_like(params[1])
-        for step in range(1, steps + 1):
-            weights, factors = params[0] * scale, params[1] * scale[:, None]
-            sums = np.stack([cls._sums(factors[:, f], flat, sizes) for f in range(rank)], 1)
-            z = cls._sums(weights - 0.5 * (factors**2).sum(1), flat, sizes) + 0.5 * (sums**2).sum(1)
-            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(labels)
-            plain = cls._sums(error, members, counts)
-            gw[seen] = plain
-            gv[seen] = np.stack([cls._sums(error * sums[:, f], members, counts) for f in range(rank)], 1) - factors[seen] * plain[:, None]
-            gw *= scale
-            gv *= scale[:, None]
-            gw[1:] += decay * params[0][1:]
-            gv += decay * params[1]
-            gv[0] = 0
-            for p, g, m in ((params[0], gw, moments[0]), (params[1], gv, moments[1])):
-                m[0] = 0.9 * m[0] + 0.1 * g
-                m[1] = 0.999 * m[1] + 0.001 * g * g
-                p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-            gw[:] = 0
-            gv[:] = 0
-        model.weights, model.factors = params[0] * scale, params[1] * scale[:, None]
-        return model
+        weights[0] = np.log(base / (1 - base)) / scale[0]
+        seen_w, seen_v = np.full_like(weights, 1e-8), np.full_like(factors, 1e-8)
+        starts = np.cumsum(sizes) - sizes
+        for _ in range(passes):
+            order = rng.permutation(len(sizes))
+            for i in range(0, len(order), batch):
+                rows = order[i : i + batch]
+                # The constant, input 0, comes first in every row; its vector stays zero.
+                at = np.concatenate([x for r in rows for x in (ZERO, flat[starts[r] : starts[r] + sizes[r]])])
+                size = sizes[rows] + 1
+                begin, row = np.cumsum(size) - size, np.repeat(np.arange(len(rows)), size)
+                used, place = np.unique(at, return_inverse=True)
+                own, free = scale[used], used > 0
+                v = factors[:, used] * own
+                z = np.add.reduceat((weights[used] * own - 0.5 * (v**2).sum(0))[place], begin)
+                sums = np.stack([np.add.reduceat(x[place], begin) for x in v])
+                z = z + 0.5 * (sums**2).sum(0)
+                error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[rows]) / len(rows)
+                plain = np.bincount(place, error[row], len(used))
+                step = (plain * own + decay * weights[used] * free).astype(np.float32)
+                seen_w[used] += step * step
+                weights[used] -= rate * step / np.sqrt(seen_w[used])
+                for f in range(rank):
+                    step = ((np.bincount(place, (error * sums[f])[row], len(used)) - v[f] * plain) * own + decay * factors[f, used]) * free
+                    step = step.astype(np.float32)
+                    seen_v[f, used] += step * step
+                    factors[f, used] -= rate * step / np.sqrt(seen_v[f, used])
+        return cls(weights * scale, np.ascontiguousarray((factors * scale).T))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -190,49 +146,54 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4096, least_g2: float = 15.0):
+def input_scales(docs: np.ndarray, toxic: np.ndarray, n: int, t: float, least_g2: float) -> np.ndarray:
+    """The scale of inputs that occur in ``docs`` of n rows, ``toxic`` of them among the t toxic ones.
+
+    An input with a link of its own with the label (likelihood ratio of at least ``least_g2``) has 1,
+    any other half its share of the rows, as rare ones are mostly noise, but ``WEAK`` at least.
+    """
+    d, a = docs.astype(float), toxic.astype(float)
+    g2 = np.zeros(len(d))
+    for x, y in ((a, d * t / n), (d - a, d * (n - t) / n), (t - a, (n - d) * t / n), (n - t - d + a, (n - d) * (n - t) / n)):
+        held = x > 0
+        g2[held] += 2 * x[held] * np.log(x[held] / y[held])
+    return np.where((g2 >= least_g2) & (d >= 3), 1.0, np.clip(0.5 * d / n, WEAK, 1.0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_g2: float = 15.0):
     """(input by bucket, 0 for none; model) from labelled rows that are not held out.
 
     At most ``max_rows`` labelled rows train the model, picked by a hash of their ids (all, where
     there are fewer); that bounds the join's broadcast side and what reaches the driver. All their
-    buckets are inputs; at most ``max_terms``, those with the highest likelihood ratio of at least
-    ``least_g2``, have the full scale, the others ``WEAK``.
+    buckets are inputs, at the scales of ``input_scales``.
     """
     rows = bounded_labels(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), max_rows, F.col("toxic").isin(0, 1) & ~held_out())
-    train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = totals["n"] or 0, totals["t"] or 0
-    strong: list[int] = []
-    found = None
+    inputs = np.zeros(BUCKETS, np.int32)
+    flat, sizes, y = np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1.0] * t + [0.0] * (n - t))
     if 0 < t < n:
-        # Counts over the sample; a row's share of the toxic ones against the share of all.
-        counts = train.select("text", F.col("toxic").cast("long")).mapInArrow(_count_buckets, "bucket long, toxic long, docs long")
-        counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("a"), F.sum("docs").alias("d")).where("d >= 3")
-        part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-        a, d = F.col("a").cast("double"), F.col("d").cast("double")
-        g2 = 2 * sum(
-            part(x, y) for x, y in ((a, d * t / n), (d - a, d * (n - t) / n), (t - a, (n - d) * t / n), (n - t - d + a, (n - d) * (n - t) / n))
-        )
-        best = counts.select("bucket", g2.alias("g2")).where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "bucket").limit(max_terms)
-        strong = [r["bucket"] for r in best.collect()]
+        train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
         found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, buckets binary, toxic int").toArrow()
-    got = sorted(zip(*(found.column(k).to_pylist() for k in range(3)))) if found is not None else []
-    base = np.array([y for *_, y in got], float) if got else np.array([1.0] * t + [0.0] * (n - t))
-    inputs = np.zeros(BUCKETS, np.int32)
-    for _, x, _ in got:
-        inputs[np.frombuffer(x, np.int32)] = 1
-    used = np.flatnonzero(inputs)
+        got = sorted(zip(*(found.column(k).to_pylist() for k in range(3))))
+        del found
+        if got:
+            y = np.array([label for *_, label in got], float)
+            sizes = np.array([len(x) // 4 for _, x, _ in got], np.int64)
+            flat = np.frombuffer(b"".join(x for _, x, _ in got), np.int32)
+        del got
+    seen = np.bincount(flat, minlength=BUCKETS)
+    used = np.flatnonzero(seen)
+    used = used[np.argsort(-seen[used], kind="stable")]  # what is looked up most stands together
     inputs[used] = np.arange(1, len(used) + 1)
-    scale = np.full(len(used) + 1, WEAK)
-    scale[[0, *inputs[strong].tolist()]] = 1
-    own = [inputs[np.frombuffer(x, np.int32)] for _, x, _ in got]
-    del found, got
-    model = FactorizationMachine.fit(own, base, len(used), scale=scale)
-    return inputs, FactorizationMachine(model.weights.astype(np.float32), model.factors.astype(np.float32))
+    scale = np.ones(len(used) + 1)
+    if len(used):
+        scale[1:] = input_scales(seen[used], np.bincount(flat, np.repeat(y, sizes), BUCKETS)[used], len(y), y.sum(), least_g2)
+    return inputs, FactorizationMachine.fit(inputs[flat], sizes, y, scale)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = True, **options) -> DataFrame:
-    """All rows of ``docs`` with their columns (without the text on request), and ``toxicity``, a score from 0 to 1 (higher: more likely toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """All rows of ``docs`` with their columns, and ``toxicity``, a score from 0 to 1 (higher: more likely toxic).
 
     The model sees the text alone. Rows repeat as they come; a null or empty text has no terms and
     gets the score of the constant, near the share of toxic rows; without labels of both kinds every
@@ -240,14 +201,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, with_text: bool = True, *
     named toxicity is replaced; other columns may have any name.
     """
     inputs, model = fit(docs, labels, **options)
-    kept = [c for c in docs.columns if c != "toxicity" and (with_text or c != "text")]
-    source = docs.select(*kept, F.col("text").alias("__text"))
-    at = len(kept)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         terms = _Terms(inputs)
         for batch in batches:
-            found = model.scores([terms(text.as_py()) for text in batch.column(at)])
-            yield pa.record_batch([*batch.columns[:at], pa.array(found, pa.float64())], names=[*kept, "toxicity"])
-
-    return source.mapInArrow(run, type(source.schema)(source.schema.fields[:at]).add("toxicity", "double"))
+            out = []
+            for i in range(0, len(batch), PART):
+                found = [terms(text.as_py()) for text in batch[i : i + PART]]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                out.append(model.scores(np.fromiter((x for r in found for x in r), np.int64, int(sizes.sum())), sizes))
+            yield pa.array(np.concatenate(out) if out else [], pa.float64())
+
+    return docs.withColumn("toxicity", score(F.col("text")))

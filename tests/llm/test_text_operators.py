@@ -144,10 +144,10 @@ def brute_lines(rows, least=20):
     for i, text in sorted(rows):
         keep = []
         for line in text.split("\n"):
-            if len(line) < least:
+            if not line.strip(" \t\r"):
                 keep.append(line)
                 continue
-            if not any(near(line, s) for s in seen):
+            if line not in seen and not (len(line) >= least and any(len(s) >= least and near(line, s) for s in seen)):
                 keep.append(line)
             seen.append(line)
         out[i] = "\n".join(keep)
@@ -165,7 +165,7 @@ def line_rows():
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
                 k = rng.randrange(len(s))
                 s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "z" + s[k:], s[:k] + "y" + s[k + 1 :]])
-            text.append(rng.choice([s, s, "short", ""]))
+            text.append(rng.choice([s, s, "short", "shorx", "", " \t"]))
         rows.append((i, "\n".join(text)))
     return rows
 
@@ -185,7 +185,7 @@ def test_many_lines_that_differ_in_one_place(spark):
 def test_line_edge_rows(spark):
     long = "word " * 20_000
     same = "a line that stands in more than one text"
-    rows = [(None, same), (1, None), (2, ""), (3, same + "\n\n" + same), (3, same + "\n\n" + same), (4, long + "a"), (5, long + "b"), (6, "q" * 20), (7, "q" * 19)]
+    rows = [(None, same), (1, None), (2, ""), (3, same + "\n\n" + same), (3, same + "\n\n" + same), (4, long + "a"), (5, long + "b"), (6, "q" * 20), (7, "q" * 19), (8, "q" * 19 + "\n \n \n")]
     docs = docs_of(spark, [(*r, 5, "k") for r in rows], ", n_removed int, key string")
     got = dedup_lines(docs).collect()
     assert len(got) == len(rows)
@@ -194,7 +194,7 @@ def test_line_edge_rows(spark):
     assert by[1] == (None, None, None) and by[2] == ("", 1, 0)
     assert by[3] == ("", 3, 2)
     assert by[4][2] == 0 and by[5] == ("", 1, 1)
-    assert by[6][2] == 0 and by[7][2] == 0
+    assert by[6][2] == 0 and by[7][2] == 0 and by[8] == (" \n \n", 4, 1)
     assert dedup_lines(docs.limit(0)).collect() == []
 
 
@@ -327,10 +327,23 @@ def test_toxicity_of_a_pair_without_single_effects(spark):
 def test_machine_needs_pairs():
     rows = [[1, 2], [1], [2], []] * 50
     labels = np.array([0.0, 1.0, 1.0, 0.0] * 50)
-    got = FactorizationMachine.fit(rows, labels, 2, steps=400).scores([[1, 2], [1], [2], []])
+    flat, sizes = np.array([x for r in rows for x in r], np.int32), np.array([len(r) for r in rows])
+    model = FactorizationMachine.fit(flat, sizes, labels, np.ones(3), passes=300)
+    got = model.scores(flat[:4], sizes[:4])
     assert (got[[1, 2]] > 0.7).all() and (got[[0, 3]] < 0.3).all()
 
 
+def test_machine_sums_every_pair():
+    rng = np.random.default_rng(3)
+    model = FactorizationMachine(rng.normal(size=30), rng.normal(size=(30, 4)) / 5)
+    model.factors[0] = 0
+    rows = [rng.choice(np.arange(1, 30), k, replace=False) for k in (0, 1, 5, 20, 0, 3)]
+    got = model.scores(np.concatenate(rows).astype(int), np.array([len(r) for r in rows]))
+    for r, x in zip(rows, got):
+        z = model.weights[0] + model.weights[r].sum() + sum(model.factors[i] @ model.factors[j] for k, i in enumerate(r) for j in r[:k])
+        assert abs(x - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_held_out(spark):
     import zlib
 
