@@ -5,9 +5,13 @@ its characters and its punctuation marks for each of its nodes; articles have lo
 under few paths, menus and lists have short, bare text. The two ratios are fused, smoothed over
 paths that share a beginning, and held against a threshold relative to the page's best path; the
 containers in which chosen paths hold most of the text are the content, with all their blocks.
-Elements whose tag, role, class or id names them as menus, notices and so on never count.
 
-Each page is read alone, in the task that holds it; nothing is shuffled.
+Elements whose tag or role says that they are menus, forms and so on never count. A class or an id
+that says so strikes an element unless that holds the page's article, or, where the page marks none
+and the class only says so in a part of a longer name, most of its text.
+
+Each page is read alone, in the task that holds it, in time and memory that grow with its length:
+paths are nodes of one tree, and smoothing goes along it. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,17 +19,17 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|button)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>", re.S)
+#: Elements without markup inside, up to their end tag: where that lacks, those of the first kind go to the page's end, the others are a tag alone.
+RAW, SKIPPED = frozenset("script style textarea title".split()), frozenset("noscript template iframe svg select button".split())
+CLOSED = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in RAW | SKIPPED}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -33,110 +37,187 @@ BLOCK = frozenset(
 )
 #: Containers whose share of chosen text decides over their blocks.
 CONTAINER = frozenset("article main section div body td blockquote".split())
-STRIPPED = frozenset("nav header footer aside form menu dialog head".split())
+STRIPPED = frozenset("nav header footer aside form menu dialog head annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
+#: Readers' comments, and other names of what is no content, as parts of a class or id between - and _.
+REMARKS = re.compile(r"comments?|commentlist|disqus|replies|responses")
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|rail|"
-    r"footer|header|masthead|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|form|search|"
-    r"comments?|commentlist|disqus|replies|responses|share|sharing|social|related|recommended|toolbar|pagination|skip|widget)(?:$|[\s_-])",
-    re.I,
+    REMARKS.pattern + r"|ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|rail|footer|header|masthead|cookies?|consent|"
+    r"gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommended|toolbar|pagination|skip"
 )
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-#: A new element of the key closes an open one of the values, if none of the stops is nearer.
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+#: First parts of names that tell of a page's layout, not of an element.
+LAYOUT = frozenset("has with no without not is hide show".split())
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A new element of the first kind closes an open one of the second, if none of the third is nearer.
+CLOSES = [("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("tr", "tr", "table"), ("td th", "td th", "tr table"), (" ".join(BLOCK), "p", "td th object")]
+CLOSES = [tuple(frozenset(x.split()) for x in row) for row in CLOSES]
 MARKS = re.compile(r"[.,;:!?…。、，]")
+#: Paths further apart than this in the tree have no weight for each other.
+FAR = 5
+WEIGHTS = [math.exp(-d * d / 2.0) for d in range(FAR + 1)]
 
 
-def _off(tag: str, attrs: str) -> bool:
-    """Whether an element is no content by its tag, role, class or id."""
+def _said(tag: str, attrs: str) -> tuple[bool, str]:
+    """(whether an element is no content by its tag, role or state; what its class and id name: "" for nothing, "part" if by a part of a longer name alone, "whole" otherwise and for comments)."""
     if tag in STRIPPED:
-        return True
+        return True, ""
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, ""
+    named = ""
     for name, *values in ATTR.findall(attrs):
-        name, value = name.lower(), next((v for v in values if v), "")
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and NAMED.search(value):
-            return True
-    return False
-
-
-def _read(page: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """The page's blocks as lists of text nodes: (path, container number, text); ("", ...) parts blocks."""
-    blocks: list[list[tuple[tuple[str, ...], int, str]]] = [[]]
-    stack: list[tuple[str, bool, int, tuple[str, ...]]] = [("", False, 0, ())]
-    containers, at = 0, 0
-
-    def text(raw: str) -> None:
-        if raw and not stack[-1][1]:
-            blocks[-1].append((stack[-1][3], stack[-1][2], html.unescape(raw) if "&" in raw else raw))
-
-    def part() -> None:
-        if blocks[-1]:
-            blocks.append([])
-
-    def close(i: int) -> None:
-        if any(e[0] in BLOCK for e in stack[i:]):
-            part()
-        del stack[i:]
-
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"]:
+        name, value = name.lower(), "".join(values).lower()
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return True, ""
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = re.split("[-_]+", word)
+                if word == "widget" or parts[0] not in LAYOUT and any(map(NAMED.fullmatch, parts)):
+                    named = "whole" if named == "whole" or len(parts) == 1 or any(map(REMARKS.fullmatch, parts)) else "part"
+    return False, named
+
+
+class _Page:
+    """A page's blocks as lists of text nodes (path, container, name, text); paths and named elements are numbered from their parents on."""
+
+    def __init__(self, page: str):
+        self.blocks: list[list[tuple[int, int, int, str]]] = [[]]
+        self.parent, self.child = [-1], {}
+        # Of each named element: the named one around it, what it is, whether it holds an article.
+        self.around, self.name, self.holds = [-1], [""], [False]
+        #: Of each open element: tag, whether it is off, container, named element, path, and the nearest open element of each row of CLOSES.
+        self.stack: list[tuple] = [("", False, 0, 0, 0, (-1,) * len(CLOSES))]
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self._read(page)
+        self.blocks = [b for b in self.blocks if b]
+
+    def _text(self, raw: str) -> None:
+        _, off, box, name, path, _ = self.stack[-1]
+        if raw and not off:
+            self.blocks[-1].append((path, box, name, html.unescape(raw) if "&" in raw else raw))
+
+    def _part(self) -> None:
+        if self.blocks[-1]:
+            self.blocks.append([])
+
+    def _close(self, i: int) -> None:
+        for _ in range(len(self.stack) - i):
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
             if tag in BLOCK:
-                part()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            continue
-        if tag == "br":
-            text(" ")
-        if tag in BLOCK:
-            part()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "button", "object"):
-                    break
-        if tag in CLOSES:
-            ends, stops = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in stops:
-                    break
-        if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
-            continue
-        _, off, box, path = stack[-1]
-        if tag in CONTAINER:
-            containers += 1
-            box = containers
-        stack.append((tag, off or _off(tag, m["attrs"]), box, (*path, tag)))
-    text(page[at:])
-    return [b for b in blocks if b]
-
-
-def _nearness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """A Gaussian weight of the tags that are not in the paths' common beginning."""
-    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    apart = len(a) + len(b) - 2 * same
-    return math.exp(-apart * apart / 2.0)
+                self._part()
+
+    def _read(self, page: str) -> None:
+        containers, at, endless = 0, 0, set()
+        # No tag ends after the last >, but a comment without an end goes on to the page's.
+        stop = page.rfind(">") + 1
+        if (rest := page.find("<!--", stop)) >= 0:
+            page = page[:rest]
+        while m := TOKEN.search(page, at, stop):
+            self._text(page[at : m.start()])
+            at = m.end()
+            if m["tag"] is None:
+                continue
+            tag, attrs = m["tag"].lower(), m["attrs"]
+            if m["end"]:
+                if tag in BLOCK:
+                    self._part()
+                if self.open[tag]:
+                    self._close(self.open[tag][-1])
+                continue
+            if tag in CLOSED:
+                if not attrs.endswith("/") and tag not in endless:
+                    if end := CLOSED[tag].search(page, at):
+                        at = end.end()
+                    elif tag in RAW:
+                        at = len(page)
+                    else:
+                        endless.add(tag)
+                continue
+            if tag == "br":
+                self._text(" ")
+            if tag in BLOCK:
+                self._part()
+            for k, (opens, _, _) in enumerate(CLOSES):
+                if tag in opens and self.stack[-1][5][k] >= 0:
+                    self._close(self.stack[-1][5][k])
+            if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
+                continue
+            self._open(tag, attrs, containers + 1)
+            containers += tag in CONTAINER
+        self._text(page[at:])
+
+    def _open(self, tag: str, attrs: str, container: int) -> None:
+        _, off, box, name, path, near = self.stack[-1]
+        here = len(self.stack)
+        if not off:
+            off, named = _said(tag, attrs)
+            if named:
+                self.around.append(name)
+                self.name.append(named)
+                self.holds.append(False)
+                name = len(self.name) - 1
+            self.holds[name] |= tag in ("article", "main")
+        if (path, tag) not in self.child:
+            self.child[path, tag] = len(self.parent)
+            self.parent.append(path)
+        near = tuple(here if tag in ends else -1 if tag in stops else x for x, (_, ends, stops) in zip(near, CLOSES))
+        self.stack.append((tag, off, container if tag in CONTAINER else box, name, self.child[path, tag], near))
+        self.open[tag].append(here)
+
+    def struck(self) -> list[bool]:
+        """Of each named element, whether its text doesn't count."""
+        size = [0] * len(self.name)
+        for block in self.blocks:
+            for _, _, name, raw in block:
+                size[name] += len(raw.strip())
+        every = sum(size)
+        for i in range(len(size) - 1, 0, -1):
+            size[self.around[i]] += size[i]
+            self.holds[self.around[i]] |= self.holds[i]
+        out = [False]
+        for i in range(1, len(size)):
+            most = self.name[i] == "part" and 2 * size[i] >= every and not self.holds[0]
+            out.append(out[self.around[i]] or not (self.holds[i] or most))
+        return out
+
+
+def smoothed(parent: list[int], values: dict[int, float]) -> dict[int, float]:
+    """Means of ``values`` (by path) with Gaussian weights of the steps between paths in the tree, up to ``FAR`` steps.
+
+    Sums over what lies d steps below each node give those over what lies d steps away.
+    """
+    below: dict[int, list[list[float]]] = {}
+    for p, v in values.items():
+        for d in range(FAR + 1):
+            s = below.setdefault(p, [[0.0, 0] for _ in range(FAR + 1)])[d]
+            s[0] += v
+            s[1] += 1
+            if (p := parent[p]) < 0:
+                break
+    out = {}
+    for start in values:
+        total = weight = 0.0
+        came, p = -1, start
+        for up in range(FAR + 1):
+            for d in range(FAR + 1 - up):
+                v, n = below[p][d]
+                if came >= 0 and d:
+                    v, n = v - below[came][d - 1][0], n - below[came][d - 1][1]
+                total += WEIGHTS[up + d] * v
+                weight += WEIGHTS[up + d] * n
+            came, p = p, parent[p]
+            if p < 0:
+                break
+        out[start] = total / weight
+    return out
 
 
 def main_text(page: str | None, share: float = 0.1) -> str:
     """The content blocks of a page in page order, joined by newlines; empty for a null page or one without text."""
-    blocks = _read(page or "")
-    stats: dict[tuple[str, ...], list[int]] = {}
+    read = _Page(page or "")
+    off = read.struck()
+    blocks = [[(path, box, raw) for path, box, name, raw in block if not off[name]] for block in read.blocks]
+    stats: dict[int, list[int]] = {}
     for block in blocks:
         for path, _, raw in block:
             if (n := len(raw.strip())) > 0:
@@ -146,11 +227,7 @@ def main_text(page: str | None, share: float = 0.1) -> str:
                 s[2] += 1
     if not stats:
         return ""
-    fused = {p: chars / n * (1 + marks / n) for p, (chars, marks, n) in stats.items()}
-    smooth = {}
-    for p in fused:
-        w = {q: _nearness(p, q) for q in fused}
-        smooth[p] = sum(w[q] * fused[q] for q in fused) / sum(w.values())
+    smooth = smoothed(read.parent, {p: chars / n * (1 + marks / n) for p, (chars, marks, n) in stats.items()})
     least = share * max(smooth.values())
     chosen = {p for p, v in smooth.items() if v >= least}
     held: dict[int, list[int]] = {}

@@ -43,6 +43,64 @@ def test_main_text_without_an_article_element():
     assert extraction.main_text(page(body, links)).splitlines()[0].startswith("A long sentence") and "Go" not in extraction.main_text(page(body, links))
 
 
+PROSE = "".join(f"<p>Paragraph {i}, which says one thing and another.</p>" for i in range(3))
+SAID = "\n".join(f"Paragraph {i}, which says one thing and another." for i in range(3))
+
+
+@pytest.mark.parametrize(
+    "around",
+    ['class="page has-sidebar"', 'class="content no-comments"', 'class="post-content with-banner"', 'class="elementor-widget-text-editor elementor-widget"', 'id="main-banner-area"',
+     'style="overflow:hidden" title="hidden"', 'data-role="menu"', "class='article-body' hidden-by=x"],
+)
+def test_names_of_the_layout_strike_no_article(around):
+    assert extraction.main_text(page(f"<div {around}>{PROSE}</div>", "<div class='ad'>Buy this.</div>", "<div id=comments><p>A reader, who has much to say.</p></div>")) == SAID
+
+
+def test_named_parts_go_whatever_their_length():
+    long = "A reader has a lot to say, and says it here. " * 40
+    for name in ("comments", "post-comments", "ad", "sidebar"):
+        assert extraction.main_text(page(f"<div>{PROSE}</div>", after=f'<div class="{name}"><p>{long}</p></div>')) == SAID
+    assert extraction.main_text(page(f'<div class="wrap-modal"><article>{PROSE}</article></div>', f'<div class="top-banner">{long}</div>')) == SAID
+
+
+def test_math_and_unclosed_elements():
+    assert extraction.main_text("<p>The value <math><mi>x</mi><annotation>$x$</annotation></math> holds, as said.</p>") == "The value x holds, as said."
+    for tag in ("button", "select", "svg", "iframe", "noscript"):
+        assert extraction.main_text(f"<article><{tag}>{PROSE}</article>") == SAID
+        assert extraction.main_text(f"<article><{tag}>gone</{tag.upper()} >{PROSE}</article>") == SAID
+    for tag in ("script", "style", "textarea"):
+        assert extraction.main_text(f"<article>{PROSE}<{tag}>{PROSE}") == SAID
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for part in ("<b>", "<b>x", "<div>", "<div><p>x", "<li>y", "<button>", "<svg>", "</i>", "<td><p>", "<!--", "<p class='", "<a b=c", "<ul><li><b>"):
+        extraction.main_text(part * 20_000)
+        extraction.main_text(f"<article>{PROSE}</article>" + part * 5_000)
+    extraction.main_text("<p>word and word, " * 200_000)
+    assert time.time() - start < 60
+
+
+def test_smoothing_matches_all_pairs():
+    rng = random.Random(9)
+    parent = [-1, *(rng.randrange(max(0, i - 6), i) for i in range(1, 60))]
+    values = {i: rng.random() for i in rng.sample(range(60), 25)}
+
+    def up(i):
+        return [i, *up(parent[i])] if i >= 0 else []
+
+    def steps(i, j):
+        a, b = up(i), up(j)
+        return len(a) + len(b) - 2 * len(set(a) & set(b))
+
+    got = extraction.smoothed(parent, values)
+    for i in values:
+        w = {j: math.exp(-steps(i, j) ** 2 / 2) if steps(i, j) <= extraction.FAR else 0.0 for j in values}
+        assert abs(got[i] - sum(w[j] * values[j] for j in values) / sum(w.values())) < 1e-9
+
+
 def test_extraction_edge_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain <b>text</b> &eacute;"), (4, "u", "<p>" + "word, " * 60_000), (4, "u", "<div><div <p"), (None, "u", page(ARTICLE)), (None, "u", page(ARTICLE))]
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], PAGES + ", text string, __x int")
@@ -161,6 +219,25 @@ def test_n_best_matches_all_segmentations(text):
         assert ids_ in {i for s, i in want if s == score} and own.decode(list(ids_)) == text
 
 
+def test_very_long_links():
+    import time
+
+    own, start = Pieces.load(), time.time()
+    rng = random.Random(1)
+    score = {i: x for i, x in own.pieces.values()}
+    for text in ("".join(rng.choice("ABCDabcdefghijklmnop0123456789+/") for _ in range(100_000)), "a" * 100_000, "".join(rng.choice("的一是不了在人有我他") for _ in range(100_000))):
+        links = own.links(text)
+        own.ready([links])
+        ids, scores, changes = own.n_best(links, 4)
+        ids = np.frombuffer(ids, np.int32).tolist()
+        every = [ids, *(applied(ids, c) for c in changes)]
+        assert len({tuple(x) for x in every}) == len(every) == len(scores) and scores == sorted(scores, reverse=True)
+        assert all(own.decode(x) == text for x in every)
+        if all(i in score for i in ids):
+            assert all(abs(sum(score[i] for i in x) - y) <= 1e-9 * abs(y) for x, y in zip(every, scores))
+    assert time.time() - start < 60
+
+
 def test_long_and_short_links_are_cut_alike():
     own = Pieces.load()
     words = [SPACE + "".join(random.Random(k).choice("thearonisd") for _ in range(k)) for k in range(1, 47)]
