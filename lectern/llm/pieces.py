@@ -6,8 +6,8 @@ Forward Viterbi finds the best score from the start to every node. Taken as heur
 exact, so that an A-star search that runs backwards from the end takes segmentations from its queue
 in the order of their scores.
 
-No piece spans the start of a word, a newline or a character without a piece, so that the lattice of
-a text is a chain of small lattices. The search runs on those; the n best of the chain follow exactly,
+No piece spans the start of a word or a newline, so that the lattice of a text is a chain of lattices,
+most of them small. The search runs on those; the n best of the chain follow exactly,
 as choices of alternatives in the few links where the loss is least. Words that repeat are
 looked up. Each text is encoded alone and whole, in the task that holds it; nothing is shuffled.
 """
@@ -28,8 +28,8 @@ from .textbytes import U64, mixed, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Links, and searches of links, that a worker remembers; beyond that it starts afresh.
+REMEMBERED, SEARCHED = 150_000, 10_000
 #: Links of more characters are searched one by one.
 LONG = 48
 LINK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -231,12 +231,20 @@ class Pieces:
             known[w] = (got, top[i], top[i] - next_[i])
 
     def search(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a lattice by backward A-star; ties go to the piece that starts first, from the end on."""
+        """The n best (score, ids) of a lattice by backward A-star; of equal paths the last opened goes on first, and of its edges the one that starts first.
+
+        An open path is a node that points to the one behind it: no path is copied. A node is left n
+        times at most, as further paths from there to the end can't be among the n best.
+        """
         best = self.forward(s)[0]
-        queue: list[tuple] = [(-best[-1], (), len(s), 0.0, None)]
-        out = []
+        queue: list[tuple] = [(-best[-1], 0, len(s), 0.0, None)]
+        left = [0] * (len(s) + 1)
+        out, number = [], 0
         while queue and len(out) < n:
-            cost, order, j, done, tail = heapq.heappop(queue)
+            cost, _, j, done, tail = heapq.heappop(queue)
+            if left[j] == n:
+                continue
+            left[j] += 1
             if j == 0:
                 ids: list[int] = []
                 while tail is not None:
@@ -244,8 +252,10 @@ class Pieces:
                     tail = tail[2]
                 out.append((-cost, tuple(ids)))
                 continue
-            for i, score in self._edges(s, j):
-                heapq.heappush(queue, (-(best[i] + score + done), (*order, i), i, score + done, (i, j, tail)))
+            # Of equals the latest path goes first, and of its edges the one that starts first: depth before breadth.
+            for i, score in reversed(self._edges(s, j)):
+                number -= 1
+                heapq.heappush(queue, (-(best[i] + score + done), number, i, score + done, (i, j, tail)))
         return out
 
     def ready(self, chains: list[list[str] | None]) -> None:
@@ -279,7 +289,7 @@ class Pieces:
         for k in open_:
             s = links[k]
             if (got := self.searched.get((s, n))) is None:
-                if len(self.searched) >= 50_000:
+                if len(self.searched) >= SEARCHED:
                     self.searched.clear()
                 got = self.searched[s, n] = self.search(s, n)
             options.append(got)
