@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settled
@@ -29,6 +29,8 @@ from .shared import settled
 CELL, MOST_CELLS = 8192, 1024
 #: Points and queries of one search task, and points of a kd-tree's leaf.
 BLOCK, QUERIES, LEAF = 8192, 2048, 128
+#: Cosines that agree in so many decimal places are ties.
+DIGITS = 12
 
 
 def chi_square_bound(sure: float, dims: int) -> float:
@@ -119,27 +121,35 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _cosines(vectors: np.ndarray, norms: np.ndarray, units: np.ndarray, query: np.ndarray, norm: float, unit: np.ndarray) -> np.ndarray:
+    """On the vectors themselves, or on their unit vectors where numbers of their size have no product."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        out = (vectors * query).sum(1) / (norms * norm)
+    return np.where(np.isfinite(out) & (norms * norm > 0), out, (units * unit).sum(1))
+
+
 def _search_block(axes: np.ndarray, k: int, bound: float):
-    """Search one block's points (is_query false) for the queries sent to it."""
+    """Search one block's points (is_query false) for the queries sent to it: the k nearest, those of equal cosine by ``least``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, held = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        found: list[tuple[int, int, float]] = []
+        found: list[pd.DataFrame] = []
         if len(asked) and len(held):
             raw = np.stack(held["embedding"].to_list()).astype(np.float64)
-            units, points, ids = _units(raw), _project(raw, axes), held["vid"].to_numpy()
-            norms = np.sqrt((raw * raw).sum(1))
+            units, points, ids, least = _units(raw), _project(raw, axes), held["vid"].to_numpy(), held["least"].to_numpy()
             leaves = _leaves(points)
             low, high = np.array([points[x].min(0) for x in leaves]), np.array([points[x].max(0) for x in leaves])
             queries = np.stack(asked["embedding"].to_list()).astype(np.float64)
-            near_to, unit, whole = _project(queries, axes), _units(queries), np.sqrt((queries * queries).sum(1))
+            near_to, unit = _project(queries, axes), _units(queries)
+            with np.errstate(over="ignore"):
+                norms, whole = np.sqrt((raw * raw).sum(1)), np.sqrt((queries * queries).sum(1))
             # A distance from an earlier search bounds this one; a little slack covers rounding.
             reach = asked["reach"].to_numpy(np.float64)
-            for q in range(len(queries)):
+            for q, qid in enumerate(asked["vid"].to_list()):
                 p = near_to[q]
                 gap = np.maximum(np.maximum(low - p, p - high), 0)
                 gap = (gap * gap).sum(1)
-                best: list[tuple[float, int, int]] = []
+                best, score = np.zeros(0, np.int64), np.zeros(0)
                 worst = reach[q]
                 for leaf in np.argsort(gap, kind="stable"):
                     if gap[leaf] > bound * worst + 1e-9:
@@ -149,39 +159,42 @@ def _search_block(axes: np.ndarray, k: int, bound: float):
                     at = at[(d * d).sum(1) <= bound * worst + 1e-9]
                     if not len(at):
                         continue
-                    cos = (units[at] * unit[q]).sum(1)
-                    best += zip((-cos).tolist(), ids[at].tolist(), at.tolist())
-                    if len(best) > k:
-                        best.sort()
-                        del best[k:]
-                    if len(best) == k:
-                        worst = min(worst, max(0.0, 2 + 2 * best[-1][0]))
-                at = np.array([x for *_, x in best], np.int64)
-                score = (raw[at] * queries[q]).sum(1) / (norms[at] * whole[q]) if len(at) else []
-                found += zip([int(asked["vid"].iloc[q])] * len(at), ids[at].tolist() if len(at) else [], score)
-        return pd.DataFrame(found, columns=["qid", "vid", "score"]).astype({"qid": "int64", "vid": "int64", "score": "float64"})
+                    best, score = np.concatenate([best, at]), np.concatenate([score, _cosines(raw[at], norms[at], units[at], queries[q], whole[q], unit[q])])
+                    if len(best) >= k:
+                        order = np.lexsort((least[best], -np.round(score, DIGITS)))[:k]
+                        best, score = best[order], score[order]
+                        worst = min(worst, max(0.0, 2 - 2 * score[-1]))
+                found.append(pd.DataFrame({"qid": qid, "vid": ids[best], "least": least[best], "score": score}))
+        if found:
+            return pd.concat(found)
+        return pd.DataFrame({"qid": [], "vid": [], "least": [], "score": []}).astype({"qid": "int64", "vid": "int64", "least": "int64"})
 
     return run
 
 
 def _blocked(points: DataFrame, asked: DataFrame, axes: np.ndarray, k: int, bound: float) -> DataFrame:
-    """(qid, vid, score): each query against the blocks of its cell, in tasks of bounded size."""
+    """(qid, vid, least, score): each query against the blocks of its cell, in tasks of bounded size."""
     sizes = points.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     wants = asked.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("parts"))
     both = sizes.join(wants, "cell")
     mine = points.join(both, "cell").select(
         "cell", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(False).alias("is_query"), "vid", "embedding", F.lit(0.0).alias("reach"),
+        F.lit(False).alias("is_query"), "vid", "least", "embedding", F.lit(0.0).alias("reach"),
     )
     theirs = asked.join(both, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"),
-        F.lit(True).alias("is_query"), "vid", "embedding", "reach",
+        F.lit(True).alias("is_query"), "vid", F.lit(0).cast("long").alias("least"), "embedding", "reach",
     )
-    return mine.union(theirs).groupBy("cell", "block", "part").applyInPandas(_search_block(axes, k, bound), "qid long, vid long, score double")
+    return mine.union(theirs).groupBy("cell", "block", "part").applyInPandas(_search_block(axes, k, bound), "qid long, vid long, least long, score double")
+
+
+def _nearest_first() -> Column:
+    """Cosines that are equal but for rounding are ties."""
+    return F.desc(F.round("score", DIGITS))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    over = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
+    over = Window.partitionBy("qid").orderBy(_nearest_first(), "least")
     return found.withColumn("r", F.row_number().over(over)).where(F.col("r") <= k).drop("r")
 
 
@@ -190,7 +203,7 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition) picks, its k nearest rows by cosine.
 
-    Ties go to the smaller id. A row is no answer to itself, nor is another row with its id; a row
+    Ties, cosines that are equal to twelve places, go to the smaller id. A row is no answer to itself, nor is another row with its id; a row
     that repeats an id and its vector counts once. Null vectors, those of zeros, those with a null or non-finite component and those of
     another length than most take no part, as queries or as answers; nor do null ids. Fewer rows
     than k give shorter answers; an empty table, or one without queries, gives no rows. Other columns
@@ -212,7 +225,7 @@ def nearest(
     ids = rows.select("id", "embedding").distinct().withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
     points = ids.groupBy("embedding").agg(F.min("id").alias("vid"), F.array_sort(F.collect_list("id")).alias("ids"))
     # Equal ids with different vectors are points apart: those of one id are numbered.
-    points = settled(points.select(F.xxhash64("vid", "embedding").alias("key"), "vid", "ids", "embedding"), "points")
+    points = settled(points.select(F.xxhash64("vid", "embedding").alias("key"), F.col("vid").alias("least"), "ids", "embedding"), "points")
     asking = rows.where("asks").select("id", "embedding").distinct()
     asking = asking.join(points.select("embedding", "key"), "embedding").select(F.col("id").alias("query_id"), F.col("key").alias("qid"))
     asking = settled(asking, "asking")
@@ -226,11 +239,11 @@ def nearest(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                got = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                yield pa.record_batch([*batch.columns, pa.array(_cell_of(_project(got, axes), nodes))], names=["vid", "embedding", "cell"])
+                got = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+                yield pa.record_batch([*batch.columns, pa.array(_cell_of(_project(got, axes), nodes))], names=["vid", "least", "embedding", "cell"])
 
     kind = points.schema["embedding"].dataType.simpleString()
-    placed = points.select(F.col("key").alias("vid"), "embedding").mapInArrow(place, f"vid long, embedding {kind}, cell long")
+    placed = points.select(F.col("key").alias("vid"), "least", "embedding").mapInArrow(place, f"vid long, least long, embedding {kind}, cell long")
     placed = settled(placed, "placed")
     at_home = placed.join(asking.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi").withColumn("reach", F.lit(4.0))
     first = settled(_blocked(placed, at_home, axes, k + 1, bound), "found")
@@ -239,7 +252,7 @@ def nearest(
     if nodes:
         reach = _top(first, k + 1).groupBy("qid").agg(F.count("*").alias("c"), F.min("score").alias("s"))
         reach = reach.select(F.col("qid").alias("vid"), F.when(F.col("c") > k, F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))).otherwise(F.lit(4.0)).alias("reach"))
-        again = at_home.drop("reach").join(reach, "vid")
+        again = at_home.select("vid", "embedding", "cell").join(reach, "vid")
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -254,7 +267,7 @@ def nearest(
         out = first.union(_blocked(placed, sent, axes, k + 1, bound))
     best = _top(out, k + 1)
     best = best.join(points.select(F.col("key").alias("vid"), "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
-    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    over = Window.partitionBy("query_id").orderBy(_nearest_first(), "vec_id")
     answers = asking.join(best, "qid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     answers = answers.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
     return answers.select("query_id", "rank", "vec_id", "score")

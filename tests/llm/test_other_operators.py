@@ -274,6 +274,18 @@ def brute_neighbours(rows, k=5):
     return out
 
 
+def test_parallel_and_mirrored_vectors_tie(spark):
+    rng = np.random.default_rng(8)
+    v = [float(np.float32(x)) for x in rng.normal(size=4)]
+    rows = [(i, [x * 2.0 ** (i % 7) * (1 + i % 3) for x in v]) for i in range(100, 0, -1)] + [(i, [float(x) for x in rng.integers(-1, 2, 4)]) for i in range(150, 700)]
+    df = spark.createDataFrame([(i, [float(np.float32(x)) for x in y]) for i, y in rows], "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, dims=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[50] == [1, 2, 3, 4, 5] and got == brute_neighbours(rows)
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(400)]
