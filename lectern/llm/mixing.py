@@ -4,11 +4,8 @@ A multinomial naive Bayes classifier over hashed words, learnt from a labelled t
 document a posterior over the domains: its soft membership. Rates r >= 0 are then fitted so that the
 expected token totals, sum over documents of rate * tokens * posterior, come nearest to the targets
 in least squares. The gradient of a document depends on the others through one residual a domain
-alone: each step sums those over all documents, and a document's rate follows from the list of
-steps so far. Nothing but sums by domain, and their squares' matrix, reaches the driver.
-
-Steps are scaled by the inverse of that matrix (and by one over a document's tokens), which makes
-one a safe step length and lets a few steps do.
+alone, so that a document's rate follows from the list of steps so far. Nothing but sums by domain,
+and their matrix, reaches the driver.
 """
 
 from __future__ import annotations
@@ -75,66 +72,107 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], evidence:
     return sums.select("doc_id", "version", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def _rate(steps: list[np.ndarray], most: float) -> Column:
-    """A document's rate after the steps so far: from 1, each takes off its posterior times the step, within 0 and ``most``."""
-    if not steps:
-        return F.lit(1.0)
-    made = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(made, F.lit(1.0), lambda r, g: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(g))))
-
-
-def fit_rates(members: DataFrame, targets: list[float], budget: float = 1.25, most_rate: float = 8.0, most_steps: int = 40, near: float = 1e-6) -> tuple[Column, list[float]]:
-    """(the rate as a column over ``members``, expected token totals) by projected gradient least squares.
-
-    Targets are shares of ``budget`` times all tokens. Rates stay within 0 and ``most_rate``, the most
-    copies of a document that a mix may have; and a small ridge holds back domains with next to no
-    tokens, whose targets nothing can meet, so that they don't drive all rates up. It ends when no residual changes by more than
-    ``near`` of all tokens, or after ``most_steps`` passes over ``members``.
+def _dot(x: np.ndarray) -> Column:
+    out = F.lit(0.0)
+    for i, v in enumerate(x):
+        out = out + F.col("p")[i] * F.lit(float(v))
+    return out
+
+
+def _projected(rate: Column, most: float | None) -> Column:
+    """A rate within 0 and ``most``."""
+    rate = F.greatest(F.lit(0.0), rate)
+    return rate if most is None else F.least(F.lit(float(most)), rate)
+
+
+def _look(members: DataFrame, rate: Column, g: np.ndarray, most: float | None, every: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """One pass, in shares of all tokens: token totals by domain of the rates after the step g, their sum of half squares, and the matrix of the free ones' posteriors."""
+    k = range(len(g))
+    p = [F.col("p")[i] for i in k]
+    after = members.select("tokens", "p", (rate - _dot(g)).alias("u")).select("tokens", "p", "u", _projected(F.col("u"), most).alias("r"))
+    after = after.select("tokens", "p", (F.col("tokens") * F.col("r")).alias("m"), (F.col("r") * (F.col("u") - F.col("r") / 2)).alias("h"), (F.col("u") == F.col("r")).cast("double").alias("free"))
+    sums = [F.sum(F.col("m") * p[i]) for i in k] + [F.sum(F.col("tokens") * F.col("h"))] + [F.sum(F.col("free") * F.col("tokens") * p[i] * p[j]) for i in k for j in range(i + 1)]
+    got = np.array(after.agg(*sums).first(), float) / every
+    matrix = np.zeros((len(g), len(g)))
+    matrix[np.tril_indices(len(g))] = got[len(g) + 1 :]
+    return got[: len(g)], got[len(g)], np.tril(matrix) + np.tril(matrix, -1).T
+
+
+def fit_rates(
+    members: DataFrame, targets: list[float], budget: float = 1.25, most_rate: float | None = None, length: float = 1e5, most_steps: int = 30, near: float = 1e-6
+) -> tuple[DataFrame, list[float], list[float]]:
+    """(``members`` with ``rate``, expected token totals, wanted ones) by projected-gradient least squares.
+
+    Targets are shares of ``budget`` times all tokens. Rates start at 1 and minimize the sum of squared
+    differences between expected and wanted totals over all rates of at least 0 (and at most
+    ``most_rate``, if given). A document's gradient, over its tokens, is its posterior times the
+    residuals. Steps are implicit: a rate moves against the gradient at the step's end and is projected,
+    which allows for any length. What the documents have in common at a step's end is one number a
+    domain; Newton's method finds these from sums over all documents, one pass over ``members`` each.
+    ``length`` is in units of one over the largest curvature. It ends when no residual is over ``near``
+    of all tokens, when a step has not moved one by a tenth of that, or after ``most_steps``.
     """
-    k = range(len(targets))
-    p = [F.element_at("p", i + 1) for i in k]
-    first = members.agg(
-        F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in k for j in k]
-    ).first()
+    k = len(targets)
+    first = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()
     every = float(first[0])
+    share = np.array(targets, float) / sum(targets) * budget
+    rate = F.lit(1.0)
     if not every:
-        return F.lit(1.0), [0.0 for _ in k]
-    matrix = np.array(first[1:]).reshape(len(targets), -1)
-    inverse = np.linalg.inv(matrix + np.eye(len(targets)) * 2e-3 * every)
-    wanted = np.array(targets) / sum(targets) * every * budget
-    steps: list[np.ndarray] = []
-    before = None
-    while True:
-        sums = members.withColumn("r", _rate(steps, most_rate)).agg(*[F.sum(F.col("r") * F.col("tokens") * p[i]) for i in k]).first()
-        rest = np.array(sums, float) - wanted
-        if len(steps) == most_steps or np.abs(rest).max() < near * every or before is not None and np.abs(rest - before).max() < near * every:
-            return _rate(steps, most_rate), [float(x) for x in sums]
-        before = rest
-        steps.append(inverse @ rest)
-
-
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.25, **options) -> DataFrame:
-    """(doc_id, version, tokens, domain, p, rate) for every distinct document of ``docs`` (doc_id, text, lang).
+        return members.withColumn("rate", rate), [0.0] * k, [0.0] * k
+    sums, half, matrix = _look(members, rate, np.zeros(k), None, every)
+    length /= np.linalg.eigvalsh(matrix).max()
+    if most_rate is not None:
+        rate = _projected(rate, most_rate)
+        sums, half, matrix = _look(members, rate, np.zeros(k), most_rate, every)
+    for _ in range(most_steps):
+        if np.abs(sums - share).max() < near:
+            break
+        g, before = np.zeros(k), sums
+        for _ in range(100):
+            # Of the convex function whose minimum is the step: its gradient, and Newton's way down.
+            slope = g / length + share - sums
+            if np.abs(slope).max() < 1e-3 * near:
+                break
+            way, size = np.linalg.solve(matrix + np.eye(k) * (1 / length + 1e-12), slope), 1.0
+            value = g @ g / (2 * length) + share @ g + half
+            while True:
+                there = g - size * way
+                sums, half, matrix = _look(members, rate, there, most_rate, every)
+                if there @ there / (2 * length) + share @ there + half <= value - 1e-4 * size * (slope @ way) + 1e-15 or size < 1e-6:
+                    break
+                size /= 2
+            g = there
+        rate = _projected(rate - _dot(g), most_rate)
+        if np.abs(sums - before).max() < 0.1 * near:
+            break
+        # The next step starts where this one ended: with nothing taken off the new rates.
+        sums, half, matrix = _look(members, rate, np.zeros(k), most_rate, every)
+    return members.withColumn("rate", rate), (sums * every).tolist(), (share * every).tolist()
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.25, most_rate: float | None = None, **options) -> DataFrame:
+    """(doc_id, version, tokens, domain, p, rate, wanted, expected) for every distinct document of ``docs`` (doc_id, text, lang).
 
     A domain is language/quality of a labelled row; targets are weights by domain. tokens counts
-    words parted by white space; domain is the likeliest (the first of equals); version, a hash of
+    words parted by white space; domain is the likeliest (the first of equals); wanted and expected
+    are that domain's token totals, as the targets ask and as the rates give. version, a hash of
     the text, tells texts of one doc_id apart. Rows that repeat doc_id and text are one document,
     with the tokens of all.
 
     Cases: a null or empty text has 0 tokens and the prior as its posterior. A domain that no
     labelled row has keeps a small prior and even word weights. Without labels all posteriors are
-    even. Targets that no nonnegative rates reach are met as nearly as least squares can. A null doc_id is
-    an id like others. An empty table gives no rows. Other columns are ignored.
+    even. Targets that no nonnegative rates reach are met as nearly as least squares can; documents
+    with equal posteriors have equal rates. A null doc_id is an id like others. An empty table gives
+    no rows. Other columns are ignored.
     """
     targets = targets or TARGETS
     domains = list(targets)
     base = docs.select("doc_id", "text", "lang")
     members = settled(posteriors(base, labels, domains, **options), "members")
-    rate, _ = fit_rates(members, list(targets.values()), budget)
-    names = F.array(*[F.lit(d) for d in domains])
-    best = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))
-    return members.select("doc_id", "version", "tokens", best.alias("domain"), "p", rate.alias("rate"))
+    rows, expected, wanted = fit_rates(members, list(targets.values()), budget, most_rate)
+    at = F.array_position("p", F.array_max("p")).cast("int")
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), at)
+    return rows.select("doc_id", "version", "tokens", of(domains, "string").alias("domain"), "p", "rate", of(wanted, "double").alias("wanted"), of(expected, "double").alias("expected"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.25, **options) -> DataFrame:

@@ -215,7 +215,7 @@ def mix_rows():
     return rows, labels
 
 
-def test_rates_meet_targets_and_match_plain_least_squares(spark):
+def test_rates_meet_targets(spark):
     rows, labels = mix_rows()
     rates = mixing_rates(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).toPandas()
     from lectern.llm.mixing import TARGETS
@@ -225,17 +225,41 @@ def test_rates_meet_targets_and_match_plain_least_squares(spark):
     want = np.array(list(TARGETS.values())) / sum(TARGETS.values()) * t.sum() * 1.25
     assert np.allclose(p.sum(1), 1) and (r >= 0).all()
     assert np.abs(got - want).max() < 1e-4 * t.sum()
+    at = [list(TARGETS).index(d) for d in rates.domain]
+    assert np.allclose(rates.wanted, want[at]) and np.allclose(rates.expected, got[at])
     truth = {i: f"{lang}/{int('!!' not in text)}" for i, text, lang, *_ in rows}
     assert np.mean([truth[i] == d for i, d in zip(rates.doc_id, rates.domain)]) > 0.97
 
 
-def test_projection_holds_rates_at_zero(spark):
-    members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.1, 0.9]), (10, [0.5, 0.5])], "tokens long, p array<double>")
-    rate, sums = fit_rates(members, [1.0, 0.0], budget=1.0)
-    got = [r[0] for r in members.select(rate).collect()]
-    # By hand: only the first document can serve the first domain without overshooting the second.
-    best = min((np.sum((10 * (np.array([[0.9, 0.1], [0.1, 0.9], [0.5, 0.5]]).T @ np.array([x, 0, 0])) - [30, 0]) ** 2), x) for x in np.linspace(0, 4, 401))
-    assert got[1] == 0 and got[2] >= 0 and abs(sums[0] - 30) < 6 and best[1] > 2
+def least_squares(tokens, p, wanted, most=np.inf):
+    """Totals of the least squares over rates from 0 to most, by coordinate descent to the end."""
+    a = p * tokens[:, None]
+    r = np.zeros(len(a))
+    got = a.T @ r
+    for _ in range(20_000):
+        before = got.copy()
+        for i in range(len(a)):
+            if tokens[i]:
+                x = min(most, max(0.0, r[i] - a[i] @ (got - wanted) / (a[i] @ a[i])))
+                got, r[i] = got + a[i] * (x - r[i]), x
+        if np.abs(got - before).max() < 1e-10 * tokens.sum():
+            break
+    return got
+
+
+@pytest.mark.parametrize("targets, most", [([0.1, 0.1, 0.4, 0.4], None), ([0.0, 0.0, 0.0, 1.0], None), ([0.25, 0.25, 0.25, 0.25], None), ([0.1, 0.1, 0.4, 0.4], 1.5)])
+def test_rates_match_least_squares(spark, targets, most):
+    rng = np.random.default_rng(6)
+    # Soft memberships, so that pure targets are out of reach, and one domain with few tokens.
+    p = rng.dirichlet([2.0, 1.5, 1.0, 0.2], 120)
+    tokens = rng.integers(0, 400, 120).astype(float)
+    members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
+    rows, sums, wanted = fit_rates(members, targets, most_rate=most)
+    got = rows.toPandas()
+    assert (got.rate >= 0).all() and (most is None or (got.rate <= most).all())
+    assert np.allclose((np.stack(got.p) * (got.tokens * got.rate).to_numpy()[:, None]).sum(0), sums)
+    best = least_squares(tokens, p, np.array(wanted), most or np.inf)
+    assert np.abs(best - sums).max() < 1e-4 * tokens.sum()
 
 
 def test_mixing_edge_rows(spark):
