@@ -109,7 +109,8 @@ def _forest(links: np.ndarray, n: int) -> list[int]:
 
 def _links_of_block(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
+        # A document has all its sets; equal rows count once.
+        pdf = pdf[~pd.Series([(i, x.tobytes()) for i, x in zip(pdf["doc_id"], pdf["shingles"])], index=pdf.index).duplicated()]
         ids, part = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
         sizes = pdf["shingles"].map(len).to_numpy()
         value, column, count = np.unique(np.concatenate(pdf["shingles"].tolist()), return_inverse=True, return_counts=True)
@@ -130,8 +131,10 @@ def _links_of_block(percent: int):
         union = sizes[:, None] + sizes[None, :] - common
         linked = (100 * common >= percent * union) & (part[:, None] != part[None, :])
         pairs = np.argwhere(np.triu(linked, 1))
-        pairs = pairs[_forest(pairs, len(ids))] if len(pairs) else pairs
-        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+        node, at = np.unique(ids, return_inverse=True)
+        pairs = at[pairs]
+        pairs = node[pairs[_forest(pairs, len(node))]] if len(pairs) else pairs
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -147,7 +150,8 @@ def near_duplicates(
     reachable, and kept says whether it is the row's own.
 
     Cases: a null or wordless text has an empty set and links with nothing. Rows that repeat a
-    doc_id count as one document that has all their sets, and all stay or go together. A null
+    doc_id count as one document that has all their sets, and all stay or go together (but for those
+    without words, which stay). A null
     doc_id takes no part: its component_id is null and it is kept. An empty table gives no rows.
     Other columns are ignored, whatever their names. With the default bands a pair at a similarity
     of 0.85 shares no key with a probability of 7e-9, one at 0.8 of 3e-6.
@@ -157,8 +161,12 @@ def near_duplicates(
     signed = settled(base.mapInArrow(_sign(bands, rows, width), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "signed")
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    # Equal sets are one class; its smallest doc_id stands for it.
+    # Equal sets, by 128 bits of sums over all their shingles, are one class; its smallest doc_id stands for it.
     classes = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Texts that share a doc_id are one document, which brings their classes together.
+    several = usable.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
+    same = usable.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "h1", "h2", "n_shingles").join(classes.hint("merge"), ["h1", "h2", "n_shingles"])
+    same = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     posts = (
         usable.join(classes.select(F.col("rep").alias("doc_id"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), "doc_id", "left_semi")
         .select("doc_id", F.explode("keys").alias("key"))
@@ -177,10 +185,9 @@ def near_duplicates(
     both = F.size(F.array_intersect("x", "y"))
     links = settled(
         stars.join(left, "hub").join(right, "doc_id")
-        .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")),
+        .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(same),
         "links",
     )
-    # Documents that share a doc_id are one node; so are a class and its representative.
     parts = components(links)
 
     # Second round: keys whose members, apart from the smallest, lie in different components.

@@ -87,6 +87,16 @@ def test_near_duplicates_edge_rows(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_texts_of_one_doc_id_bring_their_groups_together(spark):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 80) for _ in range(3))
+    near = lambda text: " ".join(text.split()[:-1] + ["other"])
+    # 9 has the texts of 1 and of 3; 8 is near a copy of 4's and of 5's first text, beside a hub.
+    rows = [(1, a), (3, b), (9, a), (9, b), (2, near(a)), (4, c), (5, near(c)), (8, sentence(rng, 80)), (8, near(near(c))), (8, near(near(c))), (7, "apart from all of these")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs_of(spark, rows), percent=80).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (9, 1, False), (4, 4, True), (5, 4, False), (8, 4, False), (7, 7, True)}
+
+
 def test_second_round_finds_links_beside_the_hub(spark):
     """Members that are near each other, but not near the smallest of their keys."""
     rng = random.Random(8)
