@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import discard, settled
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST_WORD = 24
 BUCKETS = 1 << 16
-#: Words that speak for blocking, the least log odds of each (in hosts: on top of the prior), and its least share of all words in the word model.
+#: Words whose hosts are examples for blocking, the pages that each stands for beside those that there are, and its least share of all words in the word model.
 SEEDS = "ads adult bet bets casino cheap clickbait crack escort farm gambling jackpot keygen loan loans malware pills poker porn replica sex spam torrent viagra warez xxx".split()
-SEED_ODDS = 8.0
+SEED_PAGES = 2.0
 SEED_SHARE = 1e-5
 #: The weight of all pages' token shares in those of either side, in tokens.
 SMOOTHING = 100.0
@@ -149,7 +149,9 @@ def learn(labelled: DataFrame, seeds=SEEDS) -> tuple[float, np.ndarray]:
     """(prior log odds, log odds by bucket) for blocking, from (words, path, verdict); at most 65,537 counts reach the driver.
 
     Either side's shares of tokens are smoothed towards the shares in all pages, so that a side with
-    few pages lends rare tokens no odds of its own.
+    few pages lends rare tokens no odds of its own. A seed word in a host counts as ``SEED_PAGES`` more
+    blocked pages, and no more than that: allowed pages with the word take its odds down, and in a
+    path it has only the odds that the pages give it.
     """
     rows = labelled.mapInArrow(_count, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow"), F.sum("block")).collect()
     counts, pages = np.zeros((2, BUCKETS)), np.zeros(2)
@@ -159,15 +161,12 @@ def learn(labelled: DataFrame, seeds=SEEDS) -> tuple[float, np.ndarray]:
         else:
             counts[:, b] = allow, block
     prior = float(np.log((pages[1] + 1) / (pages[0] + 1)))
+    np.add.at(counts[1], [zlib.crc32(f"h {word}".encode()) % BUCKETS for word in seeds], SEED_PAGES)
     seen = counts.sum(0) > 0
     share = SMOOTHING * counts.sum(0)[seen] / max(1.0, counts.sum())
     block, allow = ((counts[side, seen] + share) / (counts[side].sum() + SMOOTHING) for side in (1, 0))
     odds = np.zeros(BUCKETS)
     odds[seen] = np.log(block / allow)
-    for word in seeds:
-        for kind, least in (("h", SEED_ODDS - min(0.0, prior)), ("p", SEED_ODDS)):
-            b = zlib.crc32(f"{kind} {word}".encode()) % BUCKETS
-            odds[b] = max(odds[b], least)
     return prior, odds
 
 
@@ -187,10 +186,12 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, url_col: str = "url",
     parted = parted.select("*", rule.alias("rule"), verdict.alias("verdict"))
     hosts = parted.select("host").distinct().select("host", F.regexp_extract_all("host", F.lit("[a-z]+"), 0).alias("runs"))
     placed = hosts.select("host", F.posexplode("runs").alias("at", "run"))
-    split = segment_runs(placed.select("run").distinct(), word_counts(pages, html_col), seeds)
+    words = settled(word_counts(pages, html_col), "words")
+    split = segment_runs(placed.select("run").distinct(), words, seeds)
     by_host = placed.join(split, "run").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
     by_host = by_host.select("host", F.flatten("w.words").alias("host_words"))
     rows = settled(parted.join(by_host, "host", "left"), "urls")
+    discard(words)
     said = F.when(F.coalesce(F.arrays_overlap("host_words", F.array(*map(F.lit, seeds))), F.lit(False)), "block").otherwise("allow")
     prior, odds = learn(rows.select("host_words", "path", said.alias("verdict")), seeds)
 

@@ -164,6 +164,35 @@ def test_urls_learn_from_seeds_and_leave_other_pages_alone(spark):
     assert {i: r.verdict for i, r in got.items() if 200 <= i < 300 and r.verdict != "allow"} == {} and got[301].verdict == "allow"
 
 
+def test_counts_outweigh_seed_words():
+    """Naive Bayes by hand; a seed word that stands in allowed pages' hosts, or in paths, doesn't block."""
+    pages = [(["casino", "com"], "/en/1", "block")] * 8 + [(["garden", "com"], "/en/2", "allow")] * 50 + [(["family", "net"], "/farm/loans/3", "allow")] * 30
+    import pyarrow as pa
+
+    names = ["words", "path", "verdict"]
+    got = next(urlfilter._count(iter([pa.record_batch([pa.array(x) for x in zip(*pages)], names=names)]))).to_pydict()
+
+    class Labelled:
+        def mapInArrow(self, *_):
+            return self
+
+        groupBy = agg = mapInArrow
+
+        def collect(self):
+            return list(zip(got["bucket"], got["allow"], got["block"]))
+
+    prior, odds = urlfilter.learn(Labelled())
+    score = lambda words, path: prior + odds[urlfilter._tokens(words, path)].sum()
+    counts = {"allow": Counter(), "block": Counter({f"h {w}": urlfilter.SEED_PAGES for w in urlfilter.SEEDS})}
+    for words, path, verdict in pages:
+        counts[verdict].update([f"h {w}" for w in words] + [f"p {t}" for t in path.split("/") if t.isalpha()] + [f"n {t} 1" for t in path.split("/") if t.isdigit()])
+    every = counts["allow"] + counts["block"]
+    share = lambda side, t: (counts[side][t] + urlfilter.SMOOTHING * every[t] / every.total()) / (counts[side].total() + urlfilter.SMOOTHING)
+    want = math.log(9 / 81) + sum(math.log(share("block", t) / share("allow", t)) for t in ("h casino", "h com", "p en", "n 1 1"))
+    assert abs(score(["casino", "com"], "/en/1") - want) < 1e-9 and want > 0
+    assert score(["family", "net"], "/farm/") < 0 and score(["garden", "com"], "/loans/9") < 0 and score(["unseen"], "/adult/") < 0
+
+
 # Lengths
 
 
