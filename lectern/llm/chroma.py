@@ -6,8 +6,8 @@ look-ups. Sixteen filters, each the log ratio of two halves of a rectangle, are
 bits each, which makes an integer of 32 bits a frame.
 
 Two recordings align where many of their integers agree at one offset: integers (paired with the one
-some frames on) are joined, offsets are counted, and at the best offset the share of differing bits
-over the whole overlap decides. Equal recordings are one class and are aligned once.
+some frames on) are joined, offsets are counted, and at every offset with enough votes the share of
+differing bits over the whole overlap decides. Equal recordings are one class and are aligned once.
 """
 
 from __future__ import annotations
@@ -102,9 +102,13 @@ def align(prints: DataFrame, ids: list[str], queries, apart: int = 4, least_vote
     Columns: query_<id> for each of ``ids``, n_codes, copies (recordings equal to the query, itself
     included), match_<id> (of the class's first recording by ids), match_copies, offset (frames by
     which the match starts later in the query), votes, overlap and bit_error; the last are null for a query that
-    aligns with no other class. A class aligns if at least ``least_votes`` pairs of integers agree at
-    the best offset (most votes, then the smallest offset) and at most ``most_error`` of the overlap's
-    bits differ. An integer that repeats within a recording votes with its first place.
+    aligns with no other class. A class aligns at an offset if at least ``least_votes`` pairs of integers
+    agree there and at most ``most_error`` of the overlap's bits differ; of several such offsets the one
+    with the most votes counts, then the smallest. Every place of an integer votes, but that one which
+    lasts (a held note) votes where it begins.
+
+    The join of the integers is many to many; a frequent one's rows are split by Spark's handling of
+    skewed joins, as nothing but sums by offset follows.
 
     Recordings without codes, null media included, align with nothing. Repeated rows are copies. Ids may be
     null. An empty table gives no rows. Other columns are ignored.
@@ -115,15 +119,13 @@ def align(prints: DataFrame, ids: list[str], queries, apart: int = 4, least_vote
     who = F.struct(*ids)
     classes = held.groupBy("h1", "h2").agg(F.min(who).alias("first"), F.count("*").alias("copies"), F.max("asks").alias("asks"))
     unique = held.where(F.size("codes") > 0).dropDuplicates(["h1", "h2"]).select("h1", "h2", "codes")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("codes") - apart), lambda i: F.struct(F.xxhash64(F.element_at("codes", i), F.element_at("codes", i + apart)).alias("key"), i.alias("at"))
-    )
-    posts = unique.where(F.size("codes") > apart).select("h1", "h2", F.explode(pairs).alias("x")).groupBy("h1", "h2", "x.key").agg(F.min("x.at").alias("at"))
+    keys = F.transform(F.sequence(F.lit(1), F.size("codes") - apart), lambda i: F.xxhash64(F.element_at("codes", i), F.element_at("codes", i + apart)))
+    posts = unique.where(F.size("codes") > apart).select("h1", "h2", keys.alias("keys")).select("h1", "h2", "keys", F.posexplode("keys").alias("at", "key"))
+    posts = posts.where((F.col("at") == 0) | (F.col("key") != F.get("keys", F.col("at") - 1))).select("h1", "h2", "key", "at")
     posts = settled(posts, "posts")
     asked = posts.join(classes.where("asks").select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "key", F.col("at").alias("qat"))
     votes = asked.join(posts, "key").where("NOT (q1 = h1 AND q2 = h2)").groupBy("q1", "q2", "h1", "h2", (F.col("qat") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q1", "q2", "h1", "h2").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).where(F.col("b.votes") >= least_votes)
-    best = best.select("q1", "q2", "h1", "h2", F.col("b.votes").alias("votes"), (-F.col("b.o")).alias("offset"))
+    best = votes.where(F.col("votes") >= least_votes)
     both = best.join(unique.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("codes").alias("x")), ["q1", "q2"]).join(unique.withColumnRenamed("codes", "y"), ["h1", "h2"])
     # The query's part from place max(0, offset), the match's from max(0, -offset), as far as both go.
     start_x, start_y = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
@@ -132,6 +134,8 @@ def align(prints: DataFrame, ids: list[str], queries, apart: int = 4, least_vote
         F.zip_with(F.slice("x", start_x + 1, F.col("overlap")), F.slice("y", start_y + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x
     )
     both = both.withColumn("bit_error", bits / (32.0 * F.col("overlap"))).where(F.col("bit_error") <= most_error)
+    both = both.groupBy("q1", "q2", "h1", "h2").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"), "overlap", "bit_error")).alias("b"))
+    both = both.select("q1", "q2", "h1", "h2", "b.votes", (-F.col("b.o")).alias("offset"), "b.overlap", "b.bit_error")
     matches = both.join(classes.select("h1", "h2", "first", F.col("copies").alias("match_copies")), ["h1", "h2"])
     matches = matches.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "first", "match_copies", "offset", "votes", "overlap", "bit_error")
     rows = held.where("asks").select(*ids, F.size("codes").alias("n_codes"), "h1", "h2").join(classes.select("h1", "h2", "copies"), ["h1", "h2"])

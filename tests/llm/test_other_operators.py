@@ -396,6 +396,40 @@ def test_cut_and_noisy_recordings_align(spark):
     assert chroma.align(prints.limit(0), ["id"], F.lit(True)).collect() == []
 
 
+def brute_alignment(x, y, apart=4, least=3, most=0.25):
+    """(votes, offset, overlap, error) of two recordings, by trying every pair of places."""
+    def keys(c):
+        k = [(c[i], c[i + apart]) for i in range(len(c) - apart)]
+        return [(p, i) for i, p in enumerate(k) if i == 0 or k[i - 1] != p]
+
+    votes = Counter(i - j for p, i in keys(x) for q, j in keys(y) if p == q)
+    found = []
+    for o, n in votes.items():
+        pairs = [(x[i], y[i - o]) for i in range(len(x)) if 0 <= i - o < len(y)]
+        error = sum((a ^ b).bit_count() for a, b in pairs) / (32 * len(pairs))
+        if n >= least and error <= most:
+            found.append((n, -o, len(pairs), error))
+    return max(found, default=None)
+
+
+def test_alignment_matches_brute_force(spark):
+    rng = random.Random(10)
+    phrases = [[rng.getrandbits(32) for _ in range(rng.randrange(4, 12))] for _ in range(5)] + [[7] * 30]
+    rows = []
+    for i in range(60):
+        codes = [c for _ in range(rng.randrange(0, 7)) for c in rng.choice(phrases)]
+        rows.append((i, [c ^ (1 << rng.randrange(32)) if rng.random() < 0.1 else c for c in codes]))
+    # A clip of a phrase's second place, and a recording that lasts.
+    rows += [(100, rows[7][1][-20:]), (101, [3] * 5000), (102, [3] * 4000 + [9, 8, 7]), (103, [])]
+    got = {(r.query_id, r.match_id): (r.votes, -r.offset, r.overlap, r.bit_error) for r in chroma.align(spark.createDataFrame(rows, "id long, codes array<long>"), ["id"], F.lit(True)).collect() if r.match_id is not None}
+    first = {}
+    for i, c in rows:
+        first.setdefault(tuple(c), i)
+    want = {(i, j): w for i, x in rows for y, j in first.items() if tuple(x) != y and (w := brute_alignment(x, list(y)))}
+    assert len(want) > 50 and set(got) == set(want)
+    assert all(got[k][:3] == want[k][:3] and abs(got[k][3] - want[k][3]) < 1e-12 for k in want)
+
+
 # Pipeline
 
 
