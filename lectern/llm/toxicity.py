@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_g2: fl
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = totals["n"] or 0, totals["t"] or 0
     inputs = np.zeros(BUCKETS, np.int32)
-    flat, sizes, y = np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1.0] * t + [0.0] * (n - t))
+    flat, sizes, y = np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1.0] * t + [0.0] * (n - t if t < n else t))
     if 0 < t < n:
         train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
         found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, buckets binary, toxic int").toArrow()
@@ -197,7 +197,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     The model sees the text alone. Rows repeat as they come; a null or empty text has no terms and
     gets the score of the constant, near the share of toxic rows; without labels of both kinds every
-    row gets that share (0.0001 if there are no labels). An empty table gives no rows. A column
+    row gets 0.0001, or 0.5 if all labels are toxic, as they tell no text from another. An empty table gives no rows. A column
     named toxicity is replaced; other columns may have any name.
     """
     inputs, model = fit(docs, labels, **options)

@@ -465,3 +465,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert 301 not in ids["minhash_near_dedup"] and 1 in ids["minhash_near_dedup"] and ids["minhash_near_dedup"] == ids["line_dedup"] - {301}
     assert all(r.round_trip for r in seen["sentencepiece"] if r.ids is not None) and ids["sentencepiece"] == ids["mixing"]
     assert sorted(r.doc_id for r in cp.run(spark, folder).collect()) == sorted(r.doc_id for r in seen["sentencepiece"])
+
+
+def test_pipeline_stages_on_edge_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, 1, int(i == 1)) for i in range(1, 7)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    line = "a line of text that more than one document holds"
+    rows = [(None, "some text here", "en", "s", 14), (1, None, None, None, None), (2, "", "en", "s", 0), (3, line + "\n\n" + line, "en", "s", 98), (4, line + "\n \n", "en", "s", 51), (5, "word " * 30_000, "fr", "s", 150_000), (6, "x", "en", "s", 1), (6, "x", "en", "s", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit("clash") for c in ("toxicity", "n_removed", "component_id", "kept", "rate", "p", "tokens", "domain", "ids", "scores", "version", "__id", "__hash", "word", "at")}
+    docs = spark.createDataFrame(rows, kind).withColumns(clash)
+    ids = lambda df: sorted((r.doc_id if r.doc_id is not None else -1 for r in df.collect()))
+    kept = {name: ids(stage(spark, docs, folder)) for name, stage in cp.STAGES}
+    assert kept["toxicity"] == kept["sentencepiece"] == [-1, 1, 2, 3, 4, 5, 6, 6]
+    assert kept["line_dedup"] == [-1, 1, 2, 3, 5, 6, 6] and kept["minhash_near_dedup"] == [-1, 1, 2, 3, 4, 5, 6, 6]
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
+    spark.createDataFrame(rows, kind).limit(0).write.parquet(folder + "/documents.parquet")
+    assert cp.run(spark, folder).collect() == []
