@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import markers_in, sentences, strip_markers
 from ..functions.urls import lookup_key
+from ..sources.shared import spread
 
 
 def marker_walk(answers: DataFrame) -> DataFrame:
@@ -70,20 +71,24 @@ def exact_passages(passages: DataFrame, docs: DataFrame, longest: int = 5) -> Da
     the document. A hash of up to five of these is what both sides are joined on; a substring test
     confirms. Passages of one or two words have no such words and must be whole words of the document.
     Documents are hashed where they are read: one number a word is compared, texts only meet in hits.
+    The passages are the small side, which Spark broadcasts where its size allows.
     """
     words = F.filter(F.split("passage", r"\s+"), lambda w: w != "")
     asked = passages.select("passage_id", "passage", words.alias("w")).where(F.size("w") > 0)
     inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(longest)))).otherwise(F.col("w"))
-    asked = asked.select("passage_id", "passage", F.size(inner).alias("k"), F.xxhash64(F.array_join(inner, " ")).alias("key"))
-    own = docs.select("doc_id", "text", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    out = asked.select("passage_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).limit(0)
-    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most ``longest`` numbers, and as many passes over the documents
-    for k in sizes:
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))
-        keys = own.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-        hit = keys.join(asked.where(F.col("k") == k).select("passage_id", "key"), "key").select("passage_id", "doc_id").distinct()
-        out = out.union(hit)
-    both = out.join(passages.select("passage_id", "passage"), "passage_id").join(docs.select("doc_id", "text"), "doc_id")
+    asked = asked.select("passage_id", "passage", F.xxhash64(F.transform(inner, lambda w: F.xxhash64(w))).alias("key"), F.size(inner).alias("k"))
+    # Words are hashed once, runs over the words' hashes; only lengths that a passage asks for are made (at most ``longest`` numbers).
+    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())
+    own = spread(docs.select("doc_id", "text")).select("doc_id", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("h"))
+
+    def runs(k: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("h") - k + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(k))))
+        return F.when(F.size("h") >= k, made).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.array_distinct(F.concat(*[runs(k) for k in sizes], F.array().cast("array<bigint>")))
+    keys = own.select("doc_id", F.explode(every).alias("key"))
+    hits = keys.join(asked.select("passage_id", "key"), "key").select("passage_id", "doc_id").distinct()
+    both = hits.join(passages.select("passage_id", "passage"), "passage_id").join(docs.select("doc_id", "text"), "doc_id")
     return both.where(F.col("text").contains(F.col("passage"))).select("passage_id", "doc_id")
 
 

@@ -1,31 +1,42 @@
-"""Search index tables: postings, document frequencies, statistics, catalog and histograms."""
+"""Search index: tables of postings, frequencies and statistics, stored and read again; catalog counts and histograms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..functions.values import rounded
+from ..sources.shared import shared_dir, spread
+
+FORMAT = 3
+
 
+class Index(NamedTuple):
+    """postings (term, id, dl, tf) in the order of terms, frequencies (term, df, idf) and statistics (one row: version, records, tokens, mean)."""
 
-def tokenized(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    return chunks.withColumn("tokens", tokenize(F.col(text_col)))
+    postings: DataFrame
+    frequencies: DataFrame
+    statistics: DataFrame
+    id_col: str
 
 
 def postings(chunks: DataFrame, id_col: str) -> DataFrame:
-    """(id, dl, term, tf); an array is summed where it lies, before anything is shuffled."""
-    rows = tokenized(chunks).select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    """(id, dl, term, tf): a chunk's tokens are sorted and counted within its row, so that nothing is shuffled."""
+    rows = chunks.select(id_col, F.array_sort(tokenize(F.col("text"))).alias("sorted")).withColumn("dl", F.size("sorted"))
+    # Places at which a run of equal terms begins; the next one's place, or the end, gives its length.
+    first = F.filter(F.transform("sorted", lambda t, i: F.when((i == 0) | (t != F.get("sorted", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.select(id_col, "dl", "sorted", first.alias("first"))
+    entries = F.transform("first", lambda i, k: F.struct(F.get("sorted", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.col("dl")) - i).cast("long").alias("tf")))
+    return rows.select(id_col, "dl", F.explode(entries).alias("e")).select(id_col, "dl", "e.term", "e.tf")
 
 
-def inverse_frequencies(chunks: DataFrame) -> DataFrame:
-    """(term, df, idf): idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    rows = tokenized(chunks).select(F.explode(F.array_distinct("tokens")).alias("term"))
-    counts = rows.groupBy("term").agg(F.count("*").alias("df"))
-    total = F.broadcast(chunks.agg(F.count("*").alias("total")))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return counts.join(total, F.lit(True)).select("term", "df", idf.alias("idf"))
+def frequencies(posts: DataFrame, total: DataFrame) -> DataFrame:
+    """(term, df, idf) from postings and a row with ``records``: idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    counts = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total.select("records")), F.lit(True))
+    return counts.select("term", "df", F.log(1 + (F.col("records") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -36,6 +47,48 @@ def statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
+def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id") -> Index:
+    """Build the index of ``chunks`` (id, text) in a folder, and open it.
+
+    Postings are ranged by term and id, so that a frequent term spans several files and a search for a
+    few terms reads few row groups. Chunks without tokens have no postings, but count as records.
+    """
+    spark = chunks.sparkSession
+    sizes = spread(chunks.select(id_col, "text"))
+    posts = postings(sizes, id_col).select("term", id_col, "dl", "tf")
+    posts.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{path}/postings")
+    posts = spark.read.parquet(f"{path}/postings")
+    total = chunks.agg(F.count("*").alias("records")).join(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")), F.lit(True))
+    total = total.select(F.lit(FORMAT).alias("version"), F.current_timestamp().alias("built_at"), "records", "tokens", (F.col("tokens") / F.greatest("records", F.lit(1))).alias("mean"))
+    total.write.mode("overwrite").parquet(f"{path}/statistics")
+    frequencies(posts, spark.read.parquet(f"{path}/statistics")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    return read_index(spark, path, id_col)
+
+
+def read_index(spark: SparkSession, path: str, id_col: str = "chunk_id") -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "statistics")), id_col)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(chunks: DataFrame, source: str, id_col: str = "chunk_id") -> Index:
+    """The index of ``chunks``, which come from the table file ``source``: built on first use of the session and opened after that.
+
+    The table's files, with their sizes and times, are part of the key: a table that has changed is indexed anew.
+    """
+    spark = chunks.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    now = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
+    key = (spark.sparkContext.applicationId, id_col, now)
+    if key not in _STORED:
+        place = f"{shared_dir(spark)}/lectern/index-{uuid.uuid4().hex}"
+        write_index(chunks, place, id_col)
+        _STORED[key] = place
+    return read_index(spark, _STORED[key], id_col)
+
+
 def category_totals(docs: DataFrame, category: str) -> DataFrame:
     """Documents and words a category, null words counting 0."""
     return docs.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("records"), F.sum(F.coalesce("words", F.lit(0))).cast("long").alias("words"))
@@ -44,11 +97,3 @@ def category_totals(docs: DataFrame, category: str) -> DataFrame:
 def histogram(docs: DataFrame, array_col: str) -> DataFrame:
     """(name, n) of the values in an array column; each document counts a value as often as it has it."""
     return docs.select(F.explode(array_col).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-
-
-def mean_tokens(chunks: DataFrame):
-    rows = chunks.select(F.size(tokenize(F.col("text"))).alias("n"))
-    return rows.agg(F.count("*").alias("total"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("mean"))
-
-
-__all__ = ["category_totals", "histogram", "inverse_frequencies", "mean_tokens", "postings", "rounded", "statistics", "tokenized"]

@@ -62,22 +62,26 @@ def within(value: Column, target: Column, relative: Column, absolute: Column) ->
     return F.coalesce(F.abs(value - target) <= F.greatest(relative * F.abs(target), absolute), F.lit(False))
 
 
-def _shows(text: Column, hedge: str) -> Column:
-    return text.contains("~") if hedge == "~" else text.rlike(rf"\b{hedge}\b")
+def _shows(text: Column, group: tuple[str, ...]) -> Column:
+    """Whether a text has one of a group's hedges."""
+    words = [h for h in group if h != "~"]
+    found = text.rlike(rf"\b(?:{'|'.join(words)})\b")
+    return found | text.contains("~") if "~" in group else found
 
 
 def missing_hedges(answer: Column, hedges: Column) -> Column:
-    """The hedges of which an answer has neither the word nor another of its group."""
+    """The hedges of which an answer has neither the word nor another of its group; an answer is searched once a group."""
     lower = F.lower(answer)
-    shown = F.filter(F.array(*[F.when(_shows(lower, h), F.lit(h)) for g in HEDGE_GROUPS for h in g]), lambda x: x.isNotNull())
+    seen = F.struct(lower.alias("text"), *[_shows(lower, g).alias(f"g{i}") for i, g in enumerate(HEDGE_GROUPS)])
 
-    def lacks(h: Column) -> Column:
-        kept = F.when(F.lower(h) == "~", lower.contains("~")).otherwise(F.regexp_like(lower, F.concat(F.lit(r"\b\Q"), F.lower(h), F.lit(r"\E\b"))))
-        for g in HEDGE_GROUPS:
-            kept = kept | (F.lower(h).isin(*g) & F.arrays_overlap(shown, F.array(*[F.lit(x) for x in g])))
-        return ~kept
+    def lacks(shown: Column, h: Column) -> Column:
+        kept = F.when(F.lit(False), F.lit(True))
+        for i, g in enumerate(HEDGE_GROUPS):
+            kept = kept.when(h.isin(*g), shown[f"g{i}"])
+        return ~kept.otherwise(F.regexp_like(shown["text"], F.concat(F.lit(r"\b\Q"), h, F.lit(r"\E\b"))))
 
-    return F.filter(hedges, lacks)
+    # A lambda's variable is computed once, whatever the number of hedges.
+    return F.get(F.transform(F.array(seen), lambda shown: F.filter(hedges, lambda h: lacks(shown, F.lower(h)))), 0)
 
 
 def majority(votes: DataFrame, keys: list[str], values: dict[str, float]) -> DataFrame:

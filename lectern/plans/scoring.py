@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import rounded
 from ..operators import scoring
+from ..sources.shared import spread
 from ..sources.tables import read_table, tier_matches
 from .registry import query, rounded_sql
 
@@ -42,7 +43,7 @@ SELECT doc_id, list_filter(['~', 'might', 'highly likely'], lambda w: CASE w
   WHEN '~' THEN NOT (contains(x, '~') OR regexp_matches(x, '\\b(around|approximately|roughly|about|circa)\\b'))
   WHEN 'might' THEN NOT regexp_matches(x, '\\b(might|may|could|possibly|perhaps)\\b') ELSE NOT regexp_matches(x, '\\b(highly likely|very likely)\\b') END) AS missing FROM h""")
 def hedge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{HEDGED} AS x")
+    docs = spread(read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{HEDGED} AS x"))
     return docs.select("doc_id", scoring.missing_hedges(F.col("x"), F.array(F.lit("~"), F.lit("might"), F.lit("highly likely"))).alias("missing"))
 
 

@@ -9,6 +9,7 @@ from ..functions.text import STOPWORDS, query_terms, tokenize, word_count
 from ..functions.values import rounded
 from ..operators import catalog as cat
 from ..operators import index, search
+from ..sources.shared import spread
 from ..sources.tables import read_table
 from .registry import query, rounded_sql, tokens_sql
 
@@ -33,6 +34,16 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the documents' texts; chunks of ``chunk_table`` have the documents' ids and texts."""
+    return index.stored_index(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{sf_dir}/documents.parquet", "doc_id")
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    of = document_index(spark, sf_dir)
+    return of._replace(postings=of.postings.withColumnRenamed("doc_id", "chunk_id"), id_col="chunk_id")
+
+
 CHUNKS_SQL = """chunks AS (
   SELECT doc_id AS chunk_id, doc_id AS ordinal, source AS url, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS title, lang AS author, source AS topic,
     CASE WHEN doc_id % 11 = 0 THEN 'References' END AS section, CASE doc_id % 7 WHEN 0 THEN 'people' WHEN 1 THEN 'pages' ELSE 'research' END AS category, text
@@ -63,8 +74,7 @@ VALUES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QU
 SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
 FROM (SELECT doc_id, {rounded_sql('score')} AS score FROM score) ORDER BY score DESC, doc_id LIMIT 10""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = search.bm25(docs, asked(spark, [(1, QUESTION)]), "doc_id").select("doc_id", rounded(F.col("score")).alias("score"))
+    hits = search.bm25(document_index(spark, sf_dir), asked(spark, [(1, QUESTION)])).select("doc_id", rounded(F.col("score")).alias("score"))
     top = hits.orderBy(F.desc("score"), "doc_id").limit(10)
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
 
@@ -75,7 +85,7 @@ SELECT query_id, doc_id, CAST(rank AS INT) AS rank, score FROM (
 WHERE rank <= 5""")
 def search_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = search.bm25(read_table(spark, sf_dir, "documents").select("doc_id", "text"), questions, "doc_id").withColumn("score", rounded(F.col("score")))
+    hits = search.bm25(document_index(spark, sf_dir), questions).withColumn("score", rounded(F.col("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "doc_id", "rank", "score")
 
@@ -99,7 +109,7 @@ ranks AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 
 @query(f"WITH {RANKED_SQL} SELECT query_id, rank, chunk_id, url, score FROM ranks WHERE rank <= 12")
 def bm25_full_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.ranked(chunk_table(spark, sf_dir), asked(spark), 12)
+    return search.ranked(chunk_table(spark, sf_dir), chunk_index(spark, sf_dir), asked(spark), 12)
 
 
 @query(f"""WITH {RANKED_SQL}
@@ -108,7 +118,7 @@ SELECT query_id, '# Search results for: "' || query || '"' || chr(10) || chr(10)
   FROM ranks r JOIN chunks c ON r.chunk_id = c.chunk_id JOIN asked a ON a.query_id = r.query_id WHERE r.rank <= 6) GROUP BY query_id, query""")
 def search_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_table(spark, sf_dir)
-    found = search.ranked(chunks, asked(spark), 6).select("query_id", F.col("rank").alias("marker"), "chunk_id")
+    found = search.ranked(chunks, chunk_index(spark, sf_dir), asked(spark), 6).select("query_id", F.col("rank").alias("marker"), "chunk_id")
     rows = found.join(chunks.select("chunk_id", "title", F.array_join("authors", ", ").alias("authors"), "section", "url", "text"), "chunk_id").join(asked(spark), "query_id")
     return search.formatted_results(rows)
 
@@ -116,17 +126,17 @@ def search_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents), n AS (SELECT count(*) AS total FROM documents)
 SELECT term, count(*) AS df, {rounded_sql('ln(1 + (any_value(total) - count(*) + 0.5) / (count(*) + 0.5))')} AS idf FROM t CROSS JOIN n GROUP BY term""")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.inverse_frequencies(read_table(spark, sf_dir, "documents").select("text")).withColumn("idf", rounded(F.col("idf")))
+    return document_index(spark, sf_dir).frequencies.withColumn("idf", rounded(F.col("idf")))
 
 
 @query(f"SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS INT) AS dl, unnest(t) AS term FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)) GROUP BY ALL")
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return index.postings(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query(f"SELECT count(*) AS records, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens, CAST(coalesce(floor(avg(n) + 0.5), 0) AS BIGINT) AS mean_tokens FROM (SELECT len({tokens_sql('text')}) AS n FROM documents)")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.statistics(read_table(spark, sf_dir, "documents"))
+    return index.statistics(spread(read_table(spark, sf_dir, "documents").select("text")))
 
 
 @query(r"SELECT lang AS category, count(*) AS records, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))) AS BIGINT) AS words FROM documents GROUP BY lang")

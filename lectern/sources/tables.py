@@ -69,13 +69,6 @@ def write_documents(docs: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
-def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Postings by term, so that a search reads few row groups; the other tables as they are."""
-    for name, df in tables.items():
-        df = df.repartitionByRange("term").sortWithinPartitions("term") if "term" in df.columns else df
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def append_source_lines(fresh: DataFrame, path: str) -> None:
     fresh.write.mode("append").json(path)
 
