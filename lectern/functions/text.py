@@ -142,3 +142,10 @@ def percent_shifted(text: Column, shift: int = 37) -> Column:
     at = F.regexp_instr(text, F.lit(r"\d+(?:\.\d+)?%"))
     whole = F.concat(F.substring(text, F.lit(1), at - 1), moved.cast("string"), F.substring(text, at + F.length(found), F.length(text)))
     return F.when(found != "", whole).otherwise(text)
+
+
+def likely_abstract(text: Column) -> Column:
+    """Whether a raw chunk is the abstract (its mark in the first 150 characters), or a first-level heading with under 40 characters after it."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    rest = F.regexp_replace(F.regexp_replace(bare, r"^#\s+[^\n]*\n+", ""), r"^\s+|\s+$", "")
+    return F.coalesce(F.substring(text, 1, 150).contains("**Abstract.**") | (bare.rlike(r"^#\s+\S") & (F.length(rest) < 40)), F.lit(False))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 from ..functions.text import strip_markdown, tokenize
 
@@ -73,3 +74,12 @@ def chunk_documents(docs: DataFrame, id_col: str, body_col: str = "body", text_c
 
     schema = T.StructType([source.schema[0], *(T.StructField(n, t) for n, t in OUT)])
     return source.mapInArrow(run, schema).withColumn("tokens", tokenize(strip_markdown(F.col("text"))))
+
+
+@udtf(returnType="ordinal int, section string, source string, text string")
+class Chunks:
+    """Table function of a body: its chunks in order, for SQL (``LATERAL chunks(body)``) once registered with ``spark.udtf.register``."""
+
+    def eval(self, body: str, separator: str = r"\n{2,}"):
+        for k, chunk in enumerate(chunks_of(body or "", separator)):
+            yield (k, *chunk)

@@ -160,3 +160,13 @@ def recall(expected: DataFrame, cited: DataFrame) -> DataFrame:
     missing = F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("key"))))
     return hit.groupBy("output_id").agg((F.count("hit") / F.count("*")).alias("score"), missing.alias("missing"))
 
+
+def checked_citations(citations: DataFrame, checks: DataFrame, verdict: str = "real_but_unsupportive") -> DataFrame:
+    """Citations (output_id, idx, ...) with the rationale of checks (output_id, citation_index, verdict, rationale) of one verdict; indexes that fit no citation are left out."""
+    told = checks.where(F.col("verdict") == verdict).select("output_id", F.col("citation_index").alias("idx"), "verdict", "rationale")
+    return citations.join(told, ["output_id", "idx"])
+
+
+def evidence_block(number: Column, title: Column, url: Column, text: Column) -> Column:
+    """A numbered block of evidence."""
+    return F.concat(F.lit("[Source "), number.cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit(" ("), url, F.lit(")\n"), text)

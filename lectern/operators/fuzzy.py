@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .citations import corpus_lookup
+from .citations import corpus_lookup, verdict_of
 
 #: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), and passages of a block.
 WORD, LANE, STATE, BLOCK = 64, 1024, 16_384, 64
@@ -181,23 +181,34 @@ def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85
     return docs.select("doc_id", "text").repartition(parts).mapInArrow(run, "passage_id long, doc_id long, score double")
 
 
+def _located(passage: str, text: str, body: str, threshold: float) -> float:
+    """The best of a record's text and body: 1 where either holds the passage, else the better window's similarity, 0 under the threshold."""
+    if not passage:
+        return 0.0
+    if passage in text or passage in body:
+        return 1.0
+    return max(partial_ratio(passage, text, threshold), partial_ratio(passage, body, threshold) if body != text else 0.0)
+
+
 def verify_passages(items: DataFrame, records: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """(item_id, record_url, score, verified, reason) of items (item_id, url, passage), each against its cited record (url, text) alone.
+    """(item_id, record_url, score, verified, reason) of items (item_id, url, passage), each against its cited record (url, text, perhaps body) alone.
 
-    Verified are those whose record has a window at least ``threshold`` like the passage; their score
-    is the best window's. The others have no score and the reason. Items without a url or a passage
-    are not checked and give no row. Of records that repeat a url the best counts.
+    Verified are those whose record has, in its text or its body, a window at least ``threshold`` like
+    the passage; their score is the best window's. The others have no score and the reason. Items
+    without a url or a passage are not checked and give no row. Of records that repeat a url the best
+    counts.
     """
     asked = corpus_lookup(items.where(F.col("url").isNotNull() & F.col("passage").isNotNull()), records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [partial_ratio((p or "").strip(), t or "", threshold) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            score = [_located((p or "").strip(), t or "", b or "", threshold) for p, t, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.record_batch([batch.column(0), pa.array(score, pa.float64())], names=["item_id", "score"])
 
-    pairs = asked.select("item_id", "passage", "record_url").join(records.select(F.col("url").alias("record_url"), "text"), "record_url")
+    body = F.col("body") if "body" in records.columns else F.lit("")
+    pairs = asked.select("item_id", "passage", "record_url").join(records.select(F.col("url").alias("record_url"), "text", body.alias("body")), "record_url")
     kind = items.schema["item_id"].dataType.simpleString()
-    scored = pairs.select("item_id", "passage", "text").mapInArrow(run, f"item_id {kind}, score double")
+    scored = pairs.select("item_id", "passage", "text", "body").mapInArrow(run, f"item_id {kind}, score double")
     best = scored.where((F.col("score") >= threshold) & (F.col("score") > 0)).groupBy("item_id").agg(F.max("score").alias("score"))
     reason = F.when(F.col("record_url").isNull(), F.concat(F.lit("URL not in corpus: "), "url")).when(
         F.col("score").isNull(), F.concat(F.lit("source_passage not found in "), "url", F.lit(" (below threshold)"))
@@ -205,6 +216,34 @@ def verify_passages(items: DataFrame, records: DataFrame, threshold: float = 0.8
     return asked.join(best, "item_id", "left").select("item_id", "record_url", "score", F.col("score").isNotNull().alias("verified"), reason.alias("reason"))
 
 
+def check_citations(citations: DataFrame, records: DataFrame, cited_at: float = 0.80, anywhere_at: float = 0.85) -> DataFrame:
+    """(item_id, verdict, found, score) of citations (item_id, url, passage, claim, judged): ``verdict_of`` with its passages looked up.
+
+    A passage is looked for in the cited record's text and body at ``cited_at``. One that is not there is
+    fabricated; it is looked for in all records at ``anywhere_at``, each different passage once, and
+    counts as found if a record of another url has it. score is that of the place where it was found.
+    """
+    items = citations.select("item_id", "url", F.nullif(F.trim("passage"), F.lit("")).alias("passage"), "claim", "judged")
+    known = corpus_lookup(items.select("item_id", "url"), records).select("item_id", "record_url")
+    own = verify_passages(items.select("item_id", "url", "passage"), records, cited_at).select("item_id", F.col("score").alias("own"))
+    rows = items.join(known, "item_id").join(own, "item_id", "left")
+    lost = rows.where(F.col("passage").isNotNull() & F.col("record_url").isNotNull() & F.col("own").isNull()).select("passage").distinct()
+    lost = lost.select(F.xxhash64("passage").alias("passage_id"), "passage")
+    texts = records.select(F.xxhash64("url").alias("doc_id"), "text")
+    if "body" in records.columns:
+        texts = texts.union(records.select(F.xxhash64("url").alias("doc_id"), F.col("body").alias("text")))
+    near = fuzzy_passages(lost, texts, anywhere_at)
+    # Of a passage's places the two best, of different urls: one of them is not the citation's own.
+    places = near.groupBy("passage_id", "doc_id").agg(F.max("score").alias("score"))
+    first = places.groupBy("passage_id").agg(F.max(F.struct("score", "doc_id")).alias("a"))
+    second = places.join(first, "passage_id").where("doc_id <> a.doc_id").groupBy("passage_id").agg(F.max(F.struct("score", "doc_id")).alias("b"))
+    rows = rows.withColumn("passage_id", F.xxhash64("passage")).join(first, "passage_id", "left").join(second, "passage_id", "left")
+    other = F.when(F.col("a.doc_id") != F.xxhash64("url"), F.col("a.score")).otherwise(F.col("b.score"))
+    rows = rows.withColumn("elsewhere", F.when(F.col("own").isNull() & F.col("record_url").isNotNull(), other))
+    verdict = verdict_of(F.col("url"), F.col("record_url").isNotNull(), F.col("passage"), F.col("own").isNotNull(), F.col("elsewhere").isNotNull(), F.col("claim"), F.col("judged"))
+    return rows.select("item_id", verdict.alias("v"), F.coalesce("own", "elsewhere").alias("score")).select("item_id", "v.verdict", "v.found", "score")
+
+
 def best_records(scored: DataFrame) -> DataFrame:
     """(passage_id, doc_id, score): the best document of a passage; of equals the smallest id."""
     order = F.struct((-F.col("score")).alias("s"), F.col("doc_id"))

@@ -167,3 +167,10 @@ def composite(track: str) -> Column:
 def target_text(phrasings: Column, value: Column, unit: Column) -> Column:
     """The first accepted phrasing, else the target's number and unit, else nothing."""
     return F.coalesce(F.get(phrasings, 0), F.trim(F.concat(value.cast("string"), F.lit(" "), F.coalesce(unit, F.lit("")))), F.lit(""))
+
+
+def correctness(claim_type: Column, target: Column, numeric_score: Column, phrasings: Column, verdict: Column) -> Column:
+    """An item's correctness: the numeric score of a numeric item with a target, else the verdict's value where there are phrasings, else 0."""
+    said = F.when(verdict == "MATCH", 1.0).when(verdict == "PARTIAL", 0.5).otherwise(0.0)
+    numeric = F.coalesce((claim_type == "numeric") & target.isNotNull(), F.lit(False))
+    return F.when(numeric, numeric_score).when(F.coalesce(F.size(phrasings) > 0, F.lit(False)), said).otherwise(0.0)

@@ -133,3 +133,49 @@ def typed_mention(text: Column) -> Column:
 
 def answer_stage(done: Column, has_text: Column, has_sources: Column) -> Column:
     return F.when(done, "done").when(has_text, "writing").when(has_sources, "reading").otherwise("preflight")
+
+
+def asked_last(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, asked): the last user turn's text, or the last turn's where there is none; of turns with one number the greatest text."""
+    own = F.col("role") == "user"
+    last = turns.groupBy(key).agg(F.max(F.when(own, F.struct("turn", "text"))).alias("u"), F.max(F.struct("turn", "text")).alias("a"))
+    return last.select(key, F.coalesce("u.text", "a.text", F.lit("")).alias("asked"))
+
+
+MESSAGES = "array<struct<content:array<struct<type:string,input:struct<command:string>>>>>"
+
+
+def message_queries(rows: DataFrame, key: str, script: str = "search.sh") -> DataFrame:
+    """(key, message, block, asked): what the shell commands in tool blocks of messages (a JSON array) search for, quoted or bare.
+
+    Contents that are no lists of blocks, blocks of other types and commands of other scripts have none.
+    """
+    messages = rows.select(key, F.posexplode(F.from_json("messages", MESSAGES)).alias("message", "m"))
+    blocks = messages.select(key, "message", F.posexplode("m.content").alias("block", "b")).where("b.type = 'tool_use'")
+    raw = F.regexp_extract("b.input.command", rf"""bash\s+\S*{script.replace(".", "[.]")}\s+("[^"]*"|'[^']*'|\S+)""", 1)
+    quoted = (raw.startswith('"') & raw.endswith('"')) | (raw.startswith("'") & raw.endswith("'"))
+    asked = F.when(quoted, F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))).otherwise(raw)
+    return blocks.select(key, "message", "block", asked.alias("asked")).where("asked <> ''")
+
+
+def source_lines(lines: DataFrame, schema: str, key: str) -> DataFrame:
+    """Numbered sources of JSON lines (column line): blank and broken lines and those that are no objects are left out; a missing marker is 0.
+
+    ``place`` gives the order by marker of a session's (``key``'s) sources, lines that share one in their own order (line_no).
+    """
+    read = lines.where(F.trim("line").startswith("{")).withColumn("r", F.when(F.try_parse_json("line").isNotNull(), F.from_json("line", schema))).where("r IS NOT NULL")
+    rows = read.select(key, "line_no", F.coalesce("r.marker", F.lit(0)).alias("marker"), *[F.col(f"r.{c.split()[0]}").alias(c.split()[0]) for c in schema.split(",") if c.split()[0] != "marker"])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("marker", "line_no")) - 1)
+
+
+def known_markers(lines: DataFrame, key: str) -> DataFrame:
+    """(key, chunk_id, marker, last): the marker of a chunk's last line, and the session's greatest."""
+    kept = lines.groupBy(key, "chunk_id").agg(F.max_by("marker", "line_no").alias("marker"))
+    return kept.join(lines.groupBy(key).agg(F.max("marker").alias("last")), key)
+
+
+def source_cards(sources: DataFrame) -> DataFrame:
+    """Sources as they are shown: without chunk and text, with defaults, the kind of source only where it is abstract or body."""
+    cols = [c for c in sources.columns if c not in ("chunk_id", "chunk_text")]
+    defaults = {"authors": F.coalesce("authors", F.array().cast("array<string>")), "snippet": F.coalesce("snippet", F.lit("")), "source": F.when(F.col("source").isin("abstract", "body"), F.col("source"))}
+    return sources.select(*[defaults.get(c, F.col(c)).alias(c) for c in cols])

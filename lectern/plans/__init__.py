@@ -1,6 +1,6 @@
 """Registered queries, by theme."""
 
-from . import analysis, chats, citing, ingesting, judged, scoring, searching, texts
+from . import analysis, chats, citing, ingesting, judged, reporting, scoring, searching, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "chats", "citing", "ingesting", "judged", "scoring", "searching", "texts"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "chats", "citing", "ingesting", "judged", "reporting", "scoring", "searching", "texts"]

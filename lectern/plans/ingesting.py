@@ -11,7 +11,11 @@ from ..streaming.jobs import tumbling
 from .registry import query
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, '' AS description, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading FROM pages""")
+DECODED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&')"
+HEAD_SQL, TITLE_SQL = (DECODED.format(f"regexp_extract(html, '(?s)<{tag}[^>]*>(.*?)</{tag}>', 1)") for tag in ("h1", "title"))
+
+
+@query(f"SELECT page_id, {TITLE_SQL} AS title, '' AS description, {HEAD_SQL} AS heading FROM pages")
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", ingest.page_meta(F.col("html")).alias("m")).select("page_id", "m.*")
 

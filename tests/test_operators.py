@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.functions import urls, values
-from lectern.operators import chunking, citations, fuzzy, runs, scoring, search
+from lectern.operators import chunking, citations, fuzzy, index, ingest, runs, scoring, search
 from lectern.sources import tables
 
 
@@ -193,3 +193,65 @@ def test_registered_queries_have_their_own_columns():
 
     assert set(plans.ORACLES) <= set(plans.QUERIES) and len(plans.QUERIES) > 100
     assert not [a for a, b in itertools.combinations(plans.QUERIES, 2) if a == b]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<meta property="og:title" content="A &amp; B">', ("A & B", "", "")),
+        ("<META content='single \"q\"' PROPERTY='og:title'><title>t</title>", ('single "q"', "", "")),
+        ("<meta data-content=no name=description content=bare><title lang=en>T &#233; &#x1F600; &amp;lt;</title>", ("T é \U0001f600 &lt;", "bare", "")),
+        ('<meta name="description" content="a > b"><meta property="og:description" content=""><h1 class=x>H</h1>', ("", "", "H")),
+        ('<meta name="og:titles" content="x"><title>T &#0; &#55296;</title>', ("T � �", "", "")),
+        ("", ("", "", "")),
+    ],
+)
+def test_meta_tags_in_any_spelling(spark, html, want):
+    assert tuple(one(spark, ingest.page_meta(F.col("h")), h=html, x=1)) == want
+
+
+def test_citations_are_checked_against_their_records(spark):
+    quote = "The quoted sentence, with several words of its own, stands here only."
+    records = spark.createDataFrame(
+        [("https://a.example/1", "plain text of the first record", f"# One\n\n{quote}"), ("https://a.example/2", f"Second record. {quote.replace('several', 'severel')} More.", None), ("https://a.example/3", "third", "third")],
+        "url string, text string, body string",
+    )
+    cases = [
+        (1, "https://a.example/1/", quote, "c", "SUPPORTED", "valid", True, 1.0), (2, "https://a.example/2#x", quote, "c", "partial", "partial", True, 0.98),
+        (3, "https://a.example/3", quote, "c", "SUPPORTED", "fabricated", True, 1.0), (4, "https://a.example/3", "nothing like this is in any of the records at all", "c", "SUPPORTED", "fabricated", False, None),
+        (5, "https://b.example/", quote, "c", "SUPPORTED", "fabricated", False, None), (6, None, quote, "c", "SUPPORTED", "fabricated", False, None), (7, "https://a.example/3", " ", "c", "no", "real_but_unsupportive", True, None),
+        (8, "https://a.example/3", None, "", "SUPPORTED", "partial", True, None),
+    ]
+    rows = spark.createDataFrame([c[:5] for c in cases], "item_id long, url string, passage string, claim string, judged string")
+    got = {r.item_id: (r.verdict, r.found, r.score) for r in fuzzy.check_citations(rows, records).collect()}
+    for i, *_, verdict, found, score in cases:
+        assert got[i][:2] == (verdict, found), i
+        assert got[i][2] == (None if score is None else pytest.approx(score, abs=0.02)), i
+
+
+def test_table_function_gives_the_chunks(spark):
+    body = "# Title\n\n**Abstract.** Some words.\n\n## Part\n\n" + "\n\n".join("A paragraph that goes on. " * 12 for _ in range(9))
+    spark.udtf.register("chunks", chunking.Chunks)
+    spark.createDataFrame([(1, body), (2, None), (3, "")], "id long, body string").createOrReplaceTempView("bodies")
+    got = spark.sql("SELECT id, c.* FROM bodies, LATERAL chunks(body) AS c").orderBy("id", "ordinal").collect()
+    assert [(r.id, r.ordinal, r.section, r.source, r.text) for r in got] == [(1, k, *c) for k, c in enumerate(chunking.chunks_of(body))]
+
+
+def test_index_is_stored_and_built_anew_for_other_files(spark, tmp_path):
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(path)
+    first = index.stored_index(spark.read.parquet(path), path, "doc_id")
+    assert {(r.doc_id, r.term): (r.dl, r.tf) for r in first.postings.collect()} == {(1, "alpha"): (3, 1), (1, "beta"): (3, 2), (2, "beta"): (2, 1), (2, "gamma"): (2, 1)}
+    stats = first.statistics.first()
+    assert (stats.version, stats.records, stats.tokens, stats["mean"]) == (3, 4, 5, 1.25)
+    assert index.stored_index(spark.read.parquet(path), path, "doc_id").postings.inputFiles() == first.postings.inputFiles()
+    spark.createDataFrame([(9, "delta")], "doc_id long, text string").write.mode("overwrite").parquet(path)
+    assert [r.term for r in index.stored_index(spark.read.parquet(path), path, "doc_id").postings.collect()] == ["delta"]
+
+
+def test_many_terms_find_the_heads_that_few_find(spark, monkeypatch):
+    about = spark.createDataFrame([(1, "alpha beta"), (2, "x"), (3, ""), (4, "alphabet soup")], "id long, hay string")
+    words = spark.createDataFrame([("alpha",), ("ta",), ("soup",), ("zz",)], "term string")
+    few = sorted(map(tuple, search.head_hits(about, words, "id").collect()))
+    monkeypatch.setattr(search, "FEW", 1)
+    assert few == sorted(map(tuple, search.head_hits(about, words, "id").collect())) == [(1, "alpha"), (1, "ta"), (4, "alpha"), (4, "soup")]
