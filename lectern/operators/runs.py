@@ -120,9 +120,12 @@ def fingerprint(scores: DataFrame) -> DataFrame:
     return whole.select("run", F.substring(F.sha1(F.concat(F.lit("{"), F.col("body"), F.lit("}"))), 1, 8).alias("hash"))
 
 
-def upper_median(values: Column) -> Column:
-    """Of collected values the one at n // 2, counted from 0 in ascending order."""
-    return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median): of a key's values the one at n // 2, counted from 0 in ascending order; a group is sorted, never gathered in a row."""
+    counts = rows.groupBy(key).agg(F.count("*").cast("int").alias("n"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    placed = rows.select(key, F.col(value).alias("median"), order.alias("__r")).join(counts, key)
+    return placed.where(F.col("__r") == F.floor(F.col("n") / 2) + 1).select(key, "n", "median")
 
 
 def validation(rows: DataFrame, good: float = 0.85, bad: float = 0.55, gap: float = 0.30) -> DataFrame:

@@ -164,8 +164,7 @@ def item_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, CAST(n AS INT) AS n, v AS median FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n, v, row_number() OVER (PARTITION BY label ORDER BY v) AS r FROM (SELECT label, vec_id AS v FROM embeddings)) WHERE r = n // 2 + 1")
 def median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("vec_id").alias("v"))
-    return vectors.select("label", F.size("v").alias("n"), runs.upper_median(F.col("v")).alias("median"))
+    return runs.upper_medians(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
 
 
 @query("""WITH x AS (SELECT avg(CASE WHEN toxic = 0 THEN 1.0::DOUBLE - quality * 0.1::DOUBLE END) AS faithful, avg(CASE WHEN toxic = 1 THEN 0.2::DOUBLE + quality * 0.3::DOUBLE END) AS hallucinated FROM labels)

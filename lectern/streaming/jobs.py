@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,15 +44,44 @@ def numbered_items(events: DataFrame) -> DataFrame:
     )
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Keep the newest row of each key of a stream in a table, one version a batch; the latest version is the largest ``batch``."""
+def _newest_parts(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Rows of the newest version of each part, of versions before a batch if one is given; which parts there are follows from the folders' names."""
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    newest = rows.select("part", "batch").distinct().groupBy("part").agg(F.max("batch").alias("batch"))  # at most as many as there are parts
+    return rows.join(F.broadcast(newest), ["part", "batch"], "left_semi")
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_batches`` keeps, as of the last batch."""
+    return _newest_parts(spark, path).drop("part", "batch")
+
+
+def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, parts: int = 64):
+    """Keep the newest row of each key of a stream in a table, by ``updated_at``; ``upserted`` reads it.
+
+    Keys are dealt to ``parts`` parts by a hash, and a batch writes a new version of those alone that it
+    touches. A batch that is run again writes the same. Older versions stay until ``dropped_versions``.
+    """
     from ..operators.catalog import latest_of
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/batch={number - 1}"))
-        latest_of(rows, key, "updated_at").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]
+        if number and touched:
+            rows = rows.unionByName(_newest_parts(spark, path, number).where(F.col("part").isin(touched)).drop("batch"))
+        latest_of(rows, key, "updated_at").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def dropped_versions(spark: SparkSession, path: str) -> int:
+    """Delete versions of parts that newer ones replace, and return how many; to be run between batches."""
+    found = spark.read.parquet(path).select("part", "batch").distinct().collect()
+    newest = {part: max(b for p, b in found if p == part) for part, _ in found}
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [(part, b) for part, b in found if b < newest[part]]
+    for part, b in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}/part={part}"), True)
+    return len(old)

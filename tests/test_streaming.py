@@ -55,6 +55,23 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     df = events(spark).select(F.col("session").alias("id"), F.col("ts").alias("updated_at"), "seq")
     source = streamed(spark, tmp_path, df)
     finished(jobs.upsert_batches(source, str(tmp_path / "table"), "id", str(tmp_path / "c")).trigger(availableNow=True).start())
-    last = spark.read.parquet(str(tmp_path / "table"))
-    got = {r.id: r.seq for r in last.where(F.col("batch") == last.agg(F.max("batch")).first()[0]).collect()}
-    assert got == {r.id: r.m for r in df.groupBy("id").agg(F.max("seq").alias("m")).collect()}
+    want = {r.id: r.m for r in df.groupBy("id").agg(F.max("seq").alias("m")).collect()}
+    assert {r.id: r.seq for r in jobs.upserted(spark, str(tmp_path / "table")).collect()} == want
+    assert jobs.dropped_versions(spark, str(tmp_path / "table")) > 0 and jobs.dropped_versions(spark, str(tmp_path / "table")) == 0
+    assert {r.id: r.seq for r in jobs.upserted(spark, str(tmp_path / "table")).collect()} == want
+
+
+def test_upserts_leave_other_parts_alone(spark, tmp_path):
+    import datetime
+
+    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    schema = "id long, updated_at timestamp, v string"
+    spark.createDataFrame([(i, at(1), "a") for i in range(20)], schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: finished(jobs.upsert_batches(spark.readStream.schema(schema).parquet(folder), table, "id", str(tmp_path / "c")).trigger(availableNow=True).start())
+    run()
+    spark.createDataFrame([(3, at(2), "b"), (4, at(0), "old"), (99, at(1), "new")], schema).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    got = {r.id: r.v for r in jobs.upserted(spark, table).collect()}
+    assert got == {i: "b" if i == 3 else "a" for i in range(20)} | {99: "new"}
+    assert spark.read.parquet(table).where("batch = 1").select("part").distinct().count() <= 3
