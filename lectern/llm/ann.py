@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import discard, settled
 
 #: A cell holds about this many points, unless that makes more than the most cells.
 CELL, MOST_CELLS = 8192, 1024
@@ -248,7 +248,7 @@ def nearest(
     at_home = placed.join(asking.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi").withColumn("reach", F.lit(4.0))
     first = settled(_blocked(placed, at_home, axes, k + 1, bound), "found")
 
-    out = first
+    out, made = first, [placed, first]
     if nodes:
         reach = _top(first, k + 1).groupBy("qid").agg(F.count("*").alias("c"), F.min("score").alias("s"))
         reach = reach.select(F.col("qid").alias("vid"), F.when(F.col("c") > k, F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))).otherwise(F.lit(4.0)).alias("reach"))
@@ -265,7 +265,9 @@ def nearest(
         sent = again.select("vid", "embedding", "cell", "reach").mapInArrow(spread, f"vid long, embedding {kind}, reach double, cells array<long>")
         sent = settled(sent.select("vid", "embedding", "reach", F.explode("cells").alias("cell")), "sent")
         out = first.union(_blocked(placed, sent, axes, k + 1, bound))
-    best = _top(out, k + 1)
+        made.append(sent)
+    best = settled(_top(out, k + 1), "best")
+    discard(*made)
     best = best.join(points.select(F.col("key").alias("vid"), "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
     over = Window.partitionBy("query_id").orderBy(_nearest_first(), "vec_id")
     answers = asking.join(best, "qid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settled
+from .shared import discard, settled
 
 RATE, FRAME, HOP = 2000, 256, 64
 LOWEST = 110.0
@@ -137,7 +137,8 @@ def align(prints: DataFrame, ids: list[str], queries, apart: int = 4, least_vote
     both = both.groupBy("q1", "q2", "h1", "h2").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"), "overlap", "bit_error")).alias("b"))
     both = both.select("q1", "q2", "h1", "h2", "b.votes", (-F.col("b.o")).alias("offset"), "b.overlap", "b.bit_error")
     matches = both.join(classes.select("h1", "h2", "first", F.col("copies").alias("match_copies")), ["h1", "h2"])
-    matches = matches.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "first", "match_copies", "offset", "votes", "overlap", "bit_error")
+    matches = settled(matches.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "first", "match_copies", "offset", "votes", "overlap", "bit_error"), "matches")
+    discard(posts)
     rows = held.where("asks").select(*ids, F.size("codes").alias("n_codes"), "h1", "h2").join(classes.select("h1", "h2", "copies"), ["h1", "h2"])
     return rows.join(matches, ["h1", "h2"], "left").select(
         *[F.col(c).alias(f"query_{c}") for c in ids], "n_codes", "copies", *[F.col(f"first.{c}").alias(f"match_{c}") for c in ids],

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_labels, settled
+from .shared import bounded_labels, discard, settled
 
 BUCKETS = 1 << 14
 #: Target weights of the production query: language and quality of the labelled rows.
@@ -53,11 +53,13 @@ def domain_weights(docs: DataFrame, labels: DataFrame, domains: list[str], max_r
     # A tenth of a count for words that a domain hasn't shown.
     weight = [F.log((F.coalesce(f"c{i}", F.lit(0)) + F.lit(0.1)) / F.lit(float(totals[i]) + 0.1 * BUCKETS)).alias(f"w{i}") for i in range(len(domains))]
     n = sum(sizes.values())
-    return every.join(table, "bucket", "left").select("bucket", *weight), [float(np.log((sizes.get(d, 0) + 1) / (n + len(domains)))) for d in domains]
+    weights = settled(every.join(table, "bucket", "left").select("bucket", *weight), "weights")
+    discard(table)
+    return weights, [float(np.log((sizes.get(d, 0) + 1) / (n + len(domains)))) for d in domains]
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], evidence: float = 6.0, max_rows: int = 20_000) -> DataFrame:
-    """(doc_id, version, tokens, p) for distinct documents; p has the domains' probabilities.
+    """(doc_id, version, tokens, p) for distinct documents, as a settled table; p has the domains' probabilities.
 
     A text's mean log likelihood a word counts as ``evidence`` words, however long the text is, so
     that memberships stay soft.
@@ -69,7 +71,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], evidence:
     logits = F.array(*[F.lit(priors[i]) + F.col(f"s{i}") * F.lit(evidence) / F.greatest("tokens", F.lit(1)) for i in k])
     sums = sums.select("doc_id", "version", "tokens", logits.alias("z")).select("doc_id", "version", "tokens", F.transform("z", lambda z: F.exp(z - F.array_max("z"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return sums.select("doc_id", "version", "tokens", F.transform("e", lambda x: x / total).alias("p"))
+    out = settled(sums.select("doc_id", "version", "tokens", F.transform("e", lambda x: x / total).alias("p")), "members")
+    discard(weights)
+    return out
 
 
 def _dot(x: np.ndarray) -> Column:
@@ -168,7 +172,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     targets = targets or TARGETS
     domains = list(targets)
     base = docs.select("doc_id", "text", "lang")
-    members = settled(posteriors(base, labels, domains, **options), "members")
+    members = posteriors(base, labels, domains, **options)
     rows, expected, wanted = fit_rates(members, list(targets.values()), budget, most_rate)
     at = F.array_position("p", F.array_max("p")).cast("int")
     of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), at)
