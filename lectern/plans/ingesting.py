@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, ingest
+from ..sources.shared import spread
 from ..sources.tables import read_table
 from ..streaming.jobs import tumbling
-from .registry import query
+from .registry import query, tokens_sql
 
 
 DECODED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&')"
@@ -49,10 +50,35 @@ def cms_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "url", "title", F.transform("authors", lambda a: a["name"]).alias("authors"), "topics", F.col("publishedAt").alias("published"), F.col("series.currentIndex").alias("current"), F.col("series.totalParts").alias("parts"), "body")
 
 
-@query()
+PLAIN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)```.*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g'),
+  '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\[\^[^\]]+\]', '', 'g'), '[#>*_~]', ' ', 'g'), '\s+', ' ', 'g'))"""
+# A paragraph a step, of all documents at once. ``c`` is the chunk that a paragraph joins; what ends a chunk, before the paragraph (b) or with it (a), gives that chunk's section and source.
+CHUNKER_SQL = rf"""WITH RECURSIVE e AS (SELECT doc_id, text, '# ' || source || chr(10) || '## ' || lang || chr(10) || text AS body FROM documents),
+d AS (SELECT doc_id, CASE WHEN length(body) > 50 THEN body ELSE text END AS body FROM e),
+l AS (SELECT doc_id, contains(body, '**Abstract.**') AS has, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM d),
+w AS (
+  SELECT doc_id, ps, 0 AS i, 0 AS c, 0 AS chars, NULL::VARCHAR AS section, false AS titled, CASE WHEN has THEN 'abstract' ELSE 'body' END AS source,
+    '' AS p, 0 AS bc, NULL::VARCHAR AS bsection, '' AS bsource, false AS b, false AS a, 0 AS pc FROM l
+  UNION ALL
+  SELECT doc_id, ps, i, CASE WHEN NOT heading AND held + length(p) >= 800 THEN c2 + 1 ELSE c2 END, CASE WHEN NOT heading AND held + length(p) >= 800 THEN 0 ELSE held + length(p) END,
+    section2, titled OR heading, CASE WHEN heading AND titled THEN 'body' ELSE source END, p, c, section2, source, b, NOT heading AND held + length(p) >= 800, c2
+  FROM (SELECT *, CASE WHEN b THEN c + 1 ELSE c END AS c2, CASE WHEN b THEN 0 ELSE chars END AS held FROM (
+    SELECT doc_id, ps, i + 1 AS i, c, chars, titled, source, ps[i + 1] AS p, regexp_matches(ps[i + 1], '^#{{1,6}}[^\S\n]+\S.*$') AS heading,
+      CASE WHEN regexp_matches(ps[i + 1], '^#{{2,3}}[^\S\n]+\S.*$') THEN regexp_replace(ps[i + 1], '^#+\s+', '') ELSE section END AS section2,
+      chars > 0 AND (regexp_matches(ps[i + 1], '^#{{1,6}}[^\S\n]+\S.*$') OR chars + length(ps[i + 1]) > 1400) AS b
+    FROM w WHERE i < len(ps)))),
+ends AS (
+  SELECT doc_id, bc AS c, bsection AS section, bsource AS source FROM w WHERE b
+  UNION ALL SELECT doc_id, pc, section, source FROM w WHERE a
+  UNION ALL SELECT doc_id, c, section, source FROM w WHERE i = len(ps) AND chars > 0),
+t AS (SELECT doc_id, pc AS c, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM w WHERE i > 0 GROUP BY doc_id, pc)
+SELECT doc_id, CAST(c AS INT) AS ordinal, section, source, text, {tokens_sql(PLAIN_SQL.format('text'))} AS tokens FROM t JOIN ends USING (doc_id, c)"""
+
+
+@query(CHUNKER_SQL)
 def chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of documents along their lines; without SQL, as each chunk depends on those before it."""
-    docs = read_table(spark, sf_dir, "documents").withColumn("body", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text"))
+    """Chunks of documents along their lines, under two headings."""
+    docs = spread(read_table(spark, sf_dir, "documents").withColumn("body", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text")))
     return chunking.chunk_documents(docs, "doc_id", separator=r"\n")
 
 

@@ -83,13 +83,17 @@ def citation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("p").cast("long").alias("parts"), F.array_join("p.text", "").alias("prose"), F.filter("p.marks", lambda m: m.isNotNull()).alias("marks"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'MISS' WHEN 1 THEN 'MATCH' ELSE 'PARTIAL' END AS verdict FROM documents")
+#: Replies that begin with what their texts hold: a verdict in small or capital letters, after blank lines, within a longer word, or none.
+SAID = """CASE WHEN contains(text, 'tion') AND contains(text, 'the') THEN concat(chr(10), ' match: ', text) WHEN contains(text, 'que') THEN concat('PARTIAL', chr(10), 'MATCH ', text) WHEN contains(text, 'sch') THEN concat('Matching ', text) ELSE text END"""
+
+
+@query(rf"""WITH r AS (SELECT doc_id, upper(regexp_extract(x, '^\s*(\S[^\n]*)', 1)) AS head, phrasings FROM (SELECT doc_id, {SAID} AS x, length(text) > 200 AS phrasings FROM documents))
+SELECT doc_id, CASE WHEN NOT phrasings THEN 'MISS' WHEN regexp_matches(head, '^MATCH\b') THEN 'MATCH' WHEN regexp_matches(head, '^PARTIAL\b') THEN 'PARTIAL' ELSE 'MISS' END AS verdict FROM r""")
 def verbal_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies by the word they begin with; without accepted phrasings an answer misses."""
-    d = F.col("doc_id")
-    reply = F.when(d % 3 == 1, "\n match: fine").otherwise("PARTIAL\nMATCH")
-    said = scoring.head_verdict(reply, ("MATCH", "PARTIAL", "MISS"), "MISS")
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.when(d % 3 == 0, "MISS").otherwise(said).alias("verdict"))
+    """Replies by the word they begin with; without accepted phrasings (here, for short texts) an answer misses."""
+    made = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{SAID.replace('chr(10)', 'char(10)')} AS reply", "length(text) > 200 AS phrasings")
+    said = scoring.head_verdict(F.col("reply"), ("MATCH", "PARTIAL", "MISS"), "MISS")
+    return made.select("doc_id", F.when(~F.col("phrasings"), "MISS").otherwise(said).alias("verdict"))
 
 
 @query("SELECT doc_id AS output_id, v AS variant, CASE v WHEN 'faithful' THEN text ELSE rtrim(text) || ' A later survey confirmed this.' END AS answer FROM (SELECT doc_id, text, unnest(['faithful', 'hallucinated']) AS v FROM documents)")

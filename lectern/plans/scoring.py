@@ -117,13 +117,20 @@ def answer_support_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", scoring.answer_support(answer, (F.col("doc_id") % 4 != 1).cast("int"), F.col("n_chars") % 4).alias("score"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'split' WHEN 2 THEN 'caveat' ELSE 'ground' END AS label, doc_id % 5 IN (3, 4) AS matched FROM labels")
+#: Replies of a gate judge: a label that follows from the text, spelt in several ways, or the text itself.
+GATED = """CASE WHEN contains(text, 'que') THEN 'Refuse' WHEN contains(text, 'sch') THEN concat(' SPLIT ', chr(10)) WHEN contains(text, 'ción') THEN 'caveat' ELSE text END"""
+
+
+@query(rf"""WITH r AS (SELECT doc_id, lower(regexp_replace({GATED}, '^\s+|\s+$', '', 'g')) AS w, lang FROM documents), l AS (SELECT doc_id, lang, CASE WHEN w IN ('ground', 'refuse', 'split', 'caveat') THEN w ELSE 'ground' END AS label FROM r)
+SELECT doc_id, label, label = CASE lang WHEN 'fr' THEN 'refuse' WHEN 'de' THEN 'split' WHEN 'es' THEN 'caveat' ELSE 'ground' END AS matched FROM l""")
 def gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Behaviour labels of replies; anything else counts as ground, which is what is expected here."""
-    said = F.when(F.col("doc_id") % 5 == 0, "Refuse").when(F.col("doc_id") % 5 == 1, "split").when(F.col("doc_id") % 5 == 2, " caveat ").otherwise("unclear")
-    word = F.lower(F.trim(said))
+    """Behaviour labels of replies, anything else counts as ground; what is expected follows from the language."""
+    lang = F.col("lang")
+    made = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{GATED.replace('chr(10)', 'char(10)')} AS reply")
+    word = F.lower(F.regexp_replace("reply", r"^\s+|\s+$", ""))
     label = F.when(word.isin("ground", "refuse", "split", "caveat"), word).otherwise("ground")
-    return read_table(spark, sf_dir, "labels").select("doc_id", label.alias("label"), (label == "ground").alias("matched"))
+    wanted = F.when(lang == "fr", "refuse").when(lang == "de", "split").when(lang == "es", "caveat").otherwise("ground")
+    return made.select("doc_id", label.alias("label"), (label == wanted).alias("matched"))
 
 
 PARTS = ("correctness", "hedge", "verbal", "rubric", "recall", "integration", "cite", "support", "behaviour")
@@ -147,11 +154,13 @@ for _track in scoring.COMPOSITES:
     _composite(_track)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'smoke' ELSE 'extended' END AS tier FROM labels WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0")
+@query("SELECT item_id, tier FROM (SELECT item_id, CASE WHEN length(text) % 2 = 0 THEN 'smoke' WHEN starts_with(text, 'T') THEN NULL ELSE 'extended' END AS tier, contains(text, 'qu') AS held_out FROM benchmark) WHERE NOT held_out AND coalesce(tier, 'smoke') = 'smoke'")
 def item_tier_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the smoke tier that are not held out."""
-    items = read_table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "smoke").otherwise("extended").alias("tier"), (F.col("doc_id") % 5 == 0).alias("held_out"))
-    return items.where(~F.col("held_out")).where(tier_matches(F.col("tier"), "smoke")).select("doc_id", "tier")
+    """Items of the smoke tier (which is that of items without one) that are not held out."""
+    text = F.col("text")
+    tier = F.when(F.length(text) % 2 == 0, "smoke").when(text.startswith("T"), F.lit(None).cast("string")).otherwise("extended")
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", tier.alias("tier"), text.contains("qu").alias("held_out"))
+    return items.where(~F.col("held_out")).where(tier_matches(F.coalesce("tier", F.lit("smoke")), "smoke")).select("item_id", "tier")
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'phrase ' || quality WHEN 1 THEN toxic || ' x' ELSE '' END AS target FROM labels")

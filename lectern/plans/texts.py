@@ -161,7 +161,8 @@ def url_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "r.category", "r.path")
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 240) AS x FROM documents)
+SELECT doc_id, CASE WHEN length(x) >= 8 THEN '?cite=' || replace(replace(replace(replace(replace(url_encode(x), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') END AS cite FROM f""")
 def cite_param(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", urls.cite_parameter(F.col("text")).alias("cite"))
 
