@@ -13,8 +13,10 @@ STOPWORDS = (
 PERSON_TERMS = (
     "who researcher researchers fellow fellows team people staff author authors scholar scholars director leadership founder founders"
 ).split()
+# Names of sections that list references.
 REFERENCE_SECTIONS = ("references", "bibliography", "works cited", "further reading")
 
+# Fixed value: a mark of sources in an answer.
 MARKER = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 
 
@@ -54,17 +56,19 @@ def clean_markdown(text: Column) -> Column:
     return F.regexp_replace(made, r"^\s+|\s+$", "")
 
 
+# The patterns of a preview, in their order, and what stands for them.
+PREVIEW = (
+    ("(?s)```.*?```", ""), (r"\[\^[^\]]+\]:?", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"!\[[^\n\]]*\]?(?:\([^\n)]*\)?)?", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s{0,3}>+\s?", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""),
+    (r"(?m)^\s*\|?[\s:-]+\|[\s:|-]*$", ""), (r"(?m)^\s*\|", ""), (r"(?m)\|\s*$", ""), (r"\s*\|\s*", " "),
+    (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
+    (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), ("~~(.*?)~~", "$1"), ("`([^`]+)`", "$1"), (r"\\([\-_*\[\]()`~#+.!])", "$1"),
+)
+
+
 def clean_snippet(text: Column) -> Column:
     """A preview without markdown, for snippets that may end within an image or a link."""
-    made = _each(
-        text,
-        ("(?s)```.*?```", ""), (r"\[\^[^\]]+\]:?", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"!\[[^\n\]]*\]?(?:\([^\n)]*\)?)?", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s{0,3}>+\s?", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""),
-        (r"(?m)^\s*\|?[\s:-]+\|[\s:|-]*$", ""), (r"(?m)^\s*\|", ""), (r"(?m)\|\s*$", ""), (r"\s*\|\s*", " "),
-        (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
-        (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), ("~~(.*?)~~", "$1"), ("`([^`]+)`", "$1"), (r"\\([\-_*\[\]()`~#+.!])", "$1"),
-    )
-    return F.coalesce(collapse(made), F.lit(""))
+    return F.coalesce(collapse(_each(text, *PREVIEW)), F.lit(""))
 
 
 def snippet(text: Column, most: int = 280, slack: int = 80) -> Column:

@@ -35,10 +35,22 @@ def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_with(spark, sf_dir, CMS).select("doc_id", tx.clean_markdown(F.col("x")).alias("clean"))
 
 
-@query()
+def preview_sql(x: str) -> str:
+    """The steps of a preview for an engine without back-references: both kinds of marks are spelt out."""
+    both = {r"(\*\*|__)(.*?)\1": (r"\*\*(.*?)\*\*|__(.*?)__", r"\1\2"), r"(\*|_)(.*?)\1": (r"\*(.*?)\*|_(.*?)_", r"\1\2")}
+    for pattern, put in tx.PREVIEW:
+        pattern, put = both.get(pattern, (pattern, put.replace("$", "\\")))
+        x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
+    return rf"coalesce(trim(regexp_replace({x}, '\s+', ' ', 'g')), '')"
+
+
+LISTED = """concat('- ', lang, chr(10), '1. __', source, '__ and *', lang, '* ~~old~~ a', chr(92), '*b', chr(10), '| a | b |', chr(10), '|---|---|', chr(10), '> ', text, chr(10), '***', chr(10), '## ', source, ' ![cut](http')"""
+
+
+@query(f"SELECT doc_id, {preview_sql('x')} AS preview, {preview_sql('y')} AS listed FROM (SELECT doc_id, {MARKDOWN} AS x, {LISTED} AS y FROM documents)")
 def clean_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without SQL: its patterns refer back to their own groups."""
-    return docs_with(spark, sf_dir, MARKDOWN).select("doc_id", tx.clean_snippet(F.col("x")).alias("preview"))
+    made = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{MARKDOWN} AS x", f"{LISTED} AS y")
+    return made.select("doc_id", tx.clean_snippet(F.col("x")).alias("preview"), tx.clean_snippet(F.col("y")).alias("listed"))
 
 
 @query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents), w AS (SELECT doc_id, x, substr(x, 1, 360) AS w FROM f),
