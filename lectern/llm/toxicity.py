@@ -69,6 +69,30 @@ def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "buckets", "toxic"])
 
 
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of rows with about ``ENTRIES`` inputs; a longer row makes one of its own."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - sizes[low] + ENTRIES, "right")))
+        yield low, high
+        low = high
+
+
+def _in_order(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, number of each row's, labels) of collected rows, ordered by doc_id and buckets, whatever the order in which they came."""
+    ids, y = found.column(0).to_numpy(), found.column(2).to_numpy().astype(float)
+    views = [x.as_buffer() for x in found.column(1)]
+    known, times = np.unique(ids, return_counts=True)
+    again = set(known[times > 1].tolist())
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], views[i].to_pybytes() if ids[i] in again else b""))
+    sizes = np.array([len(views[i]) // 4 for i in order], np.int64)
+    flat, at = np.empty(int(sizes.sum()), np.int32), 0
+    for i, size in zip(order, sizes.tolist()):
+        flat[at : at + size] = np.frombuffer(views[i], np.int32)
+        at += size
+    return flat, sizes, y[order]
+
+
 class FactorizationMachine:
     """Logistic second-order factorization machine over sets of inputs numbered from 1; input 0 is the constant.
 
@@ -80,13 +104,9 @@ class FactorizationMachine:
 
     def scores(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of all rows, ``ENTRIES`` inputs at a time."""
-        out = np.zeros(len(sizes))
-        ends = np.cumsum(sizes)
-        low = 0
-        while low < len(sizes):
-            begin = ends[low] - sizes[low]
-            high = max(low + 1, int(np.searchsorted(ends, begin + ENTRIES, "right")))
-            at, size = flat[begin : ends[high - 1]], sizes[low:high]
+        out, ends = np.zeros(len(sizes)), np.cumsum(sizes)
+        for low, high in _runs(sizes):
+            at, size = flat[ends[low] - sizes[low] : ends[high - 1]], sizes[low:high]
             some = np.flatnonzero(size)
             z = np.full(high - low, float(self.weights[0]))
             if len(some):
@@ -95,7 +115,6 @@ class FactorizationMachine:
                 sums = np.add.reduceat(v, starts, axis=0)
                 z[some] += np.add.reduceat(self.weights[at], starts) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
             out[low:high] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            low = high
         return out
 
     @classmethod
@@ -170,26 +189,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_g2: fl
     rows = bounded_labels(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), max_rows, F.col("toxic").isin(0, 1) & ~held_out())
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = totals["n"] or 0, totals["t"] or 0
-    inputs = np.zeros(BUCKETS, np.int32)
     flat, sizes, y = np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1.0] * t + [0.0] * (n - t if t < n else t))
     if 0 < t < n:
         train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
         found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, buckets binary, toxic int").toArrow()
-        got = sorted(zip(*(found.column(k).to_pylist() for k in range(3))))
+        if found.num_rows:
+            flat, sizes, y = _in_order(found)
         del found
-        if got:
-            y = np.array([label for *_, label in got], float)
-            sizes = np.array([len(x) // 4 for _, x, _ in got], np.int64)
-            flat = np.frombuffer(b"".join(x for _, x, _ in got), np.int32)
-        del got
-    seen = np.bincount(flat, minlength=BUCKETS)
+    seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i, j in _runs(sizes):
+        part, label = flat[sizes[:i].sum() : sizes[:j].sum()], np.repeat(y[i:j] > 0, sizes[i:j])
+        seen += np.bincount(part, minlength=BUCKETS)
+        toxic += np.bincount(part[label], minlength=BUCKETS)
     used = np.flatnonzero(seen)
     used = used[np.argsort(-seen[used], kind="stable")]  # what is looked up most stands together
+    inputs = np.zeros(BUCKETS, np.int32)
     inputs[used] = np.arange(1, len(used) + 1)
+    np.take(inputs, flat, out=flat, mode="clip")
     scale = np.ones(len(used) + 1)
     if len(used):
-        scale[1:] = input_scales(seen[used], np.bincount(flat, np.repeat(y, sizes), BUCKETS)[used], len(y), y.sum(), least_g2)
-    return inputs, FactorizationMachine.fit(inputs[flat], sizes, y, scale)
+        scale[1:] = input_scales(seen[used], toxic[used], len(y), y.sum(), least_g2)
+    return inputs, FactorizationMachine.fit(flat, sizes, y, scale)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
