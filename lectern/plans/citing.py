@@ -9,6 +9,7 @@ from ..functions import urls
 from ..functions.values import rounded
 from ..operators import citations as cit
 from ..operators import fuzzy
+from ..sources.shared import spread
 from ..sources.tables import read_table
 from .registry import query, rounded_sql
 from .texts import PROSE
@@ -25,7 +26,7 @@ SOURCES_SQL = """src AS (SELECT doc_id AS output_id, m AS marker, 'https://' ||
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").selectExpr("doc_id AS output_id", f"{PROSE} AS answer")
+    return spread(read_table(spark, sf_dir, "documents").selectExpr("doc_id AS output_id", f"{PROSE} AS answer"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
