@@ -30,6 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Links, and searches of links, that a worker remembers; beyond that it starts afresh.
 REMEMBERED, SEARCHED = 150_000, 10_000
+#: Links that are searched at once.
+TOGETHER = 16_384
 #: Links of more characters are searched one by one.
 LONG = 48
 LINK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -263,7 +265,9 @@ class Pieces:
         fresh = {s for x in chains if x for s in x}
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-        self.learn(sorted(fresh.difference(self.known)))
+        rest = sorted(fresh.difference(self.known))
+        for i in range(0, len(rest), TOGETHER):
+            self.learn(rest[i : i + TOGETHER])
 
     def links(self, text: str) -> list[str]:
         return LINK.findall(SPACE + text.replace(" ", SPACE)) if text else []
