@@ -28,7 +28,7 @@ def suggestions(docs: DataFrame, typed: str, mentioned: DataFrame | None = None,
 
 
 def prompt_lines(docs: DataFrame) -> DataFrame:
-    """(category, lines): a category's entries, newest first, as one text a category."""
+    """(category, lines): a category's entries, newest first, as one text a category; for catalogs that fit into a prompt, as a category's text is made in one row."""
     line = F.concat(F.lit("- "), F.col("title"), F.lit(" ("), F.col("url"), F.lit(")"))
     entry = F.struct((-F.unix_date("published")).alias("o"), F.col("id"), line.alias("line"))
     return docs.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.line), "\n").alias("lines"))

@@ -6,7 +6,7 @@ summaries are made from them when asked for and never stored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import finite
@@ -38,7 +38,7 @@ def run_list(scores: DataFrame) -> DataFrame:
 
 
 def run_positions(runs: DataFrame) -> DataFrame:
-    """Runs with ``idx``, their 0-based place by time, and whether their version differs from the run before. One row a run."""
+    """Runs with ``idx``, their 0-based place by time, and whether their version differs from the run before. One row a run, which one task orders."""
     order = Window.orderBy("started", "run")
     return runs.withColumns({
         "idx": F.row_number().over(order) - 1, "version_changed": F.coalesce(F.lag("versions").over(order) != F.col("versions"), F.lit(False)),
@@ -63,8 +63,9 @@ def item_deltas(a: DataFrame, b: DataFrame, least: float = 0.005) -> DataFrame:
 
 def track_deltas(tracks: DataFrame, runs: DataFrame) -> DataFrame:
     """(track, latest, previous, delta) of the last two runs in time; null where one of them lacks the track."""
-    order = Window.orderBy(F.desc("started"), F.desc("run"))
-    last = runs.withColumn("back", F.row_number().over(order)).where("back <= 2").select("run", "back")
+    order = [F.desc("started"), F.desc("run")]
+    last = runs.orderBy(*order).limit(2)
+    last = last.withColumn("back", F.row_number().over(Window.orderBy(*order))).select("run", "back")
     at = lambda k: F.max(F.when(F.col("back") == k, F.col("mean")))
     return tracks.join(last, "run").groupBy("track").agg(at(1).alias("latest"), at(2).alias("previous")).withColumn("delta", F.col("latest") - F.col("previous"))
 
@@ -112,7 +113,7 @@ def heatmap(scores: DataFrame, runs: list[str]) -> DataFrame:
 
 
 def fingerprint(scores: DataFrame) -> DataFrame:
-    """(run, hash): eight hex digits of the SHA-1 of a run's items by track, as sorted JSON with items in their order."""
+    """(run, hash): eight hex digits of the SHA-1 of a run's items by track, as sorted JSON with items in their order. A run's text is hashed whole, and so made in one row."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda x: F.concat(F.lit('"'), x["item"].cast("string"), F.lit('"')))
     tracks = scores.groupBy("run", "track").agg(F.array_join(items, ", ").alias("items"))
     entry = F.struct("track", F.concat(F.lit('"'), F.col("track"), F.lit('": ['), F.col("items"), F.lit("]")).alias("text"))

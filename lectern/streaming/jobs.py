@@ -23,6 +23,21 @@ def latest_sources(lines: DataFrame, late: str = "1 hour") -> DataFrame:
     return lines.dropDuplicates(["session", "marker"])
 
 
+def cumulative_sources(lines: DataFrame) -> DataFrame:
+    """(session, markers): all markers of a session so far, in order; on a stream a row whenever a batch brings a new one, else the last of these."""
+    if not lines.isStreaming:
+        return lines.groupBy("session").agg(F.sort_array(F.collect_set("marker")).alias("markers"))
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = set(state.get[0]) if state.exists else set()
+        every = known.union(*(f["marker"].tolist() for f in frames))
+        if len(every) > len(known):
+            state.update((sorted(every),))
+            yield pd.DataFrame({"session": [key[0]], "markers": [sorted(every)]})
+
+    return lines.groupBy("session").applyInPandasWithState(run, "session long, markers array<int>", "markers array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
 def numbered_items(events: DataFrame) -> DataFrame:
     """(session, item, marker) of a stream of (session, seq, item): items numbered per session as they are first seen.
 

@@ -51,6 +51,18 @@ def test_latest_sources(spark, tmp_path):
     assert pairs(spark.table("sources")) == pairs(jobs.latest_sources(df))
 
 
+def test_cumulative_sources_are_told_when_new_ones_come(spark, tmp_path):
+    df = events(spark).select("session", "seq", F.when(F.col("seq") < 100, F.col("item") % 4).otherwise(F.col("item")).alias("marker"))
+    out = jobs.cumulative_sources(streamed(spark, tmp_path, df).select("session", "marker"))
+    finished(out.writeStream.outputMode("append").format("memory").queryName("told").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start())
+    told = {}
+    for r in spark.table("told").collect():
+        told.setdefault(r.session, []).append(r.markers)
+    want = {r.session: r.markers for r in jobs.cumulative_sources(df).collect()}
+    assert {k: max(v, key=len) for k, v in told.items()} == want
+    assert all(len({len(x) for x in v}) == len(v) for v in told.values()) and any(len(v) == 2 for v in told.values())
+
+
 def test_upserts_keep_the_newest(spark, tmp_path):
     df = events(spark).select(F.col("session").alias("id"), F.col("ts").alias("updated_at"), "seq")
     source = streamed(spark, tmp_path, df)
