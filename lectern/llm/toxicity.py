@@ -12,6 +12,7 @@ group, which no sum of single weights can express. Scoring sends only the texts
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,12 +62,27 @@ class _Terms:
         return out
 
 
+def _packed(buckets: set[int]) -> bytes:
+    """A set of buckets as the gaps between them, all low bytes before the higher ones, compressed: a third of their size."""
+    gaps = np.diff(np.array(sorted(buckets), np.int32), prepend=np.int32(0))
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+
+
 def _find_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, buckets as 32-bit numbers in order, toxic)."""
+    """(doc_id, number of buckets, packed buckets, toxic)."""
     terms = _Terms()
     for batch in batches:
-        found = [np.array(sorted(terms(text.as_py())), np.int32).tobytes() for text in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "buckets", "toxic"])
+        n, found = [], []
+        for text in batch.column(1):
+            got = terms(text.as_py())
+            n.append(len(got))
+            found.append(_packed(got))
+        yield pa.record_batch([batch.column(0), pa.array(n, pa.int32()), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "n", "buckets", "toxic"])
 
 
 def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -80,17 +96,16 @@ def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _in_order(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, number of each row's, labels) of collected rows, ordered by doc_id and buckets, whatever the order in which they came."""
-    ids, y = found.column(0).to_numpy(), found.column(2).to_numpy().astype(float)
-    views = [x.as_buffer() for x in found.column(1)]
+    ids, n, y = (found.column(k).to_numpy() for k in (0, 1, 3))
+    views = [x.as_buffer() for x in found.column(2)]
     known, times = np.unique(ids, return_counts=True)
     again = set(known[times > 1].tolist())
     order = sorted(range(len(ids)), key=lambda i: (ids[i], views[i].to_pybytes() if ids[i] in again else b""))
-    sizes = np.array([len(views[i]) // 4 for i in order], np.int64)
-    flat, at = np.empty(int(sizes.sum()), np.int32), 0
-    for i, size in zip(order, sizes.tolist()):
-        flat[at : at + size] = np.frombuffer(views[i], np.int32)
-        at += size
-    return flat, sizes, y[order]
+    flat, at = np.empty(int(n.sum()), np.int32), 0
+    for i in order:
+        flat[at : at + n[i]] = _unpacked(views[i])
+        at += n[i]
+    return flat, n[order].astype(np.int64), y[order].astype(float)
 
 
 class FactorizationMachine:
@@ -192,20 +207,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_g2: fl
     flat, sizes, y = np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1.0] * t + [0.0] * (n - t if t < n else t))
     if 0 < t < n:
         train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-        found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, buckets binary, toxic int").toArrow()
+        found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, n int, buckets binary, toxic int").toArrow()
         if found.num_rows:
             flat, sizes, y = _in_order(found)
         del found
     seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for i, j in _runs(sizes):
-        part, label = flat[sizes[:i].sum() : sizes[:j].sum()], np.repeat(y[i:j] > 0, sizes[i:j])
+    parts = [(i, j, flat[sizes[:i].sum() : sizes[:j].sum()]) for i, j in _runs(sizes)]  # views; numpy would index by numbers twice the size
+    for i, j, part in parts:
+        label = np.repeat(y[i:j] > 0, sizes[i:j])
         seen += np.bincount(part, minlength=BUCKETS)
         toxic += np.bincount(part[label], minlength=BUCKETS)
     used = np.flatnonzero(seen)
     used = used[np.argsort(-seen[used], kind="stable")]  # what is looked up most stands together
     inputs = np.zeros(BUCKETS, np.int32)
     inputs[used] = np.arange(1, len(used) + 1)
-    np.take(inputs, flat, out=flat, mode="clip")
+    for _, _, part in parts:
+        part[:] = inputs[part]
     scale = np.ones(len(used) + 1)
     if len(used):
         scale[1:] = input_scales(seen[used], toxic[used], len(y), y.sum(), least_g2)
