@@ -119,7 +119,8 @@ def align(prints: DataFrame, ids: list[str], queries, apart: int = 4, least_vote
     who = F.struct(*ids)
     classes = held.groupBy("h1", "h2").agg(F.min(who).alias("first"), F.count("*").alias("copies"), F.max("asks").alias("asks"))
     unique = held.where(F.size("codes") > 0).dropDuplicates(["h1", "h2"]).select("h1", "h2", "codes")
-    keys = F.transform(F.sequence(F.lit(1), F.size("codes") - apart), lambda i: F.xxhash64(F.element_at("codes", i), F.element_at("codes", i + apart)))
+    # A recording of no more integers than that has no pair, and the sequence would run backwards.
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("codes") - apart - 1, F.lit(0))), lambda i: F.xxhash64(F.get("codes", i), F.get("codes", i + apart)))
     posts = unique.where(F.size("codes") > apart).select("h1", "h2", keys.alias("keys")).select("h1", "h2", "keys", F.posexplode("keys").alias("at", "key"))
     posts = posts.where((F.col("at") == 0) | (F.col("key") != F.get("keys", F.col("at") - 1))).select("h1", "h2", "key", "at")
     posts = settled(posts, "posts")

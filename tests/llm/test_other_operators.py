@@ -412,7 +412,13 @@ def brute_alignment(x, y, apart=4, least=3, most=0.25):
     return max(found, default=None)
 
 
-def test_alignment_matches_brute_force(spark):
+def stored(spark, rows, tmp_path):
+    """Rows read from a file, whose plan is not folded before it runs."""
+    spark.createDataFrame(rows, "id long, codes array<long>").write.parquet(str(tmp_path / "prints"))
+    return spark.read.parquet(str(tmp_path / "prints"))
+
+
+def test_alignment_matches_brute_force(spark, tmp_path):
     rng = random.Random(10)
     phrases = [[rng.getrandbits(32) for _ in range(rng.randrange(4, 12))] for _ in range(5)] + [[7] * 30]
     rows = []
@@ -420,8 +426,9 @@ def test_alignment_matches_brute_force(spark):
         codes = [c for _ in range(rng.randrange(0, 7)) for c in rng.choice(phrases)]
         rows.append((i, [c ^ (1 << rng.randrange(32)) if rng.random() < 0.1 else c for c in codes]))
     # A clip of a phrase's second place, and a recording that lasts.
+    rows += [(200 + k, list(range(k))) for k in range(1, 8)]
     rows += [(100, rows[7][1][-20:]), (101, [3] * 5000), (102, [3] * 4000 + [9, 8, 7]), (103, [])]
-    got = {(r.query_id, r.match_id): (r.votes, -r.offset, r.overlap, r.bit_error) for r in chroma.align(spark.createDataFrame(rows, "id long, codes array<long>"), ["id"], F.lit(True)).collect() if r.match_id is not None}
+    got = {(r.query_id, r.match_id): (r.votes, -r.offset, r.overlap, r.bit_error) for r in chroma.align(stored(spark, rows, tmp_path), ["id"], F.lit(True)).collect() if r.match_id is not None}
     first = {}
     for i, c in rows:
         first.setdefault(tuple(c), i)
