@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
+from .alignment import tokenizer_alignment
 from .ann import nearest
 from .chroma import align, fingerprints, sung
 from .extraction import extract_text
+from .licenses import ORACLE as LICENSES_SQL
+from .licenses import label_columns, scan_licenses
 from .linededup import ORACLE as LINE_DEDUP_SQL
 from .linededup import dedup_lines
+from .manifest import ORACLE as MANIFEST_SQL
+from .manifest import manifest
 from .minhash import ORACLE as NEAR_DEDUP_SQL
 from .minhash import near_duplicates
 from .mixing import mixing_rates
@@ -77,6 +82,20 @@ def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_columns(scan_licenses(dealt(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest(dealt(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tokenizer_alignment(dealt(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 OPERATORS = (
     op1_chroma_fingerprints,
     op2_mixing,
@@ -88,6 +107,9 @@ OPERATORS = (
     op8_url_filter,
     op9_line_dedup,
     op10_approximate_neighbours,
+    op11_license_scan,
+    op12_merkle_manifest,
+    op13_tokenizer_alignment,
 )
 
 
@@ -96,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op11_license_scan": LICENSES_SQL, "op12_merkle_manifest": MANIFEST_SQL}
