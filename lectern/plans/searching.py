@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, query_terms, tokenize, word_count
 from ..functions.values import rounded
 from ..operators import catalog as cat
 from ..operators import index, search
-from ..sources.shared import spread
+from ..operators.segments import Segments, stored_segments
+from ..sources.shared import shared_dir, spread
 from ..sources.tables import read_table
 from .registry import query, rounded_sql, tokens_sql
 
@@ -34,14 +37,10 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The stored index of the documents' texts; chunks of ``chunk_table`` have the documents' ids and texts."""
-    return index.stored_index(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{sf_dir}/documents.parquet", "doc_id")
-
-
-def chunk_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    of = document_index(spark, sf_dir)
-    return of._replace(postings=of.postings.withColumnRenamed("doc_id", "chunk_id"), id_col="chunk_id")
+def corpus(spark: SparkSession, sf_dir: str, id_col: str = "doc_id") -> Segments:
+    """The stored index of the documents as chunks; their ids are the documents'."""
+    found = stored_segments(chunk_table(spark, sf_dir), f"{sf_dir}/documents.parquet")
+    return Segments(spark, found.path, id_col)
 
 
 CHUNKS_SQL = """chunks AS (
@@ -74,9 +73,7 @@ VALUES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QU
 SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
 FROM (SELECT doc_id, {rounded_sql('score')} AS score FROM score) ORDER BY score DESC, doc_id LIMIT 10""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(document_index(spark, sf_dir), asked(spark, [(1, QUESTION)])).select("doc_id", rounded(F.col("score")).alias("score"))
-    top = hits.orderBy(F.desc("score"), "doc_id").limit(10)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
+    return corpus(spark, sf_dir).top(asked(spark, [(1, QUESTION)]), 10).select("rank", "doc_id", "score")
 
 
 @query(f"""WITH {bm25_sql(terms_sql('SELECT item_id AS query_id, text AS query FROM benchmark'))}
@@ -85,9 +82,63 @@ SELECT query_id, doc_id, CAST(rank AS INT) AS rank, score FROM (
 WHERE rank <= 5""")
 def search_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = search.bm25(document_index(spark, sf_dir), questions).withColumn("score", rounded(F.col("score")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "doc_id", "rank", "score")
+    return corpus(spark, sf_dir).top(questions, 5).select("query_id", "doc_id", "rank", "score")
+
+
+UPDATED_SQL = """documents AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'only new words of ' || lang || ' thing ' || text ELSE text END AS text FROM main.documents WHERE doc_id % 17 <> 5)"""
+
+
+@query(f"""WITH {UPDATED_SQL}, {bm25_sql(terms_sql(VALUES_SQL))}
+SELECT query_id, doc_id, CAST(rank AS INT) AS rank, score FROM (
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, {rounded_sql('score')} AS score FROM score))
+WHERE rank <= 10""")
+def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segments, a tenth of the documents replaced and a seventeenth dropped, segments merged: ranks are those of the table as it then is."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    made = Segments(spark, f"{shared_dir(spark)}/lectern/updates-{uuid.uuid4().hex}", "doc_id")
+    for part in range(3):
+        made.add(docs.where(F.pmod("doc_id", F.lit(3)) == part))
+    made.replace(docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("only new words of "), "lang", F.lit(" thing "), "text")))
+    made.drop(docs.where("doc_id % 17 = 5").select("doc_id"))
+    made.merge(factor=3)
+    return made.top(asked(spark), 10).select("query_id", "doc_id", "rank", "score")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents)
+SELECT (SELECT count(*) FROM documents) AS records, (SELECT CAST(coalesce(sum(len(tokens)), 0) AS BIGINT) FROM t) AS tokens, (SELECT count(DISTINCT term) FROM (SELECT unnest(tokens) AS term FROM t)) AS terms,
+  (SELECT CAST(coalesce(sum(len(list_distinct(tokens))), 0) AS BIGINT) FROM t) AS postings""")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built anew, and what it has."""
+    made = Segments(spark, f"{shared_dir(spark)}/lectern/build-{uuid.uuid4().hex}")
+    made.add(chunk_table(spark, sf_dir))
+    n, tokens = made.statistics()
+    sums = made.frequencies().agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    return sums.select(F.lit(n).cast("long").alias("records"), F.lit(tokens).cast("long").alias("tokens"), "terms", "postings")
+
+
+@query(f"""WITH {CHUNKS_SQL}, heads AS (SELECT chunk_id, lower(concat_ws(' ', title, author, topic, section)) AS hay FROM chunks),
+words AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS term FROM benchmark)
+SELECT term, count(*) AS n, min(chunk_id) AS first FROM words JOIN heads ON contains(hay, term) GROUP BY term""")
+def head_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each word of the benchmark, the heads that have it, even within a word."""
+    of = corpus(spark, sf_dir, "chunk_id")
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(tokenize(F.col("text"))).alias("term")).distinct()
+    about = of._every("documents", of.segments()).select("segment", "ord", "id")
+    return of.head_hits(words).join(about, ["segment", "ord"]).groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+@query(f"""WITH {CHUNKS_SQL}, heads AS (SELECT chunk_id, lower(concat_ws(' ', title, author, topic, section)) AS hay FROM chunks),
+typed AS (SELECT item_id AS text_id, lower(trim(substr(text, 1 + item_id % 5, 3 + item_id % 3))) AS term FROM benchmark),
+hits AS (SELECT text_id, chunk_id, CASE WHEN starts_with(hay, term) THEN 2 ELSE 1 END AS score FROM typed JOIN heads ON contains(hay, term) WHERE term <> ''),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, chunk_id) AS rank FROM hits)
+SELECT text_id, CAST(rank AS INT) AS rank, chunk_id, CAST(score AS INT) AS score FROM ranks WHERE rank <= 8""")
+def autocomplete_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads for many typed texts at once."""
+    typed = read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("text_id"), F.substring(F.col("text"), (F.col("item_id") % 5 + 1).cast("int"), (F.col("item_id") % 3 + 3).cast("int")).alias("typed")
+    )
+    return corpus(spark, sf_dir, "chunk_id").complete(typed, 8)
 
 
 RANKED_SQL = f"""{bm25_sql(terms_sql(VALUES_SQL))},
@@ -109,7 +160,7 @@ ranks AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 
 @query(f"WITH {RANKED_SQL} SELECT query_id, rank, chunk_id, url, score FROM ranks WHERE rank <= 12")
 def bm25_full_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.ranked(chunk_table(spark, sf_dir), chunk_index(spark, sf_dir), asked(spark), 12)
+    return corpus(spark, sf_dir, "chunk_id").ranked(asked(spark), 12)
 
 
 @query(f"""WITH {RANKED_SQL}
@@ -118,7 +169,7 @@ SELECT query_id, '# Search results for: "' || query || '"' || chr(10) || chr(10)
   FROM ranks r JOIN chunks c ON r.chunk_id = c.chunk_id JOIN asked a ON a.query_id = r.query_id WHERE r.rank <= 6) GROUP BY query_id, query""")
 def search_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_table(spark, sf_dir)
-    found = search.ranked(chunks, chunk_index(spark, sf_dir), asked(spark), 6).select("query_id", F.col("rank").alias("marker"), "chunk_id")
+    found = corpus(spark, sf_dir, "chunk_id").ranked(asked(spark), 6).select("query_id", F.col("rank").alias("marker"), "chunk_id")
     rows = found.join(chunks.select("chunk_id", "title", F.array_join("authors", ", ").alias("authors"), "section", "url", "text"), "chunk_id").join(asked(spark), "query_id")
     return search.formatted_results(rows)
 
@@ -126,7 +177,7 @@ def search_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents), n AS (SELECT count(*) AS total FROM documents)
 SELECT term, count(*) AS df, {rounded_sql('ln(1 + (any_value(total) - count(*) + 0.5) / (count(*) + 0.5))')} AS idf FROM t CROSS JOIN n GROUP BY term""")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_index(spark, sf_dir).frequencies.withColumn("idf", rounded(F.col("idf")))
+    return corpus(spark, sf_dir).frequencies().withColumn("idf", rounded(F.col("idf")))
 
 
 @query(f"SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS INT) AS dl, unnest(t) AS term FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)) GROUP BY ALL")
