@@ -8,6 +8,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.llm import alignment, licenses, manifest
@@ -231,3 +233,20 @@ def test_pairs_have_a_bound(spark):
     for r in alignment.pair_counts(alignment.align_tokens(docs).cache(), len(own.bytes_b)).collect():
         a, b = own.bytes_a[r["pair"] // len(own.bytes_b)], own.bytes_b[r["pair"] % len(own.bytes_b)]
         assert a.endswith(b) or b.endswith(a)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=0, max_codepoint=127), min_size=1, max_size=12), max_size=20))
+def test_words_of_ascii_are_encoded_as_by_the_file(parts):
+    own = alignment.tokenizers()
+    text = " " + " ".join(parts)
+    assert own.ascii.encode_ordinary(text) == own.a.encode(text, add_special_tokens=False).ids
+
+
+def test_every_entry_is_made_by_its_own_merges():
+    own = alignment.tokenizers()
+    special = own.a.get_added_tokens_decoder()
+    entries = [(i, b.decode()) for i, b in enumerate(own.bytes_a) if i not in special and b.isascii()]
+    made = own.a.model.tokenize
+    back = {v: k for k, v in own.a.get_vocab().items()}
+    assert len(entries) > 40_000 and all([t.id for t in made(back[i])] == [i] for i, _ in entries)
