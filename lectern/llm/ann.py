@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, settled
@@ -29,8 +29,8 @@ from .shared import discard, settled
 CELL, MOST_CELLS = 8192, 1024
 #: Points and queries of one search task, and points of a kd-tree's leaf.
 BLOCK, QUERIES, LEAF = 8192, 2048, 128
-#: Cosines that agree in so many decimal places are ties.
-DIGITS = 12
+#: Rounding in doubles moves a cosine by less than this: what is nearer to the last place than that is compared in extended precision.
+SLACK = 1e-12
 
 
 def chi_square_bound(sure: float, dims: int) -> float:
@@ -128,6 +128,12 @@ def _cosines(vectors: np.ndarray, norms: np.ndarray, units: np.ndarray, query: n
     return np.where(np.isfinite(out) & (norms * norm > 0), out, (units * unit).sum(1))
 
 
+def _rounded_cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines summed in extended precision and rounded to doubles: parallel vectors tie, nearly parallel ones do not."""
+    v, q = vectors.astype(np.longdouble), query.astype(np.longdouble)
+    return ((v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))).astype(np.float64)
+
+
 def _search_block(axes: np.ndarray, k: int, bound: float):
     """Search one block's points (is_query false) for the queries sent to it: the k nearest, those of equal cosine by ``least``."""
 
@@ -161,9 +167,12 @@ def _search_block(axes: np.ndarray, k: int, bound: float):
                         continue
                     best, score = np.concatenate([best, at]), np.concatenate([score, _cosines(raw[at], norms[at], units[at], queries[q], whole[q], unit[q])])
                     if len(best) >= k:
-                        order = np.lexsort((least[best], -np.round(score, DIGITS)))[:k]
-                        best, score = best[order], score[order]
-                        worst = min(worst, max(0.0, 2 - 2 * score[-1]))
+                        last = np.partition(score, -k)[-k] - SLACK
+                        best, score = best[score >= last], score[score >= last]
+                        worst = min(worst, max(0.0, 2 - 2 * last))
+                score = _rounded_cosines(raw[best], queries[q])
+                order = np.lexsort((least[best], -score))[:k]
+                best, score = best[order], score[order]
                 found.append(pd.DataFrame({"qid": qid, "vid": ids[best], "least": least[best], "score": score}))
         if found:
             return pd.concat(found)
@@ -188,13 +197,8 @@ def _blocked(points: DataFrame, asked: DataFrame, axes: np.ndarray, k: int, boun
     return mine.union(theirs).groupBy("cell", "block", "part").applyInPandas(_search_block(axes, k, bound), "qid long, vid long, least long, score double")
 
 
-def _nearest_first() -> Column:
-    """Cosines that are equal but for rounding are ties."""
-    return F.desc(F.round("score", DIGITS))
-
-
 def _top(found: DataFrame, k: int) -> DataFrame:
-    over = Window.partitionBy("qid").orderBy(_nearest_first(), "least")
+    over = Window.partitionBy("qid").orderBy(F.desc("score"), "least")
     return found.withColumn("r", F.row_number().over(over)).where(F.col("r") <= k).drop("r")
 
 
@@ -203,7 +207,7 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition) picks, its k nearest rows by cosine.
 
-    Ties, cosines that are equal to twelve places, go to the smaller id. A row is no answer to itself, nor is another row with its id; a row
+    The cosine's double decides, however little two differ; ties, equal doubles, go to the smaller id. A row is no answer to itself, nor is another row with its id; a row
     that repeats an id and its vector counts once. Null vectors, those of zeros, those with a null or non-finite component and those of
     another length than most take no part, as queries or as answers; nor do null ids. Fewer rows
     than k give shorter answers; an empty table, or one without queries, gives no rows. Other columns
@@ -269,7 +273,7 @@ def nearest(
     best = settled(_top(out, k + 1), "best")
     discard(*made)
     best = best.join(points.select(F.col("key").alias("vid"), "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
-    over = Window.partitionBy("query_id").orderBy(_nearest_first(), "vec_id")
+    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     answers = asking.join(best, "qid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     answers = answers.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
     return answers.select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,13 @@ containers in which chosen paths hold most of the text are the content, with all
 
 Elements whose tag or role says that they are menus, forms and so on never count. A class or an id
 that says so strikes an element unless that holds the page's article, or, where the page marks none
-and the class only says so in a part of a longer name, most of its text.
+and the class only says so in a part of a longer name, most of its text. Within the article an id, or a part of a
+longer name, is no more than a hint: such an element goes only if its own ratios are low or its text is mostly links. Ids of headings and
+paragraphs are anchors and say nothing.
+
+Blocks that lie beside the article, or, where the page marks none, beside the container that holds most of the
+chosen text, must reach the threshold by themselves, and most of their text must be no links: menus and footers in plain
+containers share the paths of what stands beside them.
 
 Each page is read alone, in the task that holds it, in time and memory that grow with its length:
 paths are nodes of one tree, and smoothing goes along it. Nothing is shuffled.
@@ -49,21 +55,30 @@ NAMED = re.compile(
 LAYOUT = frozenset("has with no without not is hide show".split())
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: A new element of the first kind closes an open one of the second, if none of the third is nearer.
+#: Elements whose ids are places to jump to; what an id says of others within an article is a hint.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p dt dd li span a code pre table figure img".split())
 CLOSES = [("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("tr", "tr", "table"), ("td th", "td th", "tr table"), (" ".join(BLOCK), "p", "td th object")]
 CLOSES = [tuple(frozenset(x.split()) for x in row) for row in CLOSES]
 MARKS = re.compile(r"[.,;:!?…。、，]")
 #: Paths further apart than this in the tree have no weight for each other.
 FAR = 5
+#: An element that is named by a hint stays if its ratio is this part of the page's; a container holds a page's text with this part of what is chosen.
+HINTED, MOST = 0.25, 0.6
 WEIGHTS = [math.exp(-d * d / 2.0) for d in range(FAR + 1)]
 
 
-def _said(tag: str, attrs: str) -> tuple[bool, str]:
-    """(whether an element is no content by its tag, role or state; what its class and id name: "" for nothing, "part" if by a part of a longer name alone, "whole" otherwise and for comments)."""
+def _said(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
+    """(whether an element is no content by its tag, role or state; what its class and id name).
+
+    A name is "" for nothing, "part" if by a part of a longer name alone, "hint" within an article if by that or by an id, and "whole"
+    otherwise and for comments.
+    """
     if tag in STRIPPED:
         return True, ""
     if not attrs or tag in ("html", "body", "article", "main"):
         return False, ""
     named = ""
+    rank = ("", "hint", "part", "whole")
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
@@ -72,26 +87,41 @@ def _said(tag: str, attrs: str) -> tuple[bool, str]:
             for word in value.split():
                 parts = re.split("[-_]+", word)
                 if word == "widget" or parts[0] not in LAYOUT and any(map(NAMED.fullmatch, parts)):
-                    named = "whole" if named == "whole" or len(parts) == 1 or any(map(REMARKS.fullmatch, parts)) else "part"
+                    remarks = any(map(REMARKS.fullmatch, parts)) and (len(parts) == 1 or name == "class" or not inside)
+                    if name == "id" and tag in ANCHORED and (inside or not remarks):
+                        continue
+                    found = "whole" if len(parts) == 1 or remarks else "part"
+                    if inside and not remarks and (name == "id" or found == "part"):
+                        found = "hint"
+                    named = max(named, found, key=rank.index)
     return False, named
 
 
+def _is_article(tag: str, attrs: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    low = attrs.lower() if attrs else ""
+    return ("role" in low or "itemprop" in low) and any(n.lower() == "role" and "".join(v).lower() == "main" or n.lower() == "itemprop" and "".join(v).lower() == "articlebody" for n, *v in ATTR.findall(attrs))
+
+
 class _Page:
-    """A page's blocks as lists of text nodes (path, container, name, text); paths and named elements are numbered from their parents on."""
+    """A page's blocks as lists of text nodes (path, container, name, text); paths, containers and named elements are numbered from their parents on."""
 
     def __init__(self, page: str):
         self.blocks: list[list[tuple[int, int, int, str]]] = [[]]
         self.parent, self.child = [-1], {}
+        # Of each path, whether it is within a link; of each container, the one around it and whether it is within the page's article.
+        self.linked, self.box_around, self.box_inside = [False], [-1], [False]
         # Of each named element: the named one around it, what it is, whether it holds an article.
         self.around, self.name, self.holds = [-1], [""], [False]
-        #: Of each open element: tag, whether it is off, container, named element, path, and the nearest open element of each row of CLOSES.
-        self.stack: list[tuple] = [("", False, 0, 0, 0, (-1,) * len(CLOSES))]
+        #: Of each open element: tag, whether it is off, container, named element, path, the nearest open element of each row of CLOSES, and whether it is within an article.
+        self.stack: list[tuple] = [("", False, 0, 0, 0, (-1,) * len(CLOSES), False)]
         self.open: dict[str, list[int]] = defaultdict(list)
         self._read(page)
         self.blocks = [b for b in self.blocks if b]
 
     def _text(self, raw: str) -> None:
-        _, off, box, name, path, _ = self.stack[-1]
+        _, off, box, name, path, _, _ = self.stack[-1]
         if raw and not off:
             self.blocks[-1].append((path, box, name, html.unescape(raw) if "&" in raw else raw))
 
@@ -147,39 +177,77 @@ class _Page:
         self._text(page[at:])
 
     def _open(self, tag: str, attrs: str, container: int) -> None:
-        _, off, box, name, path, near = self.stack[-1]
+        _, off, box, name, path, near, inside = self.stack[-1]
         here = len(self.stack)
+        article = _is_article(tag, attrs)
         if not off:
-            off, named = _said(tag, attrs)
+            off, named = _said(tag, attrs, inside)
             if named:
                 self.around.append(name)
                 self.name.append(named)
                 self.holds.append(False)
                 name = len(self.name) - 1
-            self.holds[name] |= tag in ("article", "main")
+            self.holds[name] |= article
         if (path, tag) not in self.child:
             self.child[path, tag] = len(self.parent)
             self.parent.append(path)
+            self.linked.append(tag == "a" or self.linked[path])
+        inside |= article
+        if tag in CONTAINER:
+            self.box_around.append(box)
+            self.box_inside.append(inside)
         near = tuple(here if tag in ends else -1 if tag in stops else x for x, (_, ends, stops) in zip(near, CLOSES))
-        self.stack.append((tag, off, container if tag in CONTAINER else box, name, self.child[path, tag], near))
+        self.stack.append((tag, off, container if tag in CONTAINER else box, name, self.child[path, tag], near, inside))
         self.open[tag].append(here)
 
     def struck(self) -> list[bool]:
         """Of each named element, whether its text doesn't count."""
-        size = [0] * len(self.name)
+        own = [[0, 0, 0, 0] for _ in self.name]
         for block in self.blocks:
-            for _, _, name, raw in block:
-                size[name] += len(raw.strip())
-        every = sum(size)
-        for i in range(len(size) - 1, 0, -1):
-            size[self.around[i]] += size[i]
+            for path, _, name, raw in block:
+                _add(own[name], raw, self.linked[path])
+        every = [sum(x) for x in zip(*own)]
+        for i in range(len(own) - 1, 0, -1):
+            own[self.around[i]] = [x + y for x, y in zip(own[self.around[i]], own[i])]
             self.holds[self.around[i]] |= self.holds[i]
         out = [False]
-        for i in range(1, len(size)):
-            most = self.name[i] == "part" and 2 * size[i] >= every and not self.holds[0]
-            out.append(out[self.around[i]] or not (self.holds[i] or most))
+        for i in range(1, len(own)):
+            most = self.name[i] == "part" and 2 * own[i][0] >= every[0] and not self.holds[0]
+            # A hint holds where the element's text is unlike the page's.
+            prose = self.name[i] == "hint" and 2 * own[i][3] < own[i][0] and _ratio(own[i]) >= HINTED * _ratio(every)
+            out.append(out[self.around[i]] or not (self.holds[i] or most or prose))
         return out
 
+    def beside(self, chosen: dict[int, int]) -> list[bool]:
+        """Of each container, whether it lies beside the page's article, or beside the container with most of the ``chosen`` characters (by container)."""
+        inside = list(self.box_inside)
+        if not any(inside[b] for b, n in chosen.items() if n):
+            total = [chosen.get(b, 0) for b in range(len(inside))]
+            for b in range(len(total) - 1, 0, -1):
+                total[self.box_around[b]] += total[b]
+            root = 0
+            for b in range(1, len(total)):  # parents come first
+                if self.box_around[b] == root and total[b] >= MOST * total[0]:
+                    root = b
+            inside = [b == root for b in range(len(inside))]
+            for b in range(root + 1, len(inside)):
+                inside[b] = inside[self.box_around[b]]
+        return [not x for x in inside]
+
+
+def _add(sums: list[int], raw: str, linked: bool) -> None:
+    """Counts a text node: characters, punctuation marks, nodes, characters in links."""
+    if (n := len(raw.strip())) > 0:
+        sums[0] += n
+        sums[1] += len(MARKS.findall(raw))
+        sums[2] += 1
+        sums[3] += n * linked
+
+
+def _ratio(sums: list[int]) -> float:
+    chars, marks, n, *_ = sums
+    return chars / n * (1 + marks / n) if n else 0.0
+
 
 def smoothed(parent: list[int], values: dict[int, float]) -> dict[int, float]:
     """Means of ``values`` (by path) with Gaussian weights of the steps between paths in the tree, up to ``FAR`` steps.
@@ -218,16 +286,15 @@ def main_text(page: str | None, share: float = 0.1) -> str:
     off = read.struck()
     blocks = [[(path, box, raw) for path, box, name, raw in block if not off[name]] for block in read.blocks]
     stats: dict[int, list[int]] = {}
+    boxes: dict[int, list[int]] = {}
     for block in blocks:
-        for path, _, raw in block:
-            if (n := len(raw.strip())) > 0:
-                s = stats.setdefault(path, [0, 0, 0])
-                s[0] += n
-                s[1] += len(MARKS.findall(raw))
-                s[2] += 1
+        for path, box, raw in block:
+            if raw.strip():
+                _add(stats.setdefault(path, [0, 0, 0, 0]), raw, read.linked[path])
+                _add(boxes.setdefault(box, [0, 0, 0, 0]), raw, read.linked[path])
     if not stats:
         return ""
-    smooth = smoothed(read.parent, {p: chars / n * (1 + marks / n) for p, (chars, marks, n) in stats.items()})
+    smooth = smoothed(read.parent, {p: _ratio(s) for p, s in stats.items()})
     least = share * max(smooth.values())
     chosen = {p for p, v in smooth.items() if v >= least}
     held: dict[int, list[int]] = {}
@@ -237,7 +304,9 @@ def main_text(page: str | None, share: float = 0.1) -> str:
             n = len(raw.strip())
             h[1] += n
             h[0] += n * (path in chosen)
-    out = (" ".join("".join(raw for _, box, raw in block if 2 * held[box][0] >= held[box][1]).split()) for block in blocks)
+    beside = read.beside({box: h[0] for box, h in held.items()})
+    low = {box for box, s in boxes.items() if beside[box] and (_ratio(s) < least or 2 * s[3] > s[0])}
+    out = (" ".join("".join(raw for _, box, raw in block if box not in low and 2 * held[box][0] >= held[box][1]).split()) for block in blocks)
     return "\n".join(x for x in out if x)
 
 

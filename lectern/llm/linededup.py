@@ -160,9 +160,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", te
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*kept, F.xxhash64(text_col).alias("__hash"))
     rows = rows.join(gone.hint("merge"), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__version")), "left")
-    parts = F.split(text_col, "\n", -1)
+    # The lines are a column of their own, so that the text is parted once; places that stay are found by hashing those that go.
+    rows = rows.withColumn("__parts", F.split(text_col, "\n", -1))
+    parts = F.col("__parts")
     removed = F.size(F.coalesce("__gone", F.array().cast("array<int>")))
-    text = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
+    text = F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n")
     return rows.select(
         *[F.when(removed > 0, text).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in kept],
         F.when(F.col(text_col).isNotNull(), F.size(parts)).alias("n_lines"),

@@ -207,6 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_g2: fl
     flat, sizes, y = np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1.0] * t + [0.0] * (n - t if t < n else t))
     if 0 < t < n:
         train = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+        if docs.select("doc_id").join(F.broadcast(rows), "doc_id").count() > n:
+            # An id that repeats trains with its first text, so that the driver gets at most ``max_rows`` rows.
+            train = train.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         found = train.select("doc_id", "text", "toxic").mapInArrow(_find_buckets, "doc_id long, n int, buckets binary, toxic int").toArrow()
         if found.num_rows:
             flat, sizes, y = _in_order(found)

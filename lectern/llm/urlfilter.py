@@ -26,6 +26,8 @@ from .shared import discard, settled
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST_WORD = 24
+#: Letters of a piece of a run that its substrings are cut from.
+PIECE = 256
 BUCKETS = 1 << 16
 #: Words whose hosts are examples for blocking, the pages that each stands for beside those that there are, and its least share of all words in the word model.
 SEEDS = "ads adult bet bets casino cheap clickbait crack escort farm gambling jackpot keygen loan loans malware pills poker porn replica sex spam torrent viagra warez xxx".split()
@@ -100,15 +102,20 @@ def seeds_in(run: str, total: int, seeds=SEEDS) -> list[tuple[int, int, float]]:
 def segment_runs(runs: DataFrame, words: DataFrame, seeds=SEEDS) -> DataFrame:
     """(run, words) for distinct letter runs (column run), by the counts in ``words`` and the seed words.
 
-    A run of L letters makes at most 24 L substrings, whatever the number of words.
+    A run of L letters makes at most 24 L substrings, whatever the number of words. They are cut from
+    pieces of it, and carry two hashes of the run, not its letters, so that a long run takes time and room
+    in proportion to its length.
     """
     total = words.agg(F.sum("n")).first()[0] or 0
-    size = F.length("run")
-    starts = runs.select("run", F.explode(F.sequence(F.lit(1), size)).alias("i"))
-    subs = starts.select("run", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), size - F.col("i") + 1))).alias("k"))
-    subs = subs.select("run", "i", "k", F.substring(F.col("run"), F.col("i"), F.col("k")).alias("word"))
-    known = subs.join(words, "word").groupBy("run").agg(F.collect_list(F.struct(F.col("i") - 1, "k", "n")).alias("found"))
-    every = runs.join(known, "run", "left").select("run", "found")
+    runs = runs.withColumn("key", F.struct(F.xxhash64("run").alias("a"), F.hash("run").alias("b"), F.length("run").alias("c")))
+    cuts = runs.select("key", "run", F.explode(F.sequence(F.lit(0), F.length("run") - 1, F.lit(PIECE))).alias("cut"))
+    pieces = cuts.select("key", "cut", F.substring(F.col("run"), F.col("cut") + 1, F.lit(PIECE + LONGEST_WORD - 1)).alias("piece"))
+    size = F.length("piece")
+    starts = pieces.select("key", "cut", "piece", F.explode(F.sequence(F.lit(1), F.least(size, F.lit(PIECE)))).alias("i"))
+    subs = starts.select("key", "cut", "piece", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), size - F.col("i") + 1))).alias("k"))
+    subs = subs.select("key", (F.col("cut") + F.col("i")).alias("i"), "k", F.substring(F.col("piece"), F.col("i"), F.col("k")).alias("word"))
+    known = subs.join(words, "word").groupBy("key").agg(F.collect_list(F.struct(F.col("i") - 1, "k", "n")).alias("found"))
+    every = runs.join(known, "key", "left").select("run", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

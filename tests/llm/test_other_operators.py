@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import Decimal, localcontext
 from collections import Counter
 
 import numpy as np
@@ -294,11 +295,17 @@ def test_encoding_edge_rows(spark):
 
 def brute_neighbours(rows, k=5):
     rows = sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v) and any(v)})
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
     out = {}
+
+    def cos(a, b):
+        """The cosine to fifty digits, as the nearest double."""
+        with localcontext(prec=50):
+            a, b = [Decimal(x) for x in a], [Decimal(x) for x in b]
+            return float(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a).sqrt() * sum(x * x for x in b).sqrt()))
+
     for i, v in rows:
         if i % 50 == 0:
-            best = sorted({(-round(cos(v, w), 12), j) for j, w in rows if j != i})[:k]
+            best = sorted({(-cos(v, w), j) for j, w in rows if j != i})[:k]
             out[i] = [j for _, j in best]
     return out
 
@@ -312,7 +319,9 @@ def test_parallel_and_mirrored_vectors_tie(spark):
     got = {}
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0, dims=4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got[50] == [1, 2, 3, 4, 5] and got == brute_neighbours(rows)
+    # Those that single precision holds exactly tie with each other; thrice a vector is rounded there, and so is the query.
+    exact = [i for i in range(1, 101) if i % 3 != 2]
+    assert got == brute_neighbours(rows) and set(got[50]).isdisjoint(exact) and got[100] == [i for i in exact if i != 100][:5]
 
 
 def test_neighbours_match_brute_force(spark):
