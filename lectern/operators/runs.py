@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import finite
+from ..sources.shared import stored
 
 
 def track_summary(scores: DataFrame, *more: str) -> DataFrame:
@@ -122,11 +123,43 @@ def fingerprint(scores: DataFrame) -> DataFrame:
 
 
 def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, median): of a key's values the one at n // 2, counted from 0 in ascending order; a group is sorted, never gathered in a row."""
-    counts = rows.groupBy(key).agg(F.count("*").cast("int").alias("n"))
-    order = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    placed = rows.select(key, F.col(value).alias("median"), order.alias("__r")).join(counts, key)
-    return placed.where(F.col("__r") == F.floor(F.col("n") / 2) + 1).select(key, "n", "median")
+    """(key, n, median): of a key's values the one at n // 2, counted from 0 in ascending order, nulls first."""
+    found = selected(rows, key, value)
+    return found.select(key, F.col("n").cast("int").alias("n"), F.col("value").alias("median"))
+
+
+def selected(rows: DataFrame, key: str, value: str, share: float = 0.5, cuts: int = 64) -> DataFrame:
+    """(key, n, value): of a key's n values the one at place floor(n * share), counted from 0 in ascending order, nulls first; the last for a share of 1.
+
+    No group is sorted. Values of a key are counted between cuts that a sketch places; the range with the
+    wanted place is cut again until all that is in it is one value. Every pass sums before it shuffles, so that a key may hold all rows, and
+    leaves a small part of them; the driver sees whether any key is open. A null key has no row.
+    """
+    data = rows.select(F.col(key).alias("__k"), F.col(value).alias("__v")).where("__k IS NOT NULL")
+    kind = data.schema["__v"].dataType
+    total = data.groupBy("__k").agg(F.count("*").alias("n"), (F.count("*") - F.count("__v")).alias("nulls"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    place = F.least(F.floor(F.col("n") * F.lit(float(share))), F.col("n") - 1)
+    state = stored(total.select("__k", "n", (place - F.col("nulls")).alias("want"), "low", "high"), "selection")
+    done = state.where("want < 0 OR low = high").select("__k", "n", F.when(F.col("want") >= 0, F.col("low")).cast(kind).alias("value"))
+    parts, state = [done], state.where("want >= 0 AND low <> high")
+    while state.limit(1).count():
+        inside = data.join(state, "__k").where("__v BETWEEN low AND high")
+        shares = [i / cuts for i in range(1, cuts)]
+        sketch = inside.groupBy("__k").agg(F.percentile_approx("__v", shares, 4 * cuts).alias("cuts"))
+        sketch = sketch.select("__k", F.array_sort(F.array_distinct("cuts")).alias("cuts"))
+        # A cut is the last value of its range; where all cuts are the greatest value, the range below it is counted apart.
+        placed = inside.join(sketch, "__k").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("__v"))) * 2 + F.array_contains("cuts", F.col("__v")).cast("int"))
+        bins = placed.groupBy("__k", "bin").agg(F.count("*").alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        over = Window.partitionBy("__k").orderBy("bin")  # at most twice as many rows a key as there are cuts
+        bins = bins.withColumn("before", F.sum("c").over(over) - F.col("c")).join(state.select("__k", "n", "want"), "__k")
+        found = bins.where("before <= want AND want < before + c").select("__k", "n", (F.col("want") - F.col("before")).alias("want"), "low", "high")
+        found = stored(found, "selection")
+        parts.append(found.where("low = high").select("__k", "n", F.col("low").cast(kind).alias("value")))
+        state = found.where("low <> high")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.col("__k").alias(key), "n", "value")
 
 
 def validation(rows: DataFrame, good: float = 0.85, bad: float = 0.55, gap: float = 0.30) -> DataFrame:

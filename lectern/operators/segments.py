@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PERSON_TERMS, looks_like_references
 from ..functions.values import rounded
-from ..sources.shared import shared_dir, spread
+from ..sources.shared import shared_dir, spread, stored
 from .index import postings
 from .search import FEW, K1, PEOPLE_FACTOR, PER_URL, REFERENCE_FACTOR, TITLE_BONUS, B, asked_terms
 
@@ -281,10 +281,8 @@ class Segments:
         return first.unionByName(scored(rest)), read
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
-        """Rows that several parts of a search read, written to the shared folder."""
-        place = f"{shared_dir(self.spark)}/lectern/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(place)
-        return self.spark.read.schema(rows.schema).parquet(place)
+        """Rows that several parts of a search read."""
+        return stored(rows, name)
 
     def top(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, id, score) of the k best by BM25 alone; ties to the smaller id."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import finite_rounded, percent_text, rounded, run_name_parts, score_band
-from ..operators import runs
+from ..operators import moments, runs
+from ..sources.logs import first_log, read_logs, run_order, track_scores, write_logs
+from ..sources.shared import shared_dir
 from ..sources.tables import read_table
 from .registry import query, rounded_sql
 
@@ -259,3 +263,58 @@ def verdict_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = scores(spark, sf_dir).groupBy("run").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds])
     share = F.coalesce(F.col("v") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     return x.unpivot(["run", "n"], kinds, "kind", "v").select("run", "kind", rounded(share).alias("share"))
+
+
+@query(f"""WITH {S} SELECT track, item, count(composite) AS n, {rounded_sql('avg(composite)')} AS mean, {rounded_sql('coalesce(stddev_samp(composite), 0)')} AS sigma, {rounded_sql('max(composite) - min(composite)')} AS spread
+FROM s GROUP BY track, item HAVING count(composite) > 0""")
+def merged_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments of each run's scores, merged over runs."""
+    parts = moments.moments(scores(spark, sf_dir), ["run", "track", "item"], "composite")
+    return rounded_columns(moments.spread(moments.merged(parts, ["track", "item"])).select("track", "item", "n", "mean", "sigma", "spread"), "mean", "sigma", "spread")
+
+
+@query("""SELECT share, l_returnflag, CAST(n AS BIGINT) AS n, v AS value FROM (SELECT l_returnflag, l_extendedprice AS v, count(*) OVER (PARTITION BY l_returnflag) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS r FROM lineitem),
+  (VALUES (0.25::DOUBLE), (0.9::DOUBLE)) AS q(share) WHERE r = least(floor(n * share), n - 1)""")
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of three keys that hold all lines."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    found = [runs.selected(lines, "l_returnflag", "l_extendedprice", share).select(F.lit(share).alias("share"), "l_returnflag", "n", "value") for share in (0.25, 0.9)]
+    return found[0].unionByName(found[1])
+
+
+LOGGED = f"""{S}, lg AS (SELECT run, replace(track, ' ', '-') || CASE WHEN track LIKE '1%' THEN '_synthesis_' ELSE '' END || version || '.eval' AS file, track, version, CASE WHEN count(*) > 40 THEN 'full' ELSE 'smoke' END AS mode, strftime(max(ts), '%Y-%m-%d') AS created,
+  item, avg(composite) AS composite, sum(n) AS n, sum(valid) AS valid, sum(fabricated) AS fabricated, sum(unsupportive) AS unsupportive FROM s GROUP BY run, track, version, item)"""
+
+
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of all scores, a run a folder and a track a container, written and read again."""
+    rows = scores(spark, sf_dir).groupBy("run", "track", "version", "item").agg(
+        F.avg("composite").alias("composite"), *[F.sum(c).alias(c) for c in ("n", "valid", "fabricated", "unsupportive")], F.date_format(F.max("ts"), "yyyy-MM-dd").alias("created"), F.count("*").alias("lines"),
+    )
+    name = F.concat(F.replace("track", F.lit(" "), F.lit("-")), F.when(F.col("track").startswith("1"), "_synthesis_").otherwise(""), "version", F.lit(".eval"))
+    rows = rows.select("run", name.alias("file"), "track", "version", F.when(F.col("lines") > 40, "full").otherwise("smoke").alias("mode"), "created", F.col("item").alias("place"), F.concat(F.lit("item-"), F.col("item").cast("string")).alias("sample"), "composite", "n", "valid", "fabricated", "unsupportive")
+    # A container has one time and mode: those of its first sample.
+    path = f"{shared_dir(spark)}/lectern/logs-{uuid.uuid4().hex}"
+    write_logs(rows, path)
+    return read_logs(spark, path)
+
+
+@query(f"""WITH {LOGGED} SELECT run, track, 'item-' || item AS item, {rounded_sql('composite')} AS composite, CAST(n AS BIGINT) AS n, CAST(valid AS BIGINT) AS valid, CAST(fabricated AS BIGINT) AS fabricated, CAST(unsupportive AS BIGINT) AS unsupportive, version FROM lg WHERE composite IS NOT NULL""")
+def log_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = track_scores(logged(spark, sf_dir)).select("run", "track", "item", "composite", "n", "valid", "fabricated", "unsupportive", "version")
+    return rounded_columns(rows, "composite")
+
+
+@query(f"""WITH {LOGGED}, f AS (SELECT run, file, arg_min(created, item) AS created, any_value(version) AS version, count(*) AS samples FROM lg GROUP BY run, file)
+SELECT CAST(row_number() OVER (ORDER BY min(created), run) - 1 AS INT) AS idx, run, min(created) AS started, string_agg(DISTINCT version, '/' ORDER BY version) AS versions, CAST(sum(samples) AS BIGINT) AS samples FROM f GROUP BY run""")
+def log_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in the order of their earliest time."""
+    return run_order(logged(spark, sf_dir)).select("idx", "run", "started", "versions", "samples")
+
+
+@query(f"""WITH {LOGGED}, f AS (SELECT run, min(file) AS file FROM lg WHERE file LIKE '%\\_synthesis\\_%' ESCAPE '\\' GROUP BY run)
+SELECT lg.run, lg.file, 'item-' || item AS sample, CAST(item AS BIGINT) AS place FROM lg JOIN f ON lg.run = f.run AND lg.file = f.file""")
+def log_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of each run's first synthesis container."""
+    found = first_log(logged(spark, sf_dir))
+    return found.select("run", "file", "sample", F.get_json_object("sample_metadata", "$.place").cast("long").alias("place"))

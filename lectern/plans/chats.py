@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import rounded
+from ..operators import framing, numbering
 from ..operators import sessions as ses
 from ..operators.catalog import latest_of
 from ..sources.tables import read_table, upsert
@@ -96,6 +97,44 @@ def ndjson_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ses.ndjson_frames(text, "session", "s")
 
 
+LONG_SQL = """lg AS (SELECT CAST(user_id % 3 AS BIGINT) AS stream, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS BIGINT) AS seq, event_id, event_type, props, CAST(event_id % 37 AS INT) AS item FROM events)"""
+
+
+def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in three sessions, numbered in two levels."""
+    e = read_table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("long").alias("stream"), "ts", "event_id", "event_type", "props", (F.col("event_id") % 37).cast("int").alias("item"))
+    return numbering.numbered(e, "stream", ["ts", "event_id"])
+
+
+@query(f"WITH {LONG_SQL} SELECT stream, event_id, seq FROM lg")
+def long_session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_sessions(spark, sf_dir).select("stream", "event_id", "seq")
+
+
+@query(f"""WITH {LONG_SQL} SELECT stream, event_id, CAST(sum(fresh) OVER (PARTITION BY stream ORDER BY seq) AS BIGINT) AS sources FROM (SELECT stream, event_id, seq, CASE WHEN row_number() OVER (PARTITION BY stream, item ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM lg)""")
+def long_session_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.seen_so_far(long_sessions(spark, sf_dir), "stream", "item", ["seq"]).select("stream", "event_id", "sources")
+
+
+def pieces(spark: SparkSession, sf_dir: str, frame) -> DataFrame:
+    """A stream's text in pieces: each frame is cut at some place, and its end comes with the next piece."""
+    rows = long_sessions(spark, sf_dir).withColumn("frame", frame)
+    cut = (F.col("event_id") % F.length("frame")).cast("int")
+    ends = F.array(F.struct(F.lit(0).alias("k"), F.substring(F.col("frame"), F.lit(1), cut).alias("piece")), F.struct(F.lit(1).alias("k"), F.substring(F.col("frame"), cut + 1, F.length("frame")).alias("piece")))
+    return rows.select("stream", "seq", F.explode(ends).alias("e")).select("stream", (F.col("seq") * 2 + F.col("e.k")).alias("at"), "e.piece")
+
+
+@query(f"WITH {LONG_SQL} SELECT stream, CAST(seq - 1 AS INT) AS ord, event_type AS event, props AS data FROM lg")
+def sse_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long streams, in pieces that end anywhere."""
+    return framing.sse_frames(pieces(spark, sf_dir, ses.sse_encoded(F.col("event_type"), F.col("props"))), "stream", "at", "piece")
+
+
+@query(f"WITH {LONG_SQL} SELECT stream, CAST(seq - 1 AS INT) AS ord, props AS line FROM lg")
+def ndjson_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.ndjson_lines(pieces(spark, sf_dir, F.concat("props", F.lit("\n"))), "stream", "at", "piece")
+
+
 @query(f"""WITH {E_SQL} SELECT event, count(*) AS n, {rounded_sql('sum(CASE WHEN event = $$text$$ THEN value ELSE 0 END)', 4)} AS text_value, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS INT) > 50) AS large FROM ev GROUP BY event""".replace("$$", "'"))
 def event_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("int")

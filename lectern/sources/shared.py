@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to a table in the shared folder and read back: what several parts of a plan read is computed once, and survives its executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -91,12 +91,76 @@ def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, part
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
 
 
+def numbered_batches(stream: DataFrame, path: str, checkpoint: str, keep: str = "30 days", parts: int = 64):
+    """Number the items of each session of a stream (session, seq, item, ts) as they are first seen, with the state in a table.
+
+    ``numbers`` reads what has been numbered. A batch reads the state that the batches before it left and writes under its own
+    number the new rows and the parts of the state that it touches: one that runs again writes the same, so that each item is numbered once.
+    A session leaves the state when its part is written and its last event is older than ``keep`` before the newest of the batch;
+    if it comes back after that, it begins with 1 again. Rows of a batch are ordered by seq, ties by item, before they count.
+    """
+    from ..operators.sessions import marker_registry, resumed_markers
+    from ..sources.shared import stored
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = stored(batch.select("session", "seq", "item", "ts").withColumn("part", F.pmod(F.xxhash64("session"), F.lit(parts)).cast("int")), "batch")
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]
+        if not touched:
+            return
+        oldest = rows.agg(F.max("ts")).first()[0]
+        seen = rows.groupBy("session").agg(F.max("ts").alias("__ts"))
+        kept = _state(spark, f"{path}/state", number)
+        kept = None if kept is None else kept.where(F.col("part").isin(touched)).where(F.col("ts") >= F.lit(oldest) - F.expr(f"INTERVAL {keep}"))
+        fresh = marker_registry(rows) if kept is None else resumed_markers(rows, kept)
+        fresh = stored(fresh.select("session", "item", "marker"), "fresh")
+        fresh.write.mode("overwrite").parquet(f"{path}/numbers/batch={number}")
+        state = fresh.join(seen, "session").select("session", "item", "marker", F.col("__ts").alias("ts"))
+        if kept is not None:
+            old = kept.join(seen, "session", "left").select("session", "item", "marker", F.greatest("ts", "__ts").alias("ts"))
+            state = state.unionByName(old)
+        state = state.withColumn("part", F.pmod(F.xxhash64("session"), F.lit(parts)).cast("int"))
+        state = state.unionByName(_mark(spark, touched))  # a part that all sessions have left still has a newest version
+        state.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/state/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def _mark(spark: SparkSession, touched: list[int]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in touched], "part int").select(
+        F.lit(None).cast("long").alias("session"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("int").alias("marker"), F.lit(None).cast("timestamp").alias("ts"), "part"
+    )
+
+
+def _state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The state of markers that batches before a number left; None before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place) or before is not None and not any(int(f.getPath().getName()[6:]) < before for f in files.listStatus(place) if f.getPath().getName().startswith("batch=")):
+        return None
+    return _newest_parts(spark, path, before).drop("batch").where("marker IS NOT NULL")
+
+
+def numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(session, item, marker) that ``numbered_batches`` has given."""
+    return spark.read.parquet(f"{path}/numbers").select("session", "item", "marker")
+
+
+def marker_state(spark: SparkSession, path: str) -> DataFrame:
+    """(session, item, marker, ts) of the sessions that are in the state now."""
+    return _state(spark, f"{path}/state").drop("part")
+
+
 def dropped_versions(spark: SparkSession, path: str) -> int:
-    """Delete versions of parts that newer ones replace, and return how many; to be run between batches."""
-    found = spark.read.parquet(path).select("part", "batch").distinct().collect()
-    newest = {part: max(b for p, b in found if p == part) for part, _ in found}
+    """Delete versions of parts that newer ones replace, and return how many; to be run between batches.
+
+    Versions are compared by Spark, from the folders' names alone; the driver gets those to be deleted.
+    """
+    found = spark.read.parquet(path).select("part", "batch").distinct()
+    newest = found.groupBy("part").agg(F.max("batch").alias("__newest"))
     files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [(part, b) for part, b in found if b < newest[part]]
-    for part, b in old:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}/part={part}"), True)
-    return len(old)
+    n = 0
+    for r in found.join(newest, "part").where("batch < __newest").select("part", "batch").toLocalIterator():
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={r['batch']}/part={r['part']}"), True)
+        n += 1
+    return n
