@@ -143,12 +143,17 @@ def _search_block(axes: np.ndarray, k: int, bound: float):
         if len(asked) and len(held):
             raw = np.stack(held["embedding"].to_list()).astype(np.float64)
             units, points, ids, least = _units(raw), _project(raw, axes), held["vid"].to_numpy(), held["least"].to_numpy()
+            # A leaf's points stand together, so that those of a whole leaf are a view.
             leaves = _leaves(points)
-            low, high = np.array([points[x].min(0) for x in leaves]), np.array([points[x].max(0) for x in leaves])
+            cuts = np.cumsum([0] + [len(x) for x in leaves]).tolist()
+            order = np.concatenate(leaves)
+            raw, units, points, ids, least = raw[order], units[order], points[order], ids[order], least[order]
+            low, high = (np.array([f(points[i:j], axis=0) for i, j in zip(cuts, cuts[1:])]) for f in (np.min, np.max))
             queries = np.stack(asked["embedding"].to_list()).astype(np.float64)
             near_to, unit = _project(queries, axes), _units(queries)
             with np.errstate(over="ignore"):
                 norms, whole = np.sqrt((raw * raw).sum(1)), np.sqrt((queries * queries).sum(1))
+                plain = np.isfinite(norms.max() * whole) & (norms.min() * whole > 0)
             # A distance from an earlier search bounds this one; a little slack covers rounding.
             reach = asked["reach"].to_numpy(np.float64)
             for q, qid in enumerate(asked["vid"].to_list()):
@@ -160,12 +165,19 @@ def _search_block(axes: np.ndarray, k: int, bound: float):
                 for leaf in np.argsort(gap, kind="stable"):
                     if gap[leaf] > bound * worst + 1e-9:
                         break
-                    at = leaves[leaf]
-                    d = points[at] - p
-                    at = at[(d * d).sum(1) <= bound * worst + 1e-9]
+                    i, j = cuts[leaf], cuts[leaf + 1]
+                    d = points[i:j] - p
+                    at = i + np.flatnonzero(np.einsum("ij,ij->i", d, d) <= bound * worst + 1e-9)
                     if not len(at):
                         continue
-                    best, score = np.concatenate([best, at]), np.concatenate([score, _cosines(raw[at], norms[at], units[at], queries[q], whole[q], unit[q])])
+                    rows = raw[i:j] if len(at) == j - i else raw[at]
+                    got = rows @ queries[q] / (norms[at] * whole[q]) if plain[q] else _cosines(rows, norms[at], units[at], queries[q], whole[q], unit[q])
+                    if len(best) >= k:
+                        near = np.flatnonzero(got >= 1 - worst / 2 - SLACK)
+                        if not len(near):
+                            continue
+                        at, got = at[near], got[near]
+                    best, score = np.concatenate([best, at]), np.concatenate([score, got])
                     if len(best) >= k:
                         last = np.partition(score, -k)[-k] - SLACK
                         best, score = best[score >= last], score[score >= last]
