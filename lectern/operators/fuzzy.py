@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from .citations import corpus_lookup, verdict_of
 
 #: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), and passages of a block.
 WORD, LANE, STATE, BLOCK = 64, 1024, 16_384, 64
+#: Characters of the passages that a task holds at once.
+SLICE = 1 << 23
+
 
 def _common(masks: dict[str, int], width: int, text: str) -> int:
     """Length of the longest common subsequence, a bit a character of the shorter string."""
@@ -164,10 +168,22 @@ def _matches(passages: list[str], texts: list[str], threshold: float) -> Iterato
 def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(passage_id, doc_id, score) of documents whose best window is at least ``threshold`` like the passage, of whatever length either is.
 
-    The passages are a set of questions that the driver holds: each is compared with all documents,
-    in blocks where the documents are read, so that the work is passages times documents.
+    The passages are a stated set of questions, each compared with all documents in blocks where these are read, so that the
+    work is passages times documents and neither texts nor pairs are shuffled. They are handled in slices of about ``SLICE`` characters, so that
+    driver and tasks hold one slice at a time. Null and blank passages have no rows; a null text holds nothing.
     """
-    asked = [(r["passage_id"], p) for r in passages.select("passage_id", "passage").collect() if (p := (r["passage"] or "").strip())]
+    known = passages.select("passage_id", "passage").where(F.trim("passage") != "")
+    size = known.agg(F.sum(F.length("passage"))).first()[0] or 0
+    docs, slices, out = spread(docs.select("doc_id", "text")), -(-size // SLICE) or 1, None
+    for k in range(slices):
+        own = known if slices == 1 else known.where(F.pmod(F.xxhash64("passage_id", "passage"), F.lit(slices)) == k)
+        found = _held_against(docs, [(r["passage_id"], p) for r in own.collect() if (p := r["passage"].strip())], threshold)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _held_against(docs: DataFrame, asked: list[tuple[int, str]], threshold: float) -> DataFrame:
+    """(passage_id, doc_id, score) of one slice of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +192,7 @@ def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85
             columns = zip(*got) if got else ([], [], [])
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["passage_id", "doc_id", "score"])
 
-    # A text is work for seconds where there are many passages, so that texts are dealt evenly.
-    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    return docs.select("doc_id", "text").repartition(parts).mapInArrow(run, "passage_id long, doc_id long, score double")
+    return docs.mapInArrow(run, "passage_id long, doc_id long, score double")
 
 
 def _located(passage: str, text: str, body: str, threshold: float) -> float:

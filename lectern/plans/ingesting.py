@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, ingest
-from ..sources.shared import spread
+from ..sources.pages import PageStore
+from ..sources.shared import shared_dir, spread
 from ..sources.tables import read_table
 from ..streaming.jobs import tumbling
 from .registry import query, tokens_sql
@@ -21,6 +24,18 @@ def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", ingest.page_meta(F.col("html")).alias("m")).select("page_id", "m.*")
 
 
+@query("""SELECT url || '#' || page_id AS url, CASE WHEN page_id % 5 = 0 THEN 2 WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS batch, page_id % 5 <> 0 OR page_id % 2 = 0 AS changed,
+  CAST(length(html) + CASE WHEN page_id % 10 = 0 THEN 4 ELSE 0 END AS BIGINT) AS n_chars FROM pages WHERE url IS NOT NULL AND html IS NOT NULL""")
+def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site is read in two runs, the second of what the first lacks, and a fifth of it is read anew, half of that changed."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), "html")
+    store = PageStore(spark, f"{shared_dir(spark)}/lectern/pages-{uuid.uuid4().hex}")
+    store.put(pages.where("page_id % 3 <> 0"), 0)
+    store.put(pages.join(store.missing(pages.select("url")), "url", "left_semi"), 1)
+    store.put(pages.where("page_id % 5 = 0").withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit(" new"))).otherwise(F.col("html"))), 2)
+    return store.urls().join(store.pages(), "url").select("url", "batch", "changed", F.length("html").cast("long").alias("n_chars"))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a data script made of their own title, heading and url; every fifth one's is broken, every seventh has none."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1).alias("t"), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h"))

@@ -63,7 +63,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """Documents as JSON, and beside them the manifest without their texts; what was there before goes."""
+    """Documents as JSON, and beside them the manifest without their texts, both in the order of urls over all files; what was there before goes."""
+    docs = docs.repartitionByRange("url").sortWithinPartitions("url")
     docs.write.mode("overwrite").json(f"{path}/documents")
     manifest = docs.select("url", "category", "type", "title", F.transform("authors", lambda a: a["name"]).alias("authors"), "publishedAt", "wordCount")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
