@@ -87,14 +87,27 @@ def token_length_table(docs: DataFrame, text_col: str = "text", ranks: str = RAN
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(limit, total) for any limits, from ``suffix_sums``: the sum of min(length, limit).
+    """(limit, total) for any limits, from ``suffix_sums``: the sum of min(length, limit); no rows without documents.
 
-    Sums over the lengths above a limit: total - sum of (length - limit).
+    One row answers a limit: of the lengths up to it the greatest, whose ``truncated`` grows by one token a step for each document
+    that is longer. Limits under the least length cost each document the limit. Limits and lengths are put in one order in blocks of
+    lengths; a block without a length of its own up to a limit looks at the last of those before.
     """
     spark = sums.sparkSession
-    asked = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "limit long"))
-    cost = F.col("docs") * F.least("n_tokens", "limit")
-    return sums.select("n_tokens", "docs").join(asked, F.lit(True)).groupBy("limit").agg(F.sum(cost).alias("total"))
+    asked = spark.createDataFrame([(int(x),) for x in dict.fromkeys(limits)], "limit long")
+    answer = F.struct("n_tokens", "truncated", "cut")
+    rows = sums.select("n_tokens", F.floor(F.col("n_tokens") / BLOCK).alias("block"), answer.alias("own"))
+    last = rows.groupBy("block").agg(F.max("own").alias("last"))  # a row per 1,024 lengths
+    wanted = asked.withColumn("block", F.floor(F.col("limit") / BLOCK))
+    inside = wanted.join(rows, "block").where(F.col("n_tokens") <= F.col("limit")).groupBy("limit").agg(F.max("own").alias("inside"))
+    order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = last.unionByName(wanted.select("block", F.lit(None).cast(last.schema["last"].dataType).alias("last")).distinct()).groupBy("block").agg(F.max("last").alias("last"))
+    before = blocks.select("block", F.last("last", ignorenulls=True).over(order).alias("before"))
+    every = sums.agg(F.max("docs_from").alias("all"))
+    found = wanted.join(before, "block").join(inside, "limit", "left").join(F.broadcast(every), F.lit(True)).where("all IS NOT NULL")
+    at = F.coalesce("inside", "before")
+    total = F.when(at.isNull(), F.col("all") * F.col("limit")).otherwise(at["truncated"] + at["cut"] * (F.col("limit") - at["n_tokens"]))
+    return found.select("limit", total.alias("total"))
 
 
 def length_quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
