@@ -43,6 +43,7 @@ def collapse(text: Column) -> Column:
 
 def strip_markdown(text: Column) -> Column:
     """Plain words of markdown: code and images go, links leave their labels, marks become spaces."""
+    # The patterns and their order.
     return collapse(
         _each(
             text, ("(?s)```.*?```", " "), (r"`[^`\n]+`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"\[\^[^\]]+\]", ""), ("[#>*_~]", " ")
@@ -52,6 +53,7 @@ def strip_markdown(text: Column) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Markdown without inline directives, with plain newlines and spaces and at most one blank line."""
+    # The patterns and their order.
     made = _each(text, (r":inline-(?:graphic|quote)\{[^}]*\}", ""), (r"(?m)^[ \t]+$", ""), ("\u00a0", " "), ("\r\n", "\n"), (r"\n{3,}", "\n\n"))
     return F.regexp_replace(made, r"^\s+|\s+$", "")
 
@@ -111,6 +113,7 @@ def looks_like_references(text: Column, section: Column) -> Column:
     for name in REFERENCE_SECTIONS[1:]:
         by_name = by_name | named.contains(name)
     counted = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    # The patterns and how often each must occur.
     return (
         by_name | (counted(r"\[\^[\w-]+\]") >= 3) | (counted(r"https?://\S+") >= 4) | (counted(r"(?i)arxiv|doi|forum\.effectivealtruism|lesswrong") >= 3)
     )

@@ -108,6 +108,7 @@ def phrases_of(clean: str, least: int = 12) -> list[tuple[str, str]]:
     snippet's own start and end. Phrases have at least three words and ten characters; where there is
     none, the snippet's first six words are tried.
     """
+    # The characters and words that sentences and phrases must have, and how many phrases there are.
     if len(clean) < least:
         return []
     lines = [s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", clean)) if s]

@@ -21,6 +21,7 @@ HEDGE_GROUPS = (
 )
 # Fixed value: the grammar of numbers in answers.
 NUMBER = r"(?i)(-)?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%|x|×|fold|-fold|percent|percentage\s+points?|trillion|billion|million)?"
+# What words after a number multiply it by.
 SCALES = {"trillion": 1e12, "billion": 1e9, "million": 1e6}
 
 
