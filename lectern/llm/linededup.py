@@ -27,7 +27,9 @@ from .shared import bitmap_table, discard, filter_bit, settled
 
 def _numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, version, no, line) of all lines but blank ones; version tells texts of one doc_id apart."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    # The text is hashed and parted once; beside the lines' own generator the hash would be made for each of them.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "version", F.posexplode("lines").alias("no", "line"))
     return rows.where(F.col("line").rlike(r"[^ \t\r]"))
 
 
