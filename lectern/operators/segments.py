@@ -1,6 +1,6 @@
 """A search index of immutable segments: documents come, go and are replaced without indexing the others anew.
 
-A segment is a folder of tables: its documents, postings in the order of terms, the greatest frequency and least
+A segment is a folder of tables: its documents, postings in runs in the order of terms, the greatest frequency and least
 length of each term's postings in each block of documents, and n-grams of heads. A version lists the segments and what has been dropped from
 them; it is written whole, under the next number, so that a reader sees one version or the other. Counts of the corpus are
 sums over segments less those of dropped documents, and so equal those of an index built anew.
@@ -12,14 +12,17 @@ are never read. The ranks are those of scoring everything.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PERSON_TERMS, looks_like_references
 from ..functions.values import rounded
 from ..sources.shared import shared_dir, spread, stored
-from .index import postings
+from .index import RUN, counted, postings, runs_of, token_counts, weighed
 from .search import FEW, K1, PEOPLE_FACTOR, PER_URL, REFERENCE_FACTOR, TITLE_BONUS, B, asked_terms
 
 #: Documents of a block, blocks of a query that are scored first, and segments of like size that are merged into one.
@@ -33,14 +36,40 @@ TABLES = ("documents", "postings", "blocks", "terms", "grams")
 _STORED: dict[tuple, str] = {}
 
 
-def grams_of(text: Column) -> Column:
-    """The different n-grams of a text, of each length."""
+def block_maxima(documents: DataFrame) -> DataFrame:
+    """(term, block, n, tf, dl, tokens) of documents (ord, text): number, greatest count and least length of a term's postings, a row for each run that has documents of the block."""
+    size = BLOCK
 
-    def of(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ords = batch.column(0).to_numpy()
+            for first, texts in runs_of(batch.column(1)):
+                terms, term, at, n, dl = token_counts(texts)
+                if not len(term):
+                    continue
+                block = ords[first + at] // size
+                order = np.lexsort((block, term))
+                term, block, n, dl = term[order], block[order], n[order], dl[at[order]]
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)]))
+                sums = [np.diff(np.append(starts, len(term))), np.maximum.reduceat(n, starts), np.minimum.reduceat(dl, starts), np.add.reduceat(n, starts)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                columns = [terms.take(pa.array(term[starts])), pa.array(block[starts], pa.int64()), *(pa.array(c, k) for c, k in zip(sums, kinds))]
+                yield pa.record_batch(columns, names=["term", "block", "n", "tf", "dl", "tokens"])
 
-    return F.array_distinct(F.concat(*map(of, GRAMS)))
+    return documents.select("ord", "text").mapInArrow(run, "term string, block long, n long, tf long, dl int, tokens long")
+
+
+def grams(documents: DataFrame) -> DataFrame:
+    """(gram, ord) of the different n-grams of heads (ord, hay), in runs in the order of n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, heads in runs_of(batch.column(1), RUN >> 4):
+                parts = [[h[i : i + n].encode() for n in GRAMS for i in range(len(h) - n + 1)] for h in heads]
+                made, gram, at, _, _ = counted(parts)
+                yield pa.record_batch([made.take(pa.array(gram)), batch.column(0).take(pa.array(first + at))], names=["gram", "ord"])
+
+    return documents.select("ord", "hay").where(F.col("hay") != "").mapInArrow(run, "gram string, ord long")
 
 
 def weight(idf: Column, tf: Column, dl: Column, mean: Column) -> Column:
@@ -106,23 +135,22 @@ class Segments:
 
     # Writing
 
-    def _write(self, documents: DataFrame, posts: DataFrame, name: str) -> dict:
-        """The tables of a segment, from its documents (as stored) and postings (term, ord, dl, tf)."""
+    def _write(self, documents: DataFrame, name: str) -> dict:
+        """The tables of a segment, from its documents (as stored).
+
+        Texts are counted in the tasks that read them, in runs in the order of terms, so that postings are neither shuffled
+        nor sorted: files have as many runs as texts fill, and a search skips the pages of a run that lack its terms.
+        """
         place = f"{self.path}/segments/{name}"
         documents.write.parquet(f"{place}/documents")
-        stored = self._table(name, "documents")
-        if posts is None:
-            posts = postings(spread(stored.select("ord", "text")), "ord")
-        posts = posts.select("term", F.floor(F.col("ord") / BLOCK).alias("block"), "ord", "dl", "tf")
-        posts.repartitionByRange("term", "ord").sortWithinPartitions("term", "ord").write.parquet(f"{place}/postings")
-        posts = self._table(name, "postings")
-        blocks = posts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.sum("tf").alias("tokens"))
-        blocks.sortWithinPartitions("term").write.parquet(f"{place}/blocks")
+        texts = spread(self._table(name, "documents"))
+        postings(texts, "ord").select("term", F.floor(F.col("ord") / BLOCK).alias("block"), "ord", "dl", "tf").write.parquet(f"{place}/postings")
+        block_maxima(texts).write.parquet(f"{place}/blocks")
         blocks = self._table(name, "blocks")
         blocks.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{place}/terms")
-        heads = stored.where(F.col("hay") != "").select("ord", F.explode(grams_of(F.col("hay"))).alias("gram"))
-        heads.repartitionByRange("gram", "ord").sortWithinPartitions("gram", "ord").write.parquet(f"{place}/grams")
-        return {"segment": name, "records": stored.count(), "tokens": blocks.agg(F.sum("tokens")).first()[0] or 0, "drops": [], "gone": 0, "gone_tokens": 0}
+        grams(texts).write.parquet(f"{place}/grams")
+        records = self._table(name, "documents").count()
+        return {"segment": name, "records": records, "tokens": blocks.agg(F.sum("tokens")).first()[0] or 0, "drops": [], "gone": 0, "gone_tokens": 0}
 
     def _documents(self, chunks: DataFrame) -> DataFrame:
         have = set(chunks.columns)
@@ -137,7 +165,7 @@ class Segments:
     def add(self, chunks: DataFrame) -> None:
         """A segment of new chunks; their ids must not be in the index."""
         seen = self.version()
-        made = self._write(self._documents(spread(chunks)), None, uuid.uuid4().hex)
+        made = self._write(self._documents(spread(chunks)), uuid.uuid4().hex)
         self._commit([*self.segments(seen), made], seen)
 
     def _drops(self, ids: DataFrame, segments: list[dict]) -> list[dict]:
@@ -152,8 +180,8 @@ class Segments:
             if not (n := gone.count()):
                 out.append(s)
                 continue
-            terms = self._table(s["segment"], "postings").join(gone, "ord", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens"))
-            terms.write.parquet(f"{place}/terms")
+            texts = self._table(s["segment"], "documents").select("ord", "text").join(gone, "ord", "left_semi")
+            block_maxima(texts).groupBy("term").agg(F.sum("n").alias("df"), F.sum("tokens").alias("tokens")).write.parquet(f"{place}/terms")
             tokens = self.spark.read.parquet(f"{place}/terms").agg(F.sum("tokens")).first()[0] or 0
             out.append(s | {"drops": [*s["drops"], name], "gone": s["gone"] + n, "gone_tokens": s["gone_tokens"] + tokens})
         return out
@@ -166,12 +194,12 @@ class Segments:
     def replace(self, chunks: DataFrame) -> None:
         """New chunks in place of those with their ids, in one version; chunks with new ids are added."""
         seen = self.version()
-        made = self._write(self._documents(spread(chunks)), None, uuid.uuid4().hex)
+        made = self._write(self._documents(spread(chunks)), uuid.uuid4().hex)
         ids = self._table(made["segment"], "documents").select("id")
         self._commit([*self._drops(ids, self.segments(seen)), made], seen)
 
     def merge(self, factor: int = MERGE) -> None:
-        """Merge segments of like size, from ``factor`` of one power of it on, into one without what was dropped; texts are not parted again.
+        """Merge segments of like size, from ``factor`` of one power of it on, into one without what was dropped; texts are counted anew, which takes less than moving their postings.
 
         A segment that has lost more than half of its documents counts as smaller, and so is merged sooner.
         """
@@ -183,15 +211,8 @@ class Segments:
                 live, tier = live // factor, tier + 1
             tiers.setdefault(tier, []).append(s)
         for group in [g for g in tiers.values() if len(g) >= factor]:
-            old = self._live(self._every("documents", group), group)
-            name = uuid.uuid4().hex
-            # New ordinals are given once, in a table that both documents and postings are read from.
-            moved = f"{self.path}/segments/{name}/moved"
-            old.select("segment", "ord").withColumn("new", F.monotonically_increasing_id()).write.parquet(moved)
-            places = self.spark.read.parquet(moved)
-            documents = self._every("documents", group).join(places, ["segment", "ord"]).drop("segment", "ord").withColumnRenamed("new", "ord")
-            posts = self._every("postings", group).join(places, ["segment", "ord"]).select("term", F.col("new").alias("ord"), "dl", "tf")
-            made = self._write(documents, posts, name)
+            old = self._live(self._every("documents", group), group).drop("segment").withColumn("ord", F.monotonically_increasing_id())
+            made = self._write(old, uuid.uuid4().hex)
             gone = {s["segment"] for s in group}
             now = [s for s in now if s["segment"] not in gone] + [made]
         self._commit(now, seen)
@@ -214,7 +235,7 @@ class Segments:
             counts = counts.where(terms)
         n = self.statistics(now)[0]
         sums = counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        return sums.select("term", "df", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        return weighed(sums, F.lit(n))
 
     def head_hits(self, terms: DataFrame, segments: list[dict] | None = None) -> DataFrame:
         """(segment, ord, term) of live documents whose head contains a term (column term, in lower case), even within a word.
@@ -225,11 +246,13 @@ class Segments:
         terms = terms.select("term").where(F.length("term") > 0).distinct()
         size = F.least(F.length("term"), F.lit(GRAMS[-1]))
         own = terms.select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substring(F.col("term"), i, size)))).alias("gram"))
-        grams = self._every("grams", now)
+        table = self._every("grams", now)
         asked = own.select("gram").distinct()
-        counts = grams.join(F.broadcast(asked) if asked.limit(FEW + 1).count() <= FEW else asked, "gram").groupBy("gram").agg(F.count("*").alias("n"))
+        few = asked.limit(FEW + 1).count() <= FEW
+        counts = table.join(F.broadcast(asked) if few else asked, "gram").groupBy("gram").agg(F.count("*").alias("n"))
         rare = own.join(counts, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-        found = grams.join(rare, "gram").select("segment", "ord", "term")
+        # Each term has one rarest n-gram, so that few n-grams have few rows here as well.
+        found = table.join(F.broadcast(rare) if few else rare, "gram").select("segment", "ord", "term")
         heads = self._every("documents", now).select("segment", "ord", "hay")
         return self._live(found, now).join(heads, ["segment", "ord"]).where(F.col("hay").contains(F.col("term"))).select("segment", "ord", "term")
 
@@ -265,7 +288,9 @@ class Segments:
         blocks = blocks if only is None else blocks.where(only)
         n, tokens = self.statistics(now)
         most = weight(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(tokens / max(n, 1)))
-        return blocks.join(asked, "term").groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"), F.sum("n").alias("n"))
+        # A block whose documents came in two runs has two rows a term.
+        whole = blocks.join(asked, "term").groupBy("query_id", "segment", "block", "term", "idf").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+        return whole.groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"), F.sum("n").alias("n"))
 
     def _in_two(self, bounds: DataFrame, scored, least) -> tuple[DataFrame, DataFrame]:
         """(scored rows of the first blocks and of those others that could matter, the blocks that were read).
