@@ -170,14 +170,17 @@ SELECT query_id, '# Search results for: "' || query || '"' || chr(10) || chr(10)
 def search_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_table(spark, sf_dir)
     found = corpus(spark, sf_dir, "chunk_id").ranked(asked(spark), 6).select("query_id", F.col("rank").alias("marker"), "chunk_id")
-    rows = found.join(chunks.select("chunk_id", "title", F.array_join("authors", ", ").alias("authors"), "section", "url", "text"), "chunk_id").join(asked(spark), "query_id")
+    # Six rows a stated query are found: they go to the texts, and no text is shuffled.
+    rows = chunks.select("chunk_id", "title", F.array_join("authors", ", ").alias("authors"), "section", "url", "text").join(F.broadcast(found), "chunk_id").join(asked(spark), "query_id")
     return search.formatted_results(rows)
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents), n AS (SELECT count(*) AS total FROM documents)
 SELECT term, count(*) AS df, {rounded_sql('ln(1 + (any_value(total) - count(*) + 0.5) / (count(*) + 0.5))')} AS idf FROM t CROSS JOIN n GROUP BY term""")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).frequencies().withColumn("idf", rounded(F.col("idf")))
+    """Frequencies need no index: they are counted where the texts are read."""
+    docs = read_table(spark, sf_dir, "documents")
+    return index.weighed(index.document_counts(spread(docs.select("text"))), F.lit(docs.count())).withColumn("idf", rounded(F.col("idf")))
 
 
 @query(f"SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS INT) AS dl, unnest(t) AS term FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)) GROUP BY ALL")
