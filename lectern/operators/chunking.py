@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..functions.text import strip_markdown, tokenize
+from .index import runs_of
 
 TARGET, MOST = 800, 1400
 HEADING = re.compile(r"(#{1,6})[^\S\n]+(\S.*|[^\S\n]+.+)")
@@ -64,13 +65,14 @@ def chunk_documents(docs: DataFrame, id_col: str, body_col: str = "body", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                made = chunks_of(text, separator)
-                ids += [row] * len(made)
-                rows += [(k, *c) for k, c in enumerate(made)]
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))]
-            yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), *columns], names=[id_col, *(n for n, _ in OUT)])
+            for first, texts in runs_of(batch.column(1)):
+                ids, rows = [], []
+                for row, text in enumerate(texts, first):
+                    made = chunks_of(text, separator)
+                    ids += [row] * len(made)
+                    rows += [(k, *c) for k, c in enumerate(made)]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))]
+                yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), *columns], names=[id_col, *(n for n, _ in OUT)])
 
     schema = T.StructType([source.schema[0], *(T.StructField(n, t) for n, t in OUT)])
     return source.mapInArrow(run, schema).withColumn("tokens", tokenize(strip_markdown(F.col("text"))))

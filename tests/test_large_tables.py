@@ -1,10 +1,12 @@
 """Steps whose work, memory or shuffles grew faster than their tables."""
 
-from pyspark.sql import DataFrame
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokenize
-from lectern.operators import index, segments
+from lectern.operators import chunking, fuzzy, index, segments
 
 ODD = ["Kelvin K-1 İstanbul x", "it's -- a--b 'q'", "w" * 39 + " " + "v" * 40 + "énd", "", None, "one\u001ctwo three\nfour\x00five", "the the THE The"]
 
@@ -22,7 +24,7 @@ def test_a_segment_is_written_without_ranging_its_postings(spark, tmp_path, monk
     def fail(*_):
         raise AssertionError("postings are shuffled")
 
-    monkeypatch.setattr(DataFrame, "repartitionByRange", fail)
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", fail)
     monkeypatch.setattr(segments, "BLOCK", 8)
     monkeypatch.setattr(index, "RUN", 300)
     monkeypatch.setattr(segments, "runs_of", lambda texts, most=300: index.runs_of(texts, 300))
@@ -36,3 +38,40 @@ def test_a_segment_is_written_without_ranging_its_postings(spark, tmp_path, monk
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, posts.collect()))
     heads = of.head_hits(spark.createDataFrame([("t3",)], "term string"))
     assert heads.count() == len([i for i in range(200) if i % 7 == 3])
+
+
+def test_texts_are_held_in_bounded_runs():
+    texts = pa.array(["a" * n for n in (10, 90, 5, 200, 1, 1)] + [None, ""])
+    runs = list(index.runs_of(texts, 100))
+    assert [(first, [t and len(t) for t in part]) for first, part in runs] == [(0, [10, 90]), (2, [5]), (3, [200]), (4, [1, 1, None, ""])]
+    assert [t for _, part in runs for t in part] == texts.to_pylist()
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 100 for _, part in runs)
+
+
+def test_chunks_come_in_bounded_runs(spark, monkeypatch):
+    """One batch of documents gives chunks of each run before the next one is read."""
+    seen = []
+    monkeypatch.setattr(chunking, "runs_of", lambda texts: (seen.append((first, len(part))) or (first, part) for first, part in index.runs_of(texts, 50)))
+    run = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: run.append(f) or self.withColumn("text", F.lit("")))
+    chunking.chunk_documents(spark.createDataFrame([(1, "a", "b")], "id long, body string, text string"), "id")
+    bodies = [f"# t{i}\n\nbody {i}" for i in range(20)]
+    batch = pa.record_batch([pa.array(range(20), pa.int64()), pa.array(bodies)], names=["id", "body"])
+    made = list(run[0](iter([batch])))
+    assert len(made) > 3 and [i for m in made for i in m.column(0).to_pylist()] == list(range(20)) and sum(n for _, n in seen) == 20
+
+
+def test_passages_are_looked_for_by_classes_of_characters(monkeypatch):
+    """Texts and patterns of a class are shorter by the number of classes: the filter takes fewer steps and misses nothing."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(6)]
+    passages = [" ".join(w for i, w in enumerate(t[500:700].split(" ")) if i % 9 != 4) for t in texts[:3]] + [" ".join(word() for _ in range(30))]
+    read = []
+    least = fuzzy._least
+    monkeypatch.setattr(fuzzy, "_least", lambda pieces, streams, signs: read.append(sum(map(len, streams)) * len(pieces)) or least(pieces, streams, signs))
+    want = {(p, t): s for p, a in enumerate(passages) for t, b in enumerate(texts) if (s := fuzzy.partial_ratio(a, b)) >= 0.85}
+    assert len(want) >= 3 and {(p, t): s for p, t, s in fuzzy._matches(passages, texts, 0.85)} == want
+    parted, read[:] = sum(read), []
+    fuzzy._within(passages, texts, 0.85, 1)
+    assert sum(read[:1]) > 0 and parted < 1.5 * sum(read)
