@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import spread
 from .citations import corpus_lookup, verdict_of
+from .index import runs_of
 
-#: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), and passages of a block.
-WORD, LANE, STATE, BLOCK = 64, 1024, 16_384, 64
+#: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), passages of a block, and classes of characters.
+WORD, LANE, STATE, BLOCK, CLASSES = 32, 2048, 65_536, 64, 3
 #: Characters of the passages that a task holds at once.
 SLICE = 1 << 23
+#: Bytes of the texts that a task compares at once.
+TEXTS = 1 << 20
 
 
 def _common(masks: dict[str, int], width: int, text: str) -> int:
@@ -63,59 +67,91 @@ def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
     return found
 
 
-def _pieces(text: str, budget: int) -> list[tuple[str, int]]:
-    """``text`` in even pieces of at most a machine word, with each one's share of the edits."""
-    m = len(text)
-    count = -(-m // WORD)
-    cuts = [m * i // count for i in range(count + 1)]
-    return [(text[a:b], budget * (b - a) // m) for a, b in zip(cuts, cuts[1:])]
-
-
 def may_hold(patterns: list[str], texts: list[str], threshold: float) -> np.ndarray:
     """Whether a text may have a window at least ``threshold`` like a pattern (a row a pattern, a column a text); none that has is missed.
 
     A window no longer than the pattern that is like enough is made of it by at most (1 - threshold) *
-    2 * (length) insertions and deletions. Of the pattern's pieces, one then has no more than its
-    share, so that its edit distance to some part of the text, which Myers' bit vectors give for all
-    pieces and many texts at once, is within that share.
+    2 * (length) insertions and deletions. Each of these is of one character, so that they are dealt out over classes of
+    characters: with the other classes left out on both sides, the edits of all classes sum to no more. Texts and patterns are both shorter by
+    the number of classes then, and so is the work. What passes is tried again with all characters together.
     """
+    out = _within(patterns, texts, threshold, CLASSES)
+    some, where = np.flatnonzero(out.any(axis=1)), np.flatnonzero(out.any(axis=0))
+    if len(some):
+        out[np.ix_(some, where)] &= _within([patterns[i] for i in some], [texts[t] for t in where], threshold, 1)
+    return out
+
+
+def _within(patterns: list[str], texts: list[str], threshold: float, classes: int) -> np.ndarray:
+    """Whether the least edit distances of a pattern's pieces, of each class of characters, to parts of one stretch of the text sum to no more than its edits."""
     out = np.zeros((len(patterns), len(texts)), bool)
-    cut = [_pieces(p, int((1 - threshold) * 2 * len(p) + 1e-6)) for p in patterns]
-    pieces = [x for c in cut for x in c]
-    if not pieces or not texts:
+    longest = max(map(len, patterns), default=0)
+    if not longest or not texts:
         return out
-    signs = np.unique(np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32))
-    # Pieces end at the highest bit; the bits below them match any character, which lets a match start anywhere. The last row is for characters of no piece.
-    masks = np.zeros((len(signs) + 1, len(pieces)), np.uint64)
-    rows = np.zeros(len(pieces), np.uint64)
-    at = {int(c): i for i, c in enumerate(signs)}
-    for k, (piece, _) in enumerate(pieces):
+    limits = np.array([int((1 - threshold) * 2 * len(p) + 1e-6) for p in patterns])
+    # The commonest characters first, each to the class that has the fewest so far.
+    dealt, sizes = {}, [0] * classes
+    for c, n in Counter("".join(patterns)).most_common():
+        k = min(range(classes), key=sizes.__getitem__)
+        dealt[ord(c)] = k
+        sizes[k] += n
+    # Stretches overlap by the longest window, so that one of them has the whole of it.
+    size = max(LANE, 8 * longest)
+    lanes: list[tuple[int, np.ndarray]] = []
+    for t, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lanes += [(t, codes[i : i + size]) for i in range(0, max(1, len(codes) - longest), size - longest)]
+    signs = np.array(sorted(dealt), np.uint32)
+    every = np.concatenate([c for _, c in lanes])
+    found = np.minimum(np.searchsorted(signs, every), len(signs) - 1).astype(np.int32)
+    found[signs[found] != every] = -1
+    of = np.repeat(np.arange(len(lanes)), [len(c) for _, c in lanes])
+    total = np.zeros((len(lanes), len(patterns)), np.int32)
+    for k in range(classes):
+        own = np.array([dealt[c] == k for c in signs.tolist()])
+        place = np.cumsum(own) - 1
+        # A text's characters that no pattern has are insertions; without them the distance is no greater.
+        kept = (found >= 0) & own[found]
+        streams = np.split(place[found[kept]], np.cumsum(np.bincount(of[kept], minlength=len(lanes)))[:-1])
+        at = {int(c): i for i, c in enumerate(signs[own])}
+        pieces, firsts, whose = [], [], []
+        for p, pattern in enumerate(patterns):
+            held = [at[ord(c)] for c in pattern if ord(c) in at]
+            if held:
+                count = -(-len(held) // WORD)
+                firsts.append(len(pieces))
+                whose.append(p)
+                pieces += [held[len(held) * i // count : len(held) * (i + 1) // count] for i in range(count)]
+        if pieces:
+            total[:, whose] += np.add.reduceat(_least(pieces, streams, int(own.sum())).astype(np.int32), firsts, axis=1)
+    for (t, _), row in zip(lanes, total <= limits):
+        out[:, t] |= row
+    return out
+
+
+def _least(pieces: list[list[int]], streams: list[np.ndarray], signs: int) -> np.ndarray:
+    """The least edit distance of each piece (a column) to any part of each stream (a row), by Myers' bit vectors, of all pieces and many streams at once."""
+    # Pieces end at the highest bit; the bits below them match any character, which lets a match start anywhere. The last row is for places after a stream's end.
+    masks, rows = np.zeros((signs + 1, len(pieces)), np.uint32), np.zeros(len(pieces), np.uint32)
+    for k, piece in enumerate(pieces):
         low = WORD - len(piece)
         rows[k] = ((1 << WORD) - 1) >> low << low
         masks[:, k] = (1 << low) - 1
         for i, c in enumerate(piece):
-            masks[at[ord(c)], k] |= np.uint64(1 << (low + i))
-    sizes = np.array([len(p) for p, _ in pieces], np.int8)
-    limits = np.array([min(e, n) for (_, e), n in zip(pieces, sizes.tolist())], np.int8)
-    firsts = np.cumsum([0] + [len(c) for c in cut[:-1]])
-    lanes: list[tuple[int, np.ndarray]] = []
-    for t, text in enumerate(texts):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        found = np.minimum(np.searchsorted(signs, codes), len(signs) - 1)
-        found = np.where(signs[found] == codes, found, len(signs))
-        # A part that is within its share of edits of a piece has under two words' characters.
-        lanes += [(t, found[i : i + LANE]) for i in range(0, max(1, len(found) - 2 * WORD), LANE - 2 * WORD)]
-    lanes.sort(key=lambda x: -len(x[1]))
+            masks[c, k] |= np.uint32(1 << (low + i))
+    sizes = np.array([len(p) for p in pieces], np.int8)
+    out = np.empty((len(streams), len(pieces)), np.int8)
+    order = sorted(range(len(streams)), key=lambda i: -len(streams[i]))
     width = max(1, STATE // len(pieces))
-    one = np.uint64(1)
-    for i in range(0, len(lanes), width):
-        group = lanes[i : i + width]
+    one = np.uint32(1)
+    for i in range(0, len(order), width):
+        group = order[i : i + width]
         shape = (len(group), len(pieces))
-        codes = np.full((len(group[0][1]), len(group)), len(signs))
-        for j, (_, c) in enumerate(group):
-            codes[: len(c), j] = c
-        up, down = np.broadcast_to(rows, shape).copy(), np.zeros(shape, np.uint64)
-        eq, same, plus, minus = (np.empty(shape, np.uint64) for _ in range(4))
+        codes = np.full((len(streams[group[0]]), len(group)), signs)
+        for j, s in enumerate(group):
+            codes[: len(streams[s]), j] = streams[s]
+        up, down = np.broadcast_to(rows, shape).copy(), np.zeros(shape, np.uint32)
+        eq, same, plus, minus = (np.empty(shape, np.uint32) for _ in range(4))
         score = np.broadcast_to(sizes, shape).copy()
         best, sign = score.copy(), np.empty(shape, bool)
         for step in codes:
@@ -129,9 +165,9 @@ def may_hold(patterns: list[str], texts: list[str], threshold: float) -> np.ndar
             np.invert(plus, out=plus)
             plus |= down
             np.bitwise_and(same, up, out=minus)
-            np.less(plus.view(np.int64), 0, out=sign)
+            np.less(plus.view(np.int32), 0, out=sign)
             score += sign.view(np.int8)
-            np.less(minus.view(np.int64), 0, out=sign)
+            np.less(minus.view(np.int32), 0, out=sign)
             score -= sign.view(np.int8)
             np.minimum(best, score, out=best)
             np.left_shift(plus, one, out=plus)
@@ -140,9 +176,7 @@ def may_hold(patterns: list[str], texts: list[str], threshold: float) -> np.ndar
             np.invert(up, out=up)
             up |= minus
             np.bitwise_and(plus, same, out=down)
-        hit = np.logical_or.reduceat(best <= limits, firsts, axis=1)
-        for j, (t, _) in enumerate(group):
-            out[:, t] |= hit[j]
+        out[group] = best
     return out
 
 
@@ -187,10 +221,11 @@ def _held_against(docs: DataFrame, asked: list[tuple[int, str]], threshold: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            got = [(asked[p][0], ids[t], score) for p, t, score in _matches([p for _, p in asked], texts, threshold)]
-            columns = zip(*got) if got else ([], [], [])
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["passage_id", "doc_id", "score"])
+            ids = batch.column(0)
+            for first, texts in runs_of(batch.column(1), TEXTS):
+                got = [(asked[p][0], ids[first + t].as_py(), score) for p, t, score in _matches([p for _, p in asked], [t or "" for t in texts], threshold)]
+                columns = zip(*got) if got else ([], [], [])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["passage_id", "doc_id", "score"])
 
     return docs.mapInArrow(run, "passage_id long, doc_id long, score double")
 
@@ -216,8 +251,10 @@ def verify_passages(items: DataFrame, records: DataFrame, threshold: float = 0.8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [_located((p or "").strip(), t or "", b or "", threshold) for p, t, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.record_batch([batch.column(0), pa.array(score, pa.float64())], names=["item_id", "score"])
+            for first, texts in runs_of(batch.column(2), TEXTS):
+                rows = batch.slice(first, len(texts))
+                score = [_located((p or "").strip(), t or "", b or "", threshold) for p, t, b in zip(rows.column(1).to_pylist(), texts, rows.column(3).to_pylist())]
+                yield pa.record_batch([rows.column(0), pa.array(score, pa.float64())], names=["item_id", "score"])
 
     body = F.col("body") if "body" in records.columns else F.lit("")
     pairs = asked.select("item_id", "passage", "record_url").join(records.select(F.col("url").alias("record_url"), "text", body.alias("body")), "record_url")
