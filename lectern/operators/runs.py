@@ -129,37 +129,55 @@ def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def selected(rows: DataFrame, key: str, value: str, share: float = 0.5, cuts: int = 64) -> DataFrame:
-    """(key, n, value): of a key's n values the one at place floor(n * share), counted from 0 in ascending order, nulls first; the last for a share of 1.
+    """(key, n, value): of a key's n values the one at place floor(n * share), counted from 0 in ascending order, nulls first; the last for a share of 1."""
+    return quantiles(rows, key, value, [share], cuts).select(key, "n", "value")
 
-    No group is sorted. Values of a key are counted between cuts that a sketch places; the range with the
-    wanted place is cut again until all that is in it is one value. Every pass sums before it shuffles, so that a key may hold all rows, and
-    leaves a small part of them; the driver sees whether any key is open. A null key has no row.
+
+def quantiles(rows: DataFrame, key: str, value: str, shares: list[float], cuts: int = 64, few: int = 1 << 18) -> DataFrame:
+    """(share, key, n, value): what ``selected`` finds, for all shares in the same passes.
+
+    No group is sorted. A pass takes a key's totals and a sketch, which places two bounds close around each wanted place. The next pass
+    counts what lies below, at, between and above them, by value between them, where one or two of ``16 * cuts`` parts of the rows are. If those
+    are more than ``few`` values, or the sketch was wrong, the range with the place is sketched and counted again. Every pass sums before it
+    shuffles, so that a key may hold all rows; the driver sees whether any key is open. A null key has no row.
     """
     data = rows.select(F.col(key).alias("__k"), F.col(value).alias("__v")).where("__k IS NOT NULL")
-    kind = data.schema["__v"].dataType
-    total = data.groupBy("__k").agg(F.count("*").alias("n"), (F.count("*") - F.count("__v")).alias("nulls"), F.min("__v").alias("low"), F.max("__v").alias("high"))
-    place = F.least(F.floor(F.col("n") * F.lit(float(share))), F.col("n") - 1)
-    state = stored(total.select("__k", "n", (place - F.col("nulls")).alias("want"), "low", "high"), "selection")
-    done = state.where("want < 0 OR low = high").select("__k", "n", F.when(F.col("want") >= 0, F.col("low")).cast(kind).alias("value"))
-    parts, state = [done], state.where("want >= 0 AND low <> high")
+    parts = 16 * cuts
+    sketch = F.percentile_approx("__v", [i / parts for i in range(parts + 1)], 8 * parts).alias("sketch")
+    one = ["__k", "share"]
+
+    def bounded(state: DataFrame) -> DataFrame:
+        """With ``lo`` and ``hi``, at least twice the sketch's error from the wanted place; all of the range where the sketch, which works on doubles, rounds out of it. Each pass so settles one value at least."""
+        at = (F.col("want") + 0.5) / F.nullif("m", F.lit(0)) * parts
+        cut = lambda i: F.get("sketch", F.greatest(F.lit(0), F.least(F.lit(parts), i)).cast("int"))
+        state = state.withColumns({"lo": cut(F.floor(at - 0.25)), "hi": cut(F.ceil(at + 0.25))}).drop("sketch")
+        off = F.expr("lo < low OR hi > high")
+        return stored(state.withColumns({"lo": F.when(off, F.col("low")).otherwise(F.col("lo")), "hi": F.when(off, F.col("high")).otherwise(F.col("hi"))}), "selection")
+
+    total = data.groupBy("__k").agg(F.count("*").alias("n"), F.count("__v").alias("m"), F.min("__v").alias("low"), F.max("__v").alias("high"), sketch)
+    total = total.withColumn("share", F.explode(F.array(*map(F.lit, sorted({float(s) for s in shares})))))
+    place = F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)
+    state = bounded(total.withColumn("want", place - (F.col("n") - F.col("m"))))
+    out = state.where("want < 0 OR low = high").select(*one, "n", F.when(F.col("want") >= 0, F.col("low")).alias("value"))
+    state = state.where("want >= 0 AND low <> high")
     while state.limit(1).count():
-        inside = data.join(state, "__k").where("__v BETWEEN low AND high")
-        shares = [i / cuts for i in range(1, cuts)]
-        sketch = inside.groupBy("__k").agg(F.percentile_approx("__v", shares, 4 * cuts).alias("cuts"))
-        sketch = sketch.select("__k", F.array_sort(F.array_distinct("cuts")).alias("cuts"))
-        # A cut is the last value of its range; where all cuts are the greatest value, the range below it is counted apart.
-        placed = inside.join(sketch, "__k").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("__v"))) * 2 + F.array_contains("cuts", F.col("__v")).cast("int"))
-        bins = placed.groupBy("__k", "bin").agg(F.count("*").alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
-        over = Window.partitionBy("__k").orderBy("bin")  # at most twice as many rows a key as there are cuts
-        bins = bins.withColumn("before", F.sum("c").over(over) - F.col("c")).join(state.select("__k", "n", "want"), "__k")
-        found = bins.where("before <= want AND want < before + c").select("__k", "n", (F.col("want") - F.col("before")).alias("want"), "low", "high")
-        found = stored(found, "selection")
-        parts.append(found.where("low = high").select("__k", "n", F.col("low").cast(kind).alias("value")))
-        state = found.where("low <> high")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.col("__k").alias(key), "n", "value")
+        if "lo" not in state.columns:
+            left = data.join(state.select(*one, "low", "high"), "__k").where("__v BETWEEN low AND high")
+            state = bounded(left.groupBy(*one).agg(sketch).join(state, one))
+        inside = data.join(state.select(*one, "low", "high", "lo", "hi"), "__k").where("__v BETWEEN low AND high")
+        inside = inside.withColumn("zone", F.expr("CASE WHEN __v < lo THEN 0 WHEN __v = lo THEN 1 WHEN __v < hi THEN 2 WHEN __v = hi THEN 3 ELSE 4 END"))
+        counted = inside.groupBy(*one, "zone", F.expr("IF(zone = 2, __v, NULL)").alias("v")).agg(F.count("*").alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        counted = stored(counted, "selection")
+        zones = counted.groupBy(*one, "zone").agg(F.sum("c").alias("m"), F.count("*").alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high"))
+        zones = zones.withColumn("before", F.sum("m").over(Window.partitionBy(*one).orderBy("zone")) - F.col("m")).join(state.select(*one, "n", "want"), one)
+        found = zones.where("before <= want AND want < before + m").withColumn("want", F.col("want") - F.col("before")).withColumn("last", F.expr(f"zone = 2 AND kinds <= {few}"))
+        found = stored(found.drop("before"), "selection")
+        values = counted.where("zone = 2").select(*one, "v", "c").join(found.where("low <> high AND last").select(*one, "n", "want"), one)
+        values = values.withColumn("before", F.sum("c").over(Window.partitionBy(*one).orderBy("v")) - F.col("c"))  # at most ``few`` rows a key and share
+        out = out.unionByName(found.where("low = high").select(*one, "n", F.col("low").alias("value")))
+        out = out.unionByName(values.where("before <= want AND want < before + c").select(*one, "n", F.col("v").alias("value")))
+        state = found.where("low <> high AND NOT last").select(*one, "n", "m", "want", "low", "high")
+    return out.select("share", F.col("__k").alias(key), "n", "value")
 
 
 def validation(rows: DataFrame, good: float = 0.85, bad: float = 0.55, gap: float = 0.30) -> DataFrame:

@@ -277,9 +277,7 @@ def merged_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
   (VALUES (0.25::DOUBLE), (0.9::DOUBLE)) AS q(share) WHERE r = least(floor(n * share), n - 1)""")
 def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles of three keys that hold all lines."""
-    lines = read_table(spark, sf_dir, "lineitem")
-    found = [runs.selected(lines, "l_returnflag", "l_extendedprice", share).select(F.lit(share).alias("share"), "l_returnflag", "n", "value") for share in (0.25, 0.9)]
-    return found[0].unionByName(found[1])
+    return runs.quantiles(read_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", [0.25, 0.9])
 
 
 LOGGED = f"""{S}, lg AS (SELECT run, replace(track, ' ', '-') || CASE WHEN track LIKE '1%' THEN '_synthesis_' ELSE '' END || version || '.eval' AS file, track, version, CASE WHEN count(*) > 40 THEN 'full' ELSE 'smoke' END AS mode, strftime(max(ts), '%Y-%m-%d') AS created,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import framing, moments, numbering, runs
 from lectern.operators import sessions as ses
+from lectern.plans import analysis
 from lectern.sources import logs
 from lectern.streaming import jobs
 
@@ -95,6 +96,51 @@ def test_selection_equals_sorting(spark, share):
     assert rows_of(runs.selected(df, "k", "v", share, cuts=4), "k", "n", "value") == sorted(((k, len(vs), place(vs)) for k, vs in groups.items() if k is not None), key=repr)
 
 
+def test_selections_of_several_shares_read_their_table_twice(spark, monkeypatch):
+    """One pass for totals and sketches and one for counts, whatever the number of shares."""
+    rng = random.Random(6)
+    rows = [("ANR"[i % 3], round(rng.uniform(900, 105000), 2)) for i in range(6000)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lines = spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double")
+    monkeypatch.setattr(analysis, "read_table", lambda *_: lines.mapInArrow(through, lines.schema))
+    got = rows_of(analysis.price_quantiles(spark, ""), "share", "l_returnflag", "n", "value")
+    by = {k: sorted(v for f, v in rows if f == k) for k in "ANR"}
+    assert got == sorted(((share, k, len(vs), vs[int(len(vs) * share)]) for share in (0.25, 0.9) for k, vs in by.items()), key=repr)
+    assert seen.value <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("few", [1, 1 << 18])
+def test_selection_cuts_again_until_few_values_are_left(spark, few):
+    """Values between two bounds are sketched again where they are many, also where most rows have the bounds' values, or a sketch rounds or holds no number."""
+    rng = random.Random(9)
+    big = 2**60
+    groups = {
+        "ends": [0] * 900 + list(range(1, 200)) + [500] * 900, "near": [big + i for i in range(9)] + [big - 2**40], "even": rng.sample(range(10**6), 3000),
+        "nulls": [None] * 7 + list(range(50)), "none": [None, None], "low": [-(2**63), 2**63 - 1, 0], "one": [4],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v long")
+    shares = [0.0, 0.5, 0.77, 1.0, 0.5]
+    place = lambda vs, share: sorted(vs, key=lambda v: (v is not None, v or 0))[min(int(len(vs) * share), len(vs) - 1)]
+    want = sorted(((share, k, len(vs), place(vs, share)) for share in set(shares) for k, vs in groups.items()), key=repr)
+    assert rows_of(runs.quantiles(df, "k", "v", shares, cuts=1, few=few), "share", "k", "n", "value") == want
+
+
+def test_selection_of_doubles_and_dates(spark):
+    nan, inf = float("nan"), float("inf")
+    doubles = [nan] * 5 + [inf, -inf, 0.0] + [i / 7 for i in range(90)]
+    df = spark.createDataFrame([("a", v) for v in doubles], "k string, v double").withColumn("d", F.expr("date_add(DATE '2024-01-01', IF(isnan(v) OR abs(v) > 99, 50, CAST(v * 7 AS INT)))"))
+    for column in ("v", "d"):
+        ordered = [r[0] for r in df.select(column).sort(column).collect()]
+        got = {r.share: r.value for r in runs.quantiles(df, "k", column, [0.0, 0.3, 0.9, 1.0], cuts=1, few=2).collect()}
+        assert repr(got) == repr({s: ordered[min(int(98 * s), 97)] for s in got}) and len(got) == 4
+
+
 def test_log_containers(spark, tmp_path):
     rows = [(run, f"{t}_synthesis_{run}.eval" if t == "syn" else f"{t}.eval", t, "v1", "smoke", f"2024-0{9 - i}-01T00:00:00", p, f"it{p}", p / 10 if p else None, 5, p, 1, 0)
             for i, run in enumerate(["r1", "r2", "r3"]) for t in ("args", "syn") for p in range(6)]
