@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: What DuckDB's trim cuts off: spaces of all widths, but no tabs, carriage returns or other controls.
+TRIMMED = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -12,7 +12,7 @@ from ..sources.shared import spread
 from ..sources.tables import read_table
 from .analysis import TRACKS, tracks_of
 from .citing import CITED_SQL, answers, sources
-from .registry import query, rounded_sql
+from .registry import TRIMMED, query, rounded_sql
 
 # Reports
 
@@ -150,10 +150,11 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sum(len) AS chars FROM (SELECT doc_id, length(unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS len FROM documents) GROUP BY doc_id")
 def chunk_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table function in SQL: its chunks hold all characters of the documents' lines."""
+    """The table function in SQL: its chunks hold all characters of the documents' lines; a text without any has none."""
     spark.udtf.register("chunks", chunking.Chunks)
-    spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).createOrReplaceTempView("chunked_documents")
-    return spark.sql(r"SELECT doc_id, sum(length(replace(c.text, '\n\n', ''))) AS chars FROM chunked_documents, LATERAL chunks(chunked_documents.text, '\\n') AS c GROUP BY doc_id")
+    spread(read_table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")).createOrReplaceTempView("chunked_documents")
+    return spark.sql(rf"""SELECT doc_id, sum(coalesce(length(replace(c.text, '\n\n', '')), 0)) AS chars
+FROM chunked_documents, LATERAL chunks(chunked_documents.text, '\\n', '{TRIMMED}', true) AS c GROUP BY doc_id""")
 
 
 ABSTRACTS = """CASE doc_id % 5 WHEN 0 THEN '  # ' || source || chr(10) || chr(10) || 'short' WHEN 1 THEN '# ' || source || chr(10) || text WHEN 2 THEN substr(text, 1, 100) || ' **Abstract.** ' || text WHEN 3 THEN substr(text, 1, 200) || '**Abstract.**' ELSE text END"""
