@@ -12,7 +12,7 @@ from ..sources.pages import PageStore
 from ..sources.shared import shared_dir, spread
 from ..sources.tables import read_table
 from ..streaming.jobs import tumbling
-from .registry import query, tokens_sql
+from .registry import TRIMMED, query, tokens_sql
 
 
 DECODED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&')"
@@ -99,9 +99,10 @@ def chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sum(len) AS chars FROM (SELECT doc_id, length(unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS len FROM documents) GROUP BY doc_id")
 def chunked_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of each document's chunks without their joints: none are lost, none are doubled."""
-    chunks = chunking.chunk_documents(read_table(spark, sf_dir, "documents").withColumn("body", F.col("text")), "doc_id", separator=r"\n")
-    return chunks.groupBy("doc_id").agg(F.sum(F.length(F.replace("text", F.lit("\n\n"), F.lit("")))).alias("chars"))
+    """Characters of each document's chunks without their joints: none are lost, none are doubled; a text without any has none."""
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("body", F.col("text"))
+    chunks = chunking.chunk_documents(docs, "doc_id", separator=r"\n", blanks=TRIMMED, outer=True)
+    return chunks.groupBy("doc_id").agg(F.sum(F.coalesce(F.length(F.replace("text", F.lit("\n\n"), F.lit(""))), F.lit(0))).alias("chars"))
 
 
 @query("SELECT event_type, count(*) AS n, floor(sum(value) * 1e4 + 0.5) / 1e4 AS total, date_trunc('day', ts) AS day FROM events GROUP BY event_type, date_trunc('day', ts)")

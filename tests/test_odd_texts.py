@@ -29,3 +29,8 @@ def both(spark, path, name):
 def test_chunk_function_counts_as_its_sql(spark, odd):
     got, want = both(spark, odd, "chunk_function")
     assert got == want and (2, 0) in got and (4, 1) in got
+
+
+def test_chunked_chars_counts_as_its_sql(spark, odd):
+    got, want = both(spark, odd, "chunked_chars")
+    assert got == want and (2, 0) in got and (4, 1) in got
