@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
 from .citations import corpus_lookup, verdict_of
 from .index import runs_of
+from .screening import CHOSEN, MOST, OFTEN, Screen, screened, unit_counts
 
 #: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), passages of a block, and classes of characters.
 WORD, LANE, STATE, BLOCK, CLASSES = 32, 2048, 65_536, 64, 3
@@ -32,11 +33,11 @@ def _common(masks: dict[str, int], width: int, text: str) -> int:
     return width - state.bit_count()
 
 
-def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+def partial_ratio(a: str, b: str, least: float = 0.0, within: list[tuple[int, int]] | None = None) -> float:
     """The best 2 * LCS / (sum of lengths) of the shorter string against windows of the longer one, cut ones at both ends included.
 
     0 if it is under ``least``. Windows go by an upper bound, the characters they have in common with
-    the string, so that most are never aligned.
+    the string, so that most are never aligned. If parts (start, end) of the longer string are given, only windows within them count.
     """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     m, n = len(short), len(long)
@@ -47,8 +48,15 @@ def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
     masks: dict[str, int] = {}
     for i, c in enumerate(short):
         masks[c] = masks.get(c, 0) | 1 << i
-    starts = np.arange(-(m - 1), n)
+    if within is None:
+        starts = np.arange(-(m - 1), n)
+    else:
+        starts = np.unique(np.concatenate([np.arange(i if i > 0 else 1 - m, j - m + 1 if j < n else n) for i, j in within]))
+        if not len(starts):
+            return 0.0
     low, high = np.clip(starts, 0, n), np.clip(starts + m, 0, n)
+    first, last = int(low[0]), int(high[-1])
+    long, low, high = long[first:last], low - first, high - first
     codes = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), np.uint32)
     shared = np.zeros(len(starts), np.int64)
     for c, mask in masks.items():
@@ -180,50 +188,107 @@ def _least(pieces: list[list[int]], streams: list[np.ndarray], signs: int) -> np
     return out
 
 
-def _matches(passages: list[str], texts: list[str], threshold: float) -> Iterator[tuple[int, int, float]]:
-    """(passage's place, text's place, score) of all pairs that are at least ``threshold`` alike."""
+def _matches(passages: list[str], texts: list[str], threshold: float, screen: Screen | None = None) -> Iterator[tuple[int, int, float]]:
+    """(passage's place, text's place, score) of all pairs that are at least ``threshold`` alike; a ``screen`` of the passages may have been made before."""
     by_size = sorted((i for i, p in enumerate(passages) if p), key=lambda i: len(passages[i]))
+    pairs: dict[tuple[int, int], list[tuple[int, int]] | None] = {}
+    places: dict[str, list[int]] = {}
+    for i in by_size:
+        if screened(passages[i]):
+            places.setdefault(passages[i], []).append(i)
+    if places:
+        if screen is None:
+            screen = Screen(list(places), threshold)
+            units = [u for u, _ in unit_counts(texts).most_common(screen.most())]
+            screen.know(units, screen.costs(units))
+        for p, t, start, end in screen.pairs(texts):
+            for i in places[screen.passages[p]]:
+                pairs.setdefault((i, t), []).append((start, end))
+    by_size = [i for i in by_size if not screened(passages[i])]
     for i in range(0, len(by_size), BLOCK):
         block = by_size[i : i + BLOCK]
         own = [passages[k] for k in block]
         # Of a pair, the shorter string is the pattern: texts between the block's shortest and longest passage are tried both ways.
         long = [t for t, x in enumerate(texts) if len(x) >= len(own[0])]
         short = [t for t, x in enumerate(texts) if 0 < len(x) < len(own[-1])]
-        ways = [(a, b) for a, b in np.argwhere(may_hold(own, [texts[t] for t in long], threshold)) if len(own[a]) <= len(texts[long[b]])]
-        pairs = [(block[a], long[b]) for a, b in ways]
-        ways = [(a, b) for b, a in np.argwhere(may_hold([texts[t] for t in short], own, threshold)) if len(own[a]) > len(texts[short[b]])]
-        pairs += [(block[a], short[b]) for a, b in ways]
-        for p, t in pairs:
-            score = partial_ratio(passages[p], texts[t], threshold)
-            if score >= threshold:
-                yield p, t, score
+        ways = np.argwhere(may_hold(own, [texts[t] for t in long], threshold))
+        pairs |= {(block[a], long[b]): None for a, b in ways if len(own[a]) <= len(texts[long[b]])}
+        ways = np.argwhere(may_hold([texts[t] for t in short], own, threshold))
+        pairs |= {(block[a], short[b]): None for b, a in ways if len(own[a]) > len(texts[short[b]])}
+    for (p, t), parts in sorted(pairs.items()):
+        score = partial_ratio(passages[p], texts[t], threshold, parts if len(texts[t]) >= len(passages[p]) else None)
+        if score >= threshold:
+            yield p, t, score
 
 
 def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(passage_id, doc_id, score) of documents whose best window is at least ``threshold`` like the passage, of whatever length either is.
 
-    The passages are a stated set of questions, each compared with all documents in blocks where these are read, so that the
-    work is passages times documents and neither texts nor pairs are shuffled. They are handled in slices of about ``SLICE`` characters, so that
+    The passages are a stated set of questions, each compared with all documents where these are read: neither
+    texts nor pairs are shuffled. They are handled in slices of about ``SLICE`` characters, so that
     driver and tasks hold one slice at a time. Null and blank passages have no rows; a null text holds nothing.
     """
     known = passages.select("passage_id", "passage").where(F.trim("passage") != "")
     size = known.agg(F.sum(F.length("passage"))).first()[0] or 0
-    docs, slices, out = spread(docs.select("doc_id", "text")), -(-size // SLICE) or 1, None
+    docs, slices, out, units = spread(docs.select("doc_id", "text")), -(-size // SLICE) or 1, None, None
     for k in range(slices):
         own = known if slices == 1 else known.where(F.pmod(F.xxhash64("passage_id", "passage"), F.lit(slices)) == k)
-        found = _held_against(docs, [(r["passage_id"], p) for r in own.collect() if (p := r["passage"].strip())], threshold)
+        asked = [(r["passage_id"], p) for r in own.collect() if (p := r["passage"].strip())]
+        long = sorted({p for _, p in asked if screened(p)}, key=lambda p: (len(p), p))
+        screen = Screen(long, threshold) if long else None
+        if screen:
+            units = _common_units(docs) if units is None else units
+            _informed(docs.sparkSession, screen, units)
+        found = _held_against(docs, asked, threshold, screen)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _held_against(docs: DataFrame, asked: list[tuple[int, str]], threshold: float) -> DataFrame:
+def _common_units(docs: DataFrame) -> list[str]:
+    """The commonest units of the first texts of all partitions. Which ones these are decides how fast texts are compared, not what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = 0
+        for batch in batches:
+            for _, texts in runs_of(batch.column(0), TEXTS) if read < CHOSEN else ():
+                if read < CHOSEN:
+                    counts = unit_counts(texts)
+                    read += sum(len(t or "") for t in texts)
+                    yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["unit", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return [r["unit"] for r in counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "unit").limit(MOST).collect()]
+
+
+def _informed(spark: SparkSession, screen: Screen, units: list[str]) -> None:
+    """The screen learns the costs of units, which the cores compute."""
+    units = units[: screen.most()]
+    asked = spark.sparkContext.broadcast(screen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            costs = asked.value.costs(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array([row.tobytes() for row in costs], pa.binary())], names=["at", "costs"])
+
+    if not units:
+        return
+    table = spark.createDataFrame(pa.table({"at": pa.array(range(len(units)), pa.int64()), "unit": pa.array(units, pa.string())}))
+    made = table.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "at long, costs binary").toArrow()
+    costs = np.empty((len(units), len(screen.passages)), np.uint8)
+    for batch in made.to_batches():
+        costs[batch.column(0).to_numpy()] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
+    screen.know(units, costs)
+
+
+def _held_against(docs: DataFrame, asked: list[tuple[int, str]], threshold: float, screen: Screen | None) -> DataFrame:
     """(passage_id, doc_id, score) of one slice of passages."""
+    passages, shared = [p for _, p in asked], screen and docs.sparkSession.sparkContext.broadcast(screen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, texts in runs_of(batch.column(1), TEXTS):
-                got = [(asked[p][0], ids[first + t].as_py(), score) for p, t, score in _matches([p for _, p in asked], [t or "" for t in texts], threshold)]
+                got = [(asked[p][0], ids[first + t].as_py(), score) for p, t, score in _matches(passages, [t or "" for t in texts], threshold, shared and shared.value)]
                 columns = zip(*got) if got else ([], [], [])
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["passage_id", "doc_id", "score"])
 
