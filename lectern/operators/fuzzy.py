@@ -17,6 +17,8 @@ from .screening import CHOSEN, MOST, OFTEN, Screen, screened, unit_counts
 
 #: Bits of a bit vector, characters of a text that are scanned together, words of state that are (they should fit a core's cache), passages of a block, and classes of characters.
 WORD, LANE, STATE, BLOCK, CLASSES = 32, 2048, 65_536, 64, 3
+#: Passages that are worth a screen: the bit vectors of fewer take less than cutting texts into units.
+FEW = 16
 #: Characters of the passages that a task holds at once.
 SLICE = 1 << 23
 #: Bytes of the texts that a task compares at once.
@@ -196,6 +198,8 @@ def _matches(passages: list[str], texts: list[str], threshold: float, screen: Sc
     for i in by_size:
         if screened(passages[i]):
             places.setdefault(passages[i], []).append(i)
+    if screen is None and len(places) < FEW:
+        places.clear()
     if places:
         if screen is None:
             screen = Screen(list(places), threshold)
@@ -204,7 +208,7 @@ def _matches(passages: list[str], texts: list[str], threshold: float, screen: Sc
         for p, t, start, end in screen.pairs(texts):
             for i in places[screen.passages[p]]:
                 pairs.setdefault((i, t), []).append((start, end))
-    by_size = [i for i in by_size if not screened(passages[i])]
+    by_size = [i for i in by_size if passages[i] not in places]
     for i in range(0, len(by_size), BLOCK):
         block = by_size[i : i + BLOCK]
         own = [passages[k] for k in block]
@@ -235,7 +239,7 @@ def fuzzy_passages(passages: DataFrame, docs: DataFrame, threshold: float = 0.85
         own = known if slices == 1 else known.where(F.pmod(F.xxhash64("passage_id", "passage"), F.lit(slices)) == k)
         asked = [(r["passage_id"], p) for r in own.collect() if (p := r["passage"].strip())]
         long = sorted({p for _, p in asked if screened(p)}, key=lambda p: (len(p), p))
-        screen = Screen(long, threshold) if long else None
+        screen = Screen(long, threshold) if len(long) >= FEW else None
         if screen:
             units = _common_units(docs) if units is None else units
             _informed(docs.sparkSession, screen, units)

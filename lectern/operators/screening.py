@@ -3,10 +3,10 @@
 A window of a text that is like a passage is made of it by few edits, and each part of the window by
 its share of them. So texts are cut into units, words or parts of words, and for each unit the least
 edits are looked up that make it of any part of a passage. They repeat throughout the texts, so that
-they are computed once; what remains for a text is to sum them. Windows are no longer than the passage,
-so that they lack no fewer of its characters than it lacks of theirs: of three edits of a window's own characters to
-one of the passage's, the weighted sum is within twice the limit, and it is much larger where texts only share
-their syllables.
+they are computed once; what remains for a text is to sum them. A window is no longer than its passage,
+so that no more of its characters are without a partner than of the passage's: its own may count threefold,
+and the sum of both is still within twice the limit. Among texts that only share their syllables it is
+much larger.
 """
 
 from __future__ import annotations

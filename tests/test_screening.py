@@ -13,14 +13,15 @@ def prose(rng, signs, words, n):
 
 
 def test_texts_unlike_all_passages_are_hardly_scanned(monkeypatch):
+    monkeypatch.setattr(fuzzy, "FEW", 1)
     rng = random.Random(5)
     signs = "eeeeaaaoooiinnttrrsslldhcumpgb"
-    texts = [prose(rng, signs, 2000, 900) for _ in range(8)]
+    texts = [prose(rng, signs, 2000, 900) for _ in range(6)]
     passages = [" ".join(w for i, w in enumerate(t[900:1150].split(" ")) if i % 9 != 4) for t in texts[:4]] + [prose(rng, signs, 2000, 40) for _ in range(12)]
     least, own, read = fuzzy._least, screening._least, []
     monkeypatch.setattr(fuzzy, "_least", lambda pieces, streams, signs: read.append(sum(map(len, streams)) * len(pieces)) or least(pieces, streams, signs))
     monkeypatch.setattr(screening, "_least", lambda sizes, masks, p, codes, starts, lengths, after: read.append(int((-(-sizes[p] // 32) * lengths).sum())) or own(sizes, masks, p, codes, starts, lengths, after))
-    want = {(p, t): s for p, a in enumerate(passages) for t, b in enumerate(texts) if (s := fuzzy.partial_ratio(a, b)) >= 0.85}
+    want = {(p, t): s for p, a in enumerate(passages) for t, b in enumerate(texts) if (s := fuzzy.partial_ratio(a, b, 0.85)) >= 0.85}
     assert len(want) >= 4 and {(p, t): s for p, t, s in fuzzy._matches(passages, texts, 0.85)} == want
     # By classes of characters alone, about a third of all words of bit vectors.
     assert sum(read) < 0.15 * sum(-(-len(p) // 32) for p in passages) * sum(map(len, texts))
@@ -29,6 +30,7 @@ def test_texts_unlike_all_passages_are_hardly_scanned(monkeypatch):
 @pytest.mark.parametrize("seed", range(12))
 def test_the_screen_misses_nothing(seed, monkeypatch):
     """Windows cut at both ends of a text, texts shorter than passages, small stretches, blocks and groups, and any table of units, give what all windows give."""
+    monkeypatch.setattr(fuzzy, "FEW", 1)
     rng = random.Random(seed)
     signs = rng.choice(["ab", "abcde", "abcdefghijklmnop", "aé漢字𝒳 \n\t", "abc  "])
     for name, sizes in (("STRETCH", (300, 1 << 16)), ("SUMMED", (500, 1 << 17)), ("COLUMNS", (2, 256)), ("STATE", (16, 1 << 15)), ("MOST", (0, 20, 10**6))):
@@ -46,7 +48,8 @@ def test_the_screen_misses_nothing(seed, monkeypatch):
         assert {(p, t): s for p, t, s in fuzzy._matches(passages, texts, threshold)} == want
 
 
-def test_units_of_the_texts_are_known_to_all_tasks(spark):
+def test_units_of_the_texts_are_known_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "FEW", 1)
     rng = random.Random(8)
     texts = [prose(rng, "abcdefghijklmnopqrst", 400, 300) for _ in range(20)] + ["", "short", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -56,3 +59,21 @@ def test_units_of_the_texts_are_known_to_all_tasks(spark):
     got = fuzzy.fuzzy_passages(spark.createDataFrame(passages, "passage_id long, passage string"), docs).collect()
     want = {(p, d): s for p, a in passages for d, t in enumerate(texts) if (s := fuzzy.partial_ratio(a.strip(), t or "")) >= 0.85}
     assert len(want) >= 5 and {(r.passage_id, r.doc_id): r.score for r in got} == want
+
+
+def test_the_best_record_of_a_passage_comes_from_screened_texts(spark, tmp_path, monkeypatch):
+    from lectern.plans import QUERIES
+
+    monkeypatch.setattr(fuzzy, "FEW", 1)
+    rng, known, know = random.Random(9), [], screening.Screen.know
+    texts = [prose(rng, "abcdefghijklmnopqrst", 300, 250) for _ in range(6)]
+    texts += [texts[0], texts[1].replace("a", "b", 20)]
+    monkeypatch.setattr(screening.Screen, "know", lambda self, units, costs: known.append(len(units)) or know(self, units, costs))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t[100:420]) for i, t in enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.passage_id: r.doc_id for r in QUERIES["passage_anywhere"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        worn = " ".join(w for k, w in enumerate(t[100:420].split(" ")) if k % 9 != 4).strip()
+        scores = {d: s for d, b in enumerate(texts) if (s := fuzzy.partial_ratio(worn, b)) >= 0.85}
+        assert got.get(i) == (min(scores, key=lambda d: (-round(scores[d], 6), d)) if scores else None)
+    assert len(got) >= 6 and max(known) > 20
